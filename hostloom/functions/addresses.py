@@ -79,14 +79,18 @@ def _any(form, cidrs) -> str:
     return "(?:" + "|".join(form(c) for c in cidrs) + ")"
 
 
-_V4_GLOBAL = (
-    rf"^(?!(?!{_any(_dotted, V4_EXCEPTIONS)}){_any(_dotted, V4_PRIVATE + V4_SHARED)}){_QUAD}$"
-)
-# An IPv4 address mapped into IPv6 follows the IPv4 list (without the shared space).
+_V4_GLOBAL = rf"^(?!(?!{_any(_dotted, V4_EXCEPTIONS)}){_any(_dotted, V4_PRIVATE + V4_SHARED)}){_QUAD}$"
+# An IPv4 address mapped into IPv6 follows the IPv4 list (without the shared space). Its last 32 bits
+# are tested in the form they are written in: eight digits, or a dotted tail kept after the digits.
 _MAPPED = "0{20}ffff"
-_V6_NOT_GLOBAL = (
-    f"^(?:{_MAPPED}(?!{_any(_hex, V4_EXCEPTIONS)}){_any(_hex, V4_PRIVATE)}"
-    f"|(?!{_MAPPED})(?!{_any(_hex, V6_EXCEPTIONS)}){_any(_hex, V6_PRIVATE)})"
+_MAPPED_NOT_GLOBAL = (
+    f"(?:(?!{_any(_hex, V4_EXCEPTIONS)}){_any(_hex, V4_PRIVATE)}[0-9a-f]*$"
+    rf"|.{{8}}\.(?!{_any(_dotted, V4_EXCEPTIONS)}){_any(_dotted, V4_PRIVATE)})"
+)
+_V6_FORM = rf"[0-9a-f]{{32}}(?:\.{_QUAD})?"
+_V6_GLOBAL = (
+    f"^(?!{_MAPPED}{_MAPPED_NOT_GLOBAL})"
+    f"(?!(?!{_MAPPED})(?!{_any(_hex, V6_EXCEPTIONS)}){_any(_hex, V6_PRIVATE)}){_V6_FORM}$"
 )
 
 
@@ -99,34 +103,28 @@ def is_ipv4(ip: Column) -> Column:
 
 
 def ipv6_digits(ip: Column) -> Column:
-    """The 32 hexadecimal digits of an IPv6 address; null if the text is not one."""
-    text = F.lower(F.substring_index(ip, "%", 1))
-    # A dotted tail stands for the last two groups.
-    tail = rf"^(.*:)({_OCTET})\.({_OCTET})\.({_OCTET})\.({_OCTET})$"
-    octet = [F.regexp_extract(text, tail, i).try_cast("int") for i in (2, 3, 4, 5)]
-    plain = F.when(
-        text.contains("."),
-        F.concat(
-            F.regexp_extract(text, tail, 1),
-            F.hex(octet[0] * 256 + octet[1]),
-            F.lit(":"),
-            F.hex(octet[2] * 256 + octet[3]),
-        ),
-    ).otherwise(text)
+    """The 32 hexadecimal digits of an IPv6 address.
+
+    An address with a dotted tail gets zeros in its place and the tail after a further dot. Text that is
+    no address gives some other text.
+    """
     # Give "::" a group on both sides; then it stands for 8 - (number of colons) zero groups.
-    inner = F.regexp_replace(F.regexp_replace(F.lower(plain), "^::", "0::"), "::$", "::0")
+    inner = F.regexp_replace(F.regexp_replace(F.lower(ip), "^::", "0::"), "::(?=$|%)", "::0")
+    inner = F.regexp_replace(inner, "%.*$", "")
+    inner = F.regexp_replace(inner, rf"(?<=:)({_QUAD})$", "0:0.$1")
     missing = F.lit(8) - F.length(F.regexp_replace(inner, "[^:]", ""))
-    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing))
-    groups = F.replace(inner, F.lit("::"), zeros)
-    padded = F.regexp_replace(F.concat(F.lit(":"), groups), ":", ":000")
-    digits = F.regexp_replace(padded, ":[0-9a-f]{0,3}([0-9a-f]{4})(?=:|$)", "$1")
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), digits)
+    groups = F.replace(inner, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), missing)))
+    padded = F.regexp_replace(groups, "(^|:)", "$1000")
+    return F.regexp_replace(padded, "(?:^|:)[0-9a-f]{0,3}([0-9a-f]{4})(?=[:.]|$)", "$1")
+
+
+def is_public_v4(ip: Column) -> Column:
+    return ip.rlike(_V4_GLOBAL)
 
 
 def is_public(ip: Column) -> Column:
     """Globally routable? Text that is no address is not."""
-    v6 = F.coalesce(~ipv6_digits(ip).rlike(_V6_NOT_GLOBAL), F.lit(False))
-    return F.when(is_ipv6(ip), v6).otherwise(ip.rlike(_V4_GLOBAL))
+    return F.when(is_ipv6(ip), ipv6_digits(ip).rlike(_V6_GLOBAL)).otherwise(is_public_v4(ip))
 
 
 def octet(ip: Column, position: int) -> Column:
