@@ -59,11 +59,9 @@ def _moments(measures: Sequence[str]) -> list[Column]:
 
 
 def _directed_moments() -> list[Column]:
-    """Session count and network byte moments, as source and (``_inc``) as destination."""
+    """Network byte moments, as source and (``_inc``) as destination."""
     columns = []
-    for suffix, here, sent in (("", ~F.col("received"), "source_bytes"), ("_inc", F.col("received"), "destination_bytes")):
-        # On the destination's row the session's source bytes are the far end's.
-        columns.append(F.count(F.when(here, F.col(sent))).alias(f"sessions{suffix}"))
+    for suffix, here in (("", ~F.col("received")), ("_inc", F.col("received"))):
         network = F.when(here, F.col("network_bytes"))
         columns.append(filled(F.avg(network)).alias(f"network_bytes_mean{suffix}"))
         columns.append(filled(F.var_samp(network)).alias(f"network_bytes_var{suffix}"))

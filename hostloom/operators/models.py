@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.operators.dataset import class_weights, with_weights
@@ -147,11 +147,11 @@ def feature_importances(model, spark, features: Sequence[str] = FEATURES, top: i
 
 
 def static_vs_slice(
-    static_rows: DataFrame, slice_rows: DataFrame, settings: Trees, held_out=F.col("part") == "test"
+    static_rows: DataFrame, slice_rows: DataFrame, settings: Trees, held_out: Column
 ) -> DataFrame:
     """Score slice rows of held-out hosts by a whole-period model and by a slice-trained model.
 
-    Both frames are ``assembled`` and carry the split column; output: (ip, slice, slice_no, y_true,
+    Both frames are ``assembled`` and carry the columns ``held_out`` tests; output: (ip, slice, slice_no, y_true,
     pred_static, pred_slice).
     """
     weights = class_weights(static_rows, "y")

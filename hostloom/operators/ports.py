@@ -28,8 +28,8 @@ _PROTOCOL, _PROTOCOL_INC = 4, 5
 def value_counts(sessions: DataFrame, keys: Sequence[str] = (), ports: bool = True, protocols: bool = True) -> DataFrame:
     """Counts per (keys, ip, kind, value).
 
-    ``n_<series>`` counts sessions and ``b_<series>`` those with a byte count. For protocols only
-    the ``source`` and ``source_inc`` counters are used (host opened / received the session).
+    ``n_<series>`` counts sessions; ``b_source`` and ``b_source_inc`` count those with a byte count, which
+    the host opened / received. For protocols only the ``source`` and ``source_inc`` counters are used.
     """
     codes = list(_CODES.values()) * ports + [_PROTOCOL, _PROTOCOL_INC] * protocols
     code = F.col("code")
@@ -52,26 +52,31 @@ def value_counts(sessions: DataFrame, keys: Sequence[str] = (), ports: bool = Tr
         if series == "source_inc":
             counted = counted | (code == _PROTOCOL_INC)
         counters.append(F.count_if(counted).alias(f"n_{series}"))
-        counters.append(F.count_if(counted & F.col("has_bytes")).alias(f"b_{series}"))
+        if series in ("source", "source_inc"):
+            counters.append(F.count_if(counted & F.col("has_bytes")).alias(f"b_{series}"))
     return rows.groupBy(*keys, "ip", "is_port", "value").agg(*counters)
 
 
 def gathered(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One exchange on the host key; every later aggregate, window and join on it stays in place."""
+    """One exchange on the host key; every later aggregate, window and join on it stays in place.
+
+    All consumers in this module read every column of ``counts`` and filter only behind the exchange, so
+    that several of them in one plan have the same input and Spark runs it once (reused exchange).
+    """
     return counts.repartition(*[F.col(c) for c in (*keys, "ip")])
 
 
 def port_series(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Long form: (keys, ip, series, port, cnt, with_bytes), one row per port a host was seen with."""
-    entries = [
-        F.struct(F.lit(s).alias("series"), F.col(f"n_{s}").alias("cnt"), F.col(f"b_{s}").alias("with_bytes"))
-        for s in SERIES
-    ]
-    return (
-        counts.filter("is_port")
-        .select(*keys, "ip", F.col("value").alias("port"), F.inline(F.array(*entries)))
-        .filter("cnt > 0")
-    )
+    nothing = F.lit(0).cast("bigint")
+    entries = []
+    for series in SERIES:
+        # A filter on is_port would move below the exchange; a zero count is dropped here instead.
+        cnt = F.when(F.col("is_port"), F.col(f"n_{series}")).otherwise(nothing)
+        with_bytes = F.col(f"b_{series}") if series in ("source", "source_inc") else nothing
+        entries.append(F.struct(F.lit(series).alias("series"), cnt.alias("cnt"), with_bytes.alias("with_bytes")))
+    long = counts.select(*keys, "ip", F.col("value").alias("port"), F.inline(F.array(*entries)))
+    return long.filter("cnt > 0")
 
 
 def port_value_counts(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -106,19 +111,25 @@ def count_distribution(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     the counts and Q the sum of their squares, ``n c > S`` and ``(n c - S)^2 > k^2 (n Q - S^2)``.
     """
     group = [*keys, "ip", "series"]
-    merged = series.groupBy(*group, "cnt").agg(
-        F.count("*").alias("ports"), F.sum("with_bytes").alias("with_bytes")
-    )
+    # Counting by port keeps the port column in the plan, and with it the exchange shared with top_ports.
+    ports_seen = F.count("port") + F.count_if(F.col("port").isNull())
+    merged = series.groupBy(*group, "cnt").agg(ports_seen.alias("ports"), F.sum("with_bytes").alias("with_bytes"))
     whole = Window.partitionBy(*group)
     running = whole.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cnt = F.col("cnt").cast(EXACT)
     ports = F.col("ports").cast(EXACT)
+    host = Window.partitionBy(*keys, "ip")
+
+    def sessions_of(series: str) -> Column:
+        return F.sum(F.when(F.col("series") == series, F.col("with_bytes")).otherwise(0)).over(host)
+
+    received = F.col("series").isin("source_inc", "destination_inc")
     placed = merged.select(
         *group,
         "cnt",
         "ports",
         F.sum(F.col("cnt") * F.col("ports")).over(running).alias("cum"),
-        F.sum("with_bytes").over(whole).alias("total"),
+        F.when(received, sessions_of("source_inc")).otherwise(sessions_of("source")).alias("total"),
         F.sum("ports").over(whole).cast(EXACT).alias("n"),
         F.sum(F.col("cnt") * F.col("ports")).over(whole).cast(EXACT).alias("s"),
         F.sum((cnt * cnt * ports).cast(EXACT)).over(whole).cast(EXACT).alias("q"),
@@ -218,14 +229,18 @@ def protocol_aggregates() -> list[Column]:
 
 
 def directed_aggregates() -> list[Column]:
-    """Per direction: commonest protocol, share of sessions off it, ratio of distinct ports."""
+    """Per direction: sessions, commonest protocol, share of sessions off it, ratio of distinct ports."""
     columns = []
     for suffix in ("", "_inc"):
         count = F.col(f"n_source{suffix}")
+        with_bytes = F.when(~F.col("is_port"), F.col(f"b_source{suffix}")).otherwise(0)
+        columns.append(F.sum(with_bytes).alias(f"sessions{suffix}"))
         used = ~F.col("is_port") & F.col("value").isNotNull() & (count > 0)
-        first = F.min(F.when(used, F.struct((-count).alias("neg"), F.col("value").alias("code"))))
+        # Highest count first, then lowest code: one number orders both, whatever the code.
+        order = F.when(used, count.cast(EXACT) * F.lit(str(2**64)).cast(EXACT) - F.col("value").cast(EXACT))
+        mode = F.max_by("value", order.cast(EXACT))
         total = F.sum(F.when(used, count))
-        columns.append(F.coalesce(first["code"], F.lit(0)).alias(f"ipProtocol_mode{suffix}"))
+        columns.append(F.coalesce(mode, F.lit(0)).alias(f"ipProtocol_mode{suffix}"))
         columns.append(ratio(total - F.max(F.when(used, count)), total).alias(f"ipProtocol_minor_fraction{suffix}"))
         seen = [
             F.count_if(F.col("is_port") & F.col("value").isNotNull() & (F.col(f"n_{end}{suffix}") > 0))

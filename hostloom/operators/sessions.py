@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.addresses import is_ipv6, is_public, is_public_v4
 
-DURATION = F.col("last_packet") - F.col("first_packet")
+
+def duration() -> Column:
+    return F.col("last_packet") - F.col("first_packet")
 
 
 def clean_sessions(sessions: DataFrame, provider: str = "arkime", dropped_protocol: str = "lldp") -> DataFrame:
@@ -39,7 +41,7 @@ def internal_sessions(sessions: DataFrame, public_ips: DataFrame | None = None)
 
 
 def session_duration(sessions: DataFrame) -> DataFrame:
-    return sessions.withColumn("duration", DURATION)
+    return sessions.withColumn("duration", duration())
 
 
 def mirror_sessions(sessions: DataFrame, *keys: str) -> DataFrame:
@@ -66,7 +68,7 @@ def mirror_sessions(sessions: DataFrame, *keys: str) -> DataFrame:
         *pairs,
         "network_bytes",
         "ip_protocol",
-        DURATION.alias("duration"),
+        duration().alias("duration"),
     )
 
 
