@@ -75,16 +75,16 @@ FROM (SELECT n, CAST(k + 1 AS BIGINT) AS slice_no
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table. A small single-file table is spread over the cores before any per-row work."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """One given table. With fewer files than cores its rows are first spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("orderkey", "partkey", "suppkey", "linenumber", "quantity", "returnflag", "linestatus")
-    return table(spark, sf_dir, "lineitem").select([f"l_{c}" for c in columns])
+    return table(spark, sf_dir, "lineitem", [f"l_{c}" for c in columns])
 
 
 def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", app: str = "hostloom", partitions: int
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python call site of every column expression costs more than planning itself.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Small test files: one task per file instead of several files per task.
         .config("spark.sql.files.openCostInBytes", "262144")
         .getOrCreate()
