@@ -168,9 +168,9 @@ def select_group(features: DataFrame, group: str, keys: Sequence[str] = ()) -> D
     return features.select(*keys, "ip", *FEATURE_GROUPS[group])
 
 
-def sessions_per_hour(features: DataFrame, hours: Column) -> DataFrame:
+def sessions_per_hour(features: DataFrame, hours: float) -> DataFrame:
     """Session counts per observed hour."""
-    return features.withColumns({c: F.col(c) / hours for c in ("sessions", "sessions_inc")})
+    return features.withColumns({c: F.col(c) / F.lit(hours) for c in ("sessions", "sessions_inc")})
 
 
 def labelled(features: DataFrame, labels: DataFrame, label: str, keys: Sequence[str] = ()) -> DataFrame:

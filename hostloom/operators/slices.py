@@ -1,7 +1,8 @@
 """Time slices: observed periods, slice catalogue, activity per host and slice, slice labels.
 
-The period bounds are one row of minima and maxima. They are read as a scalar subquery, so slicing
-stays one lazy plan: no driver round trip, no join, and the slice number is arithmetic.
+The period bounds are one row of minima and maxima over two columns of the log. ``slice_layout`` reads
+that row once; from then on the slice number is arithmetic on literals, so slicing needs no join and its
+time range reaches the Parquet scan as a pushed filter.
 """
 
 from __future__ import annotations
@@ -52,85 +53,108 @@ def period_bounds(sessions: DataFrame, periods: Sequence[Period] = TWO_DAYS) ->
     return sessions.agg(*bounds)
 
 
-def observed_hours(sessions: DataFrame, periods: Sequence[Period] = TWO_DAYS) -> Column:
-    """Length of all periods together in hours, as a scalar subquery."""
-    length = sum((F.col(f"{p.name}_end") - F.col(f"{p.name}_start") for p in periods), F.lit(0))
-    return period_bounds(sessions, periods).select(length / F.lit(HOUR_MS)).scalar()
+@dataclass(frozen=True)
+class PlacedPeriod:
+    """A period with its first edge, its number of slices, and the number of slices before it."""
 
+    name: str
+    start: int
+    slices: int
+    before: int
 
-def _slice_layout(bounds: DataFrame, periods: Sequence[Period], width: int) -> DataFrame:
-    """One row with a struct ``layout``: start, slice count and first slice number of every period."""
-    fields, before = [], F.lit(0).cast("bigint")
-    for p in periods:
-        span = F.col(f"{p.name}_end") - F.col(f"{p.name}_start")
-        # Edges run start, start + width, ... A kept partial slice ends beyond the period's end.
-        whole_up = F.floor((span + (width - 1)) / width)
-        count = F.greatest(F.coalesce(whole_up if p.keep_partial else whole_up - 1, F.lit(0)), F.lit(0))
-        fields += [
-            F.col(f"{p.name}_start").alias(f"{p.name}_start"),
-            count.alias(f"{p.name}_count"),
-            before.alias(f"{p.name}_before"),
-        ]
-        before = before + count
-    return bounds.select(F.struct(*fields).alias("layout"))
-
-
-def slice_catalogue(sessions: DataFrame, periods: Sequence[Period] = TWO_DAYS, width: int = HOUR_MS) -> DataFrame:
-    """Rows (slice, slice_no, start_ms, end_ms), each slice covering ``start_ms < t <= end_ms``."""
-    layout = _slice_layout(period_bounds(sessions, periods), periods, width)
-    return layout.select(F.explode(_slice_array(periods, width)).alias("s")).select("s.*")
-
-
-def _slice_array(periods: Sequence[Period], width: int) -> Column:
-    def slices(p: Period) -> Column:
-        start, count, before = (F.col(f"layout.{p.name}_{f}") for f in ("start", "count", "before"))
-        numbers = F.filter(F.sequence(F.lit(0).cast("bigint"), count), lambda k: k > 0)
-        return F.transform(
-            numbers,
-            lambda k: F.struct(
-                F.concat(F.lit(f"{p.name}_"), k.cast("string")).alias("slice"),
-                (before + k).alias("slice_no"),
-                (start + (k - 1) * width).alias("start_ms"),
-                (start + k * width).alias("end_ms"),
-            ),
-        )
 
-    return F.concat(*[slices(p) for p in periods])
+@dataclass(frozen=True)
+class SliceLayout:
+    """Slices of ``width`` milliseconds, open on the left and closed on the right, in time order."""
 
+    periods: tuple[PlacedPeriod, ...]
+    width: int
+    observed_ms: int
 
-def assign_slices(
-    sessions: DataFrame,
-    periods: Sequence[Period] = TWO_DAYS,
-    width: int = HOUR_MS,
-    bounds: DataFrame | None = None,
-    keep_outside: bool = False,
-) -> DataFrame:
-    """Adds ``slice`` and ``slice_no`` by session start, slices open on the left and closed on the right.
+    @property
+    def slices(self) -> int:
+        return sum(p.slices for p in self.periods)
 
-    Sessions in no slice are dropped unless ``keep_outside``, which leaves their slice null. ``bounds``
-    (as from ``period_bounds``) fixes the periods when ``sessions`` is only part of the log.
+    @property
+    def names(self) -> list[str]:
+        return [f"{p.name}_{k}" for p in self.periods for k in range(1, p.slices + 1)]
+
+    def hours(self) -> float:
+        """Length of all periods together."""
+        return self.observed_ms / HOUR_MS
+
+
+def slice_layout(
+    sessions: DataFrame, periods: Sequence[Period] = TWO_DAYS, width: int = HOUR_MS
+) -> SliceLayout:
+    """Read the period bounds (one row) and lay the slices over them.
+
+    Edges run start, start + width, ... up to the period's end; a kept partial slice ends beyond it.
     """
-    if bounds is None:
-        bounds = period_bounds(sessions, periods)
-    placed = sessions.withColumn("layout", _slice_layout(bounds, periods, width).scalar())
-    name, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    for p in reversed(periods):
-        start, count, before = (F.col(f"layout.{p.name}_{f}") for f in ("start", "count", "before"))
-        offset = F.col("first_packet") - start
-        k = F.floor((offset - 1) / width) + 1
-        inside = (offset > 0) & (offset <= count * width)
-        name = F.when(inside, F.concat(F.lit(f"{p.name}_"), k.cast("string"))).otherwise(name)
-        number = F.when(inside, before + k).otherwise(number)
-    sliced = placed.withColumns({"slice": name, "slice_no": number}).drop("layout")
-    return sliced if keep_outside else sliced.filter(F.col("slice").isNotNull())
-
-
-def _activity(sessions: DataFrame, **slicing) -> DataFrame:
-    """Counts per (ip, slice), with a null slice for sessions outside all slices."""
-    sliced = assign_slices(sessions, keep_outside=True, **slicing)
-    ends = sliced.select(
-        "slice",
+    bounds = period_bounds(sessions, periods).first()
+    placed, before, observed = [], 0, 0
+    for p in periods:
+        start, end = bounds[f"{p.name}_start"], bounds[f"{p.name}_end"]
+        if start is None or end is None:
+            continue
+        edges = -(-(end - start) // width) + (1 if p.keep_partial else 0)
+        count = max(edges - 1, 0)
+        placed.append(PlacedPeriod(p.name, start, count, before))
+        before += count
+        observed += end - start
+    return SliceLayout(tuple(placed), width, observed)
+
+
+def slice_catalogue(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """Rows (slice, slice_no, start_ms, end_ms), each slice covering ``start_ms < t <= end_ms``."""
+    numbers = sessions.sparkSession.range(1, layout.slices + 1, numPartitions=1).withColumnRenamed("id", "slice_no")
+    start = F.lit(None).cast("bigint")
+    for p in layout.periods:
+        here = F.col("slice_no") > p.before
+        start = F.when(here, p.start + (F.col("slice_no") - p.before - 1) * layout.width).otherwise(start)
+    return numbers.select(
+        _slice_name(F.col("slice_no"), layout).alias("slice"),
         "slice_no",
+        start.alias("start_ms"),
+        (start + layout.width).alias("end_ms"),
+    )
+
+
+def _slice_name(number: Column, layout: SliceLayout) -> Column:
+    name = F.lit(None).cast("string")
+    for p in layout.periods:
+        name = F.when(number > p.before, F.concat(F.lit(f"{p.name}_"), (number - p.before).cast("string"))).otherwise(name)
+    return name
+
+
+def _slice_number(layout: SliceLayout) -> Column:
+    """Number of the slice a session starts in; null outside all slices."""
+    number = F.lit(None).cast("bigint")
+    for p in reversed(layout.periods):
+        offset = F.col("first_packet") - p.start
+        inside = (offset > 0) & (offset <= p.slices * layout.width)
+        number = F.when(inside, F.floor((offset - 1) / layout.width) + (p.before + 1)).otherwise(number)
+    return number
+
+
+def _in_some_slice(layout: SliceLayout) -> Column:
+    t = F.col("first_packet")
+    inside = F.lit(False)
+    for p in layout.periods:
+        inside = inside | ((t > p.start) & (t <= p.start + p.slices * layout.width))
+    return inside
+
+
+def assign_slices(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """Adds ``slice`` and ``slice_no`` by session start and drops sessions outside all slices."""
+    inside = sessions.filter(_in_some_slice(layout)).withColumn("slice_no", _slice_number(layout))
+    return inside.withColumn("slice", _slice_name(F.col("slice_no"), layout))
+
+
+def _activity(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """Counts per (ip, slice_no), with a null slice for sessions outside all slices."""
+    ends = sessions.select(
+        _slice_number(layout).alias("slice_no"),
         "source_ip",
         "destination_ip",
         (F.col("destination_bytes") > 0).alias("answered"),
@@ -138,118 +162,89 @@ def _activity(sessions: DataFrame, **slicing) -> DataFrame:
     )
     rows = ends.select(
         F.when(F.col("received"), F.col("destination_ip")).otherwise(F.col("source_ip")).alias("ip"),
-        "slice",
         "slice_no",
         "received",
         "answered",
     ).filter(F.col("ip").isNotNull())
     received, answered = F.col("received"), F.col("answered")
-    return rows.groupBy("ip", "slice", "slice_no").agg(
-        F.count_if(~received).alias("n_source"),
-        F.count_if(received).alias("n_destination"),
-        F.count_if(~received & answered).alias("n_source_answered"),
-        F.count_if(received & answered).alias("n_destination_answered"),
+    return rows.groupBy("ip", "slice_no").agg(
+        F.count("*").alias("n"),
+        F.count_if(~received | answered).alias("n_responded"),
+        F.count_if(received | answered).alias("n_reached"),
     )
 
 
-def activity_hist(sessions: DataFrame, **slicing) -> DataFrame:
+def activity_hist(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
     """Sessions per host and slice, as source plus as destination; only slices with activity."""
-    inside = _activity(sessions, **slicing).filter(F.col("slice").isNotNull())
-    return inside.select("ip", "slice", "slice_no", (F.col("n_source") + F.col("n_destination")).alias("n"))
+    inside = _activity(sessions, layout).filter(F.col("slice_no").isNotNull())
+    return inside.select("ip", _slice_name(F.col("slice_no"), layout).alias("slice"), "slice_no", "n")
 
 
-def activity_hist_wide(sessions: DataFrame, slices: Sequence[str], **slicing) -> DataFrame:
-    """Host x slice matrix of session counts, 0 where inactive; ``slices`` names the columns.
+def activity_hist_wide(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """Host x slice matrix of session counts, 0 where inactive.
 
     Every host of the log has a row, also one whose sessions all fall outside the slices.
     """
-    counts = _activity(sessions, **slicing).withColumn("n", F.col("n_source") + F.col("n_destination"))
     columns = [
-        F.coalesce(F.sum(F.when(F.col("slice") == s, F.col("n"))), F.lit(0)).alias(s) for s in slices
+        F.coalesce(F.sum(F.when(F.col("slice_no") == number, F.col("n"))), F.lit(0)).alias(name)
+        for number, name in enumerate(layout.names, 1)
     ]
-    return counts.groupBy("ip").agg(*columns)
+    return _activity(sessions, layout).groupBy("ip").agg(*columns)
 
 
-def _flags(sessions: DataFrame, **slicing) -> tuple[DataFrame, DataFrame]:
-    """Per (ip, slice): active, responded, reached; and per ip: whether it ever responded / was reached."""
-    activity = _activity(sessions, **slicing)
-    responded = F.col("n_source") + F.col("n_destination_answered")
-    reached = F.col("n_source_answered") + F.col("n_destination")
-    counts = activity.withColumns({"responded_n": responded, "reached_n": reached})
-    ever = counts.groupBy("ip").agg(
-        (F.sum("responded_n") > 0).alias("ever_responded"), (F.sum("reached_n") > 0).alias("ever_reached")
-    )
-    flags = counts.filter(F.col("slice").isNotNull()).select(
-        "ip",
-        "slice",
-        (F.col("n_source") + F.col("n_destination") > 0).alias("active"),
-        (F.col("responded_n") > 0).alias("responded"),
-        (F.col("reached_n") > 0).alias("reached"),
-    )
-    return flags, ever
-
+def host_activity(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """One row per host: the slices it was active in, responded in and was reached in.
 
-def hosts_missing_activity(sessions: DataFrame) -> DataFrame:
-    """Hosts of the log without any responding (``missing_ur``) or any reached (``missing_ig``) session.
-
-    A host-level test over the whole log, so the slices do not matter here.
+    ``ever_responded`` / ``ever_reached`` look at the whole log, also outside the slices. The lists hold
+    slice numbers, so none is longer than the slice catalogue.
     """
-    ends = sessions.select(
-        "source_ip",
-        "destination_ip",
-        (F.col("destination_bytes") > 0).alias("answered"),
-        F.explode(F.array(F.lit(False), F.lit(True))).alias("received"),
-    )
-    rows = ends.select(
-        F.when(F.col("received"), F.col("destination_ip")).otherwise(F.col("source_ip")).alias("ip"),
-        "received",
-        "answered",
-    ).filter(F.col("ip").isNotNull())
-    received, answered = F.col("received"), F.col("answered")
+    number = F.col("slice_no")
+    responded, reached = F.col("n_responded") > 0, F.col("n_reached") > 0
     return (
-        rows.groupBy("ip")
+        _activity(sessions, layout)
+        .groupBy("ip")
         .agg(
-            (F.count_if(~received | answered) == 0).alias("missing_ur"),
-            (F.count_if(received | answered) == 0).alias("missing_ig"),
+            F.max(responded).alias("ever_responded"),
+            F.max(reached).alias("ever_reached"),
+            F.collect_list(number).alias("active_in"),
+            F.collect_list(F.when(responded, number)).alias("responded_in"),
+            F.collect_list(F.when(reached, number)).alias("reached_in"),
         )
-        .filter(F.col("missing_ur") | F.col("missing_ig"))
     )
 
 
-def _host_slices(roles: DataFrame, sessions: DataFrame, periods: Sequence[Period], width: int) -> DataFrame:
-    """Every labelled host in every slice: the catalogue (hours of the log) is exploded per host."""
-    layout = _slice_layout(period_bounds(sessions, periods), periods, width)
-    catalogue = layout.select(_slice_array(periods, width)).scalar()
-    return roles.select("ip", "red_vs_blue", F.explode(catalogue).alias("s")).select(
-        "ip", "red_vs_blue", "s.slice", "s.slice_no"
+def hosts_missing_activity(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """Hosts of the log without any responding (``missing_ur``) or any reached (``missing_ig``) session."""
+    hosts = host_activity(sessions, layout).select(
+        "ip", (~F.col("ever_responded")).alias("missing_ur"), (~F.col("ever_reached")).alias("missing_ig")
     )
+    return hosts.filter(F.col("missing_ur") | F.col("missing_ig"))
 
 
-def slice_labels(
-    sessions: DataFrame,
-    roles: DataFrame,
-    periods: Sequence[Period] = TWO_DAYS,
-    width: int = HOUR_MS,
-    simple: bool = False,
-) -> DataFrame:
+def slice_labels(sessions: DataFrame, roles: DataFrame, layout: SliceLayout, simple: bool = False) -> DataFrame:
     """Label of every labelled host in every slice: (ip, slice, slice_no, label).
 
     ``simple`` only separates inactive (-1) from the host's role. Otherwise a host active in the slice
     is 0 if it neither sent nor replied, 1 if nothing answered it and nothing reached it. A host that
     never responded (or was never reached) in the whole log has no such record; its activity counts instead.
+
+    Roles and activity meet once per host; the slices are unfolded afterwards, without a shuffle.
     """
-    grid = _host_slices(roles, sessions, periods, width)
-    flags, ever = _flags(sessions, periods=periods, width=width)
-    joined = grid.join(flags, ["ip", "slice"], "left")
-    active = F.coalesce(F.col("active"), F.lit(False))
+    hosts = roles.select("ip", "red_vs_blue").join(host_activity(sessions, layout), "ip", "left")
+    every = F.sequence(F.lit(1).cast("bigint"), F.lit(layout.slices).cast("bigint"))
+    grid = hosts.withColumn("slice_no", F.explode(every))
+
+    def listed(column: str) -> Column:
+        return F.coalesce(F.array_contains(column, F.col("slice_no")), F.lit(False))
+
+    active = listed("active_in")
     if simple:
         label = slice_code_simple(active, F.col("red_vs_blue"))
     else:
-        joined = joined.join(ever, "ip", "left")
-        responded = F.when(F.col("ever_responded"), F.coalesce("responded", F.lit(False))).otherwise(active)
-        reached = F.when(F.col("ever_reached"), F.coalesce("reached", F.lit(False))).otherwise(active)
+        responded = F.when(F.col("ever_responded"), listed("responded_in")).otherwise(active)
+        reached = F.when(F.col("ever_reached"), listed("reached_in")).otherwise(active)
         label = slice_code(active, responded, reached, F.col("red_vs_blue"))
-    return joined.select("ip", "slice", "slice_no", label.alias("label"))
+    return grid.select("ip", _slice_name(F.col("slice_no"), layout).alias("slice"), "slice_no", label.alias("label"))
 
 
 def timeline(sessions: DataFrame, bins: int) -> DataFrame:

@@ -55,12 +55,23 @@ def _roles(spark: SparkSession, sf: str) -> DataFrame:
     return R.host_roles(standin.sessions(spark, sf), standin.host_labels(spark, sf))
 
 
-def _sliced(spark: SparkSession, sf: str) -> DataFrame:
-    return T.assign_slices(standin.sessions(spark, sf))
+def _layout(spark: SparkSession, sf: str) -> T.SliceLayout:
+    return T.slice_layout(standin.sessions(spark, sf))
 
 
-def _slice_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return T.slice_labels(standin.sessions(spark, sf), _roles(spark, sf))
+def _sliced(spark: SparkSession, sf: str, layout: T.SliceLayout | None = None) -> DataFrame:
+    return T.assign_slices(standin.sessions(spark, sf), layout or _layout(spark, sf))
+
+
+def _slice_labels(spark: SparkSession, sf: str, layout: T.SliceLayout | None = None) -> DataFrame:
+    return T.slice_labels(standin.sessions(spark, sf), _roles(spark, sf), layout or _layout(spark, sf))
+
+
+def _present_labels(spark: SparkSession, sf: str) -> DataFrame:
+    layout = _layout(spark, sf)
+    sliced = S.internal_sessions(_sliced(spark, sf, layout))
+    present = S.mirror_sessions(sliced, "slice").select("slice", "ip").distinct()
+    return X.labelled(present, _slice_labels(spark, sf, layout), "label", ["slice"])
 
 
 def _feature_hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,7 +161,7 @@ def host_sessions(spark, sf):
 
 @_query
 def subnet_activity(spark, sf):
-    return S.in_subnet(T.activity_hist(standin.sessions(spark, sf)), SUBNET)
+    return S.in_subnet(T.activity_hist(standin.sessions(spark, sf), _layout(spark, sf)), SUBNET)
 
 
 @_query
@@ -161,7 +172,7 @@ def answered_sessions(spark, sf):
 
 @_query
 def activity_hist_wide(spark, sf):
-    return T.activity_hist_wide(standin.sessions(spark, sf), SLICES)
+    return T.activity_hist_wide(standin.sessions(spark, sf), _layout(spark, sf))
 
 
 @_query
@@ -261,7 +272,7 @@ def port_value_counts(spark, sf):
 
 @_query
 def activity_hist(spark, sf):
-    return T.activity_hist(standin.sessions(spark, sf))
+    return T.activity_hist(standin.sessions(spark, sf), _layout(spark, sf))
 
 
 @_query
@@ -294,8 +305,9 @@ def host_timeline_edges(spark, sf):
 @_query
 def feature_density(spark, sf):
     # Bins depend on exact values, so both sides bin the rounded features.
-    features = rounded(X.host_features(_sliced(spark, sf), ["slice"]))
-    compared = D.class_comparison(features, _slice_labels(spark, sf), RED, GRAY)
+    layout = _layout(spark, sf)
+    features = rounded(X.host_features(_sliced(spark, sf, layout), ["slice"]))
+    compared = D.class_comparison(features, _slice_labels(spark, sf, layout), RED, GRAY)
     return rounded(D.feature_density(compared, list(FEATURES)))
 
 
@@ -339,12 +351,13 @@ def slice_features(spark, sf):
 def sessions_per_hour(spark, sf):
     log = standin.sessions(spark, sf)
     counts = X.lyu_features(log).select("ip", "sessions", "sessions_inc")
-    return rounded(X.sessions_per_hour(counts, T.observed_hours(log)))
+    return rounded(X.sessions_per_hour(counts, T.slice_layout(log).hours()))
 
 
 @_query
 def slice_catalogue(spark, sf):
-    return T.slice_catalogue(standin.sessions(spark, sf))
+    log = standin.sessions(spark, sf)
+    return T.slice_catalogue(log, T.slice_layout(log))
 
 
 @_query
@@ -354,26 +367,25 @@ def slice_labels(spark, sf):
 
 @_query
 def slice_labels_simple(spark, sf):
-    return T.slice_labels(standin.sessions(spark, sf), _roles(spark, sf), simple=True)
+    return T.slice_labels(standin.sessions(spark, sf), _roles(spark, sf), _layout(spark, sf), simple=True)
 
 
 @_query
 def slice_labels_present(spark, sf):
     """Labels of the hosts that have a feature row in the slice."""
-    sliced = S.internal_sessions(_sliced(spark, sf))
-    present = S.mirror_sessions(sliced, "slice").select("slice", "ip").distinct()
-    return X.labelled(present, _slice_labels(spark, sf), "label", ["slice"])
+    return _present_labels(spark, sf)
 
 
 @_query
 def hosts_missing_activity(spark, sf):
-    return T.hosts_missing_activity(standin.sessions(spark, sf))
+    return T.hosts_missing_activity(standin.sessions(spark, sf), _layout(spark, sf))
 
 
 @_query
 def class_comparison(spark, sf):
-    features = X.pro_node_features(_sliced(spark, sf), ["slice"])
-    return rounded(D.class_comparison(features, _slice_labels(spark, sf), RED, GRAY))
+    layout = _layout(spark, sf)
+    features = X.pro_node_features(_sliced(spark, sf, layout), ["slice"])
+    return rounded(D.class_comparison(features, _slice_labels(spark, sf, layout), RED, GRAY))
 
 
 # --- addresses and roles
@@ -454,7 +466,7 @@ def stratified_folds(spark, sf):
 @_query
 def slice_train_test(spark, sf):
     split = D.stratified_split(_feature_hosts(spark, sf), "red_vs_blue")
-    return D.slice_train_test(slice_labels_present(spark, sf), split)
+    return D.slice_train_test(_present_labels(spark, sf), split)
 
 
 # --- evaluation
@@ -545,8 +557,9 @@ def _training_table(spark: SparkSession, sf: str, label: str = "red_vs_blue") ->
 
 
 def _slice_training_table(spark: SparkSession, sf: str, split: DataFrame, column: str) -> DataFrame:
-    features = X.host_features(_sliced(spark, sf), ["slice"])
-    labels = _slice_labels(spark, sf).select("slice", "slice_no", "ip", "label")
+    layout = _layout(spark, sf)
+    features = X.host_features(_sliced(spark, sf, layout), ["slice"])
+    labels = _slice_labels(spark, sf, layout).select("slice", "slice_no", "ip", "label")
     return stored(D.slice_train_test(features.join(labels, ["slice", "ip"]), split, column), "slice-training")
 
 
