@@ -81,6 +81,8 @@ def li_features(
     ``scale="sessions"`` divides the twelve counts by the host's sessions; ``scale="minmax"`` maps the
     four port deviations to [0, 1] over all hosts. The default is neither.
     """
+    if scale not in (None, "sessions", "minmax"):
+        raise ValueError(f"scale: {scale}")
     internal = internal_sessions(sessions)
     by = [*keys, "ip"]
     moments = (
@@ -91,27 +93,22 @@ def li_features(
     counts = ports.aggregate_counts(
         ports.value_counts(internal, keys), keys, ports.coarse_port_aggregates(user_band), ports.protocol_aggregates()
     )
+    if scale == "minmax":
+        moments = _minmax(moments, MINMAX_SCALED)
     features = moments.join(counts, by)
     if scale == "sessions":
         features = features.withColumns({c: ratio(F.col(c), F.col("sessions")) for c in SESSION_SCALED})
-    elif scale == "minmax":
-        features = _minmax(features, MINMAX_SCALED)
-    elif scale is not None:
-        raise ValueError(f"scale: {scale}")
     return features.drop("sessions")
 
 
 def _minmax(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(c - min) / (max - min) over all rows; the bounds are one row, read as a scalar subquery."""
-    bounds = df.agg(
-        F.struct(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).alias("b")
-    ).scalar()
-    with_bounds = df.withColumn("bounds", bounds)
-    scaled = {
-        c: ratio(F.col(c) - F.col(f"bounds.lo_{c}"), F.col(f"bounds.hi_{c}") - F.col(f"bounds.lo_{c}"))
-        for c in columns
-    }
-    return with_bounds.withColumns(scaled).drop("bounds")
+    """(c - min) / (max - min) over all rows; the bounds are one row, read first. 0 where all are equal."""
+    bounds = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    scaled = {}
+    for c in columns:
+        lo, hi = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
+        scaled[c] = (F.col(c) - F.lit(lo)) / F.lit(hi - lo) if lo is not None and hi > lo else F.lit(0.0)
+    return df.withColumns(scaled)
 
 
 def pro_node_features(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -250,17 +250,13 @@ def slice_labels(sessions: DataFrame, roles: DataFrame, layout: SliceLayout, sim
 def timeline(sessions: DataFrame, bins: int) -> DataFrame:
     """Histogram of session starts in ``bins`` equal bins between first and last start: (bin, n).
 
-    Meant for the sessions of one host (``host_sessions`` or a filter); the last bin is closed.
+    Meant for the sessions of one host (``host_sessions`` or a filter); the last bin is closed. The two
+    bounds are one row, read first.
     """
-    span = sessions.agg(
-        F.struct(F.min("first_packet").alias("lo"), F.max("first_packet").alias("hi")).alias("span")
-    ).scalar()
-    placed = sessions.select("first_packet", span.alias("span"))
-    lo, hi = F.col("span.lo"), F.col("span.hi")
-    # Integer arithmetic: floor((t - lo) * bins / (hi - lo)).
-    step = (F.col("first_packet") - lo) * bins
-    index = F.least(F.floor(F.coalesce(step / F.nullif(hi - lo, F.lit(0)), F.lit(0))), F.lit(bins - 1))
-    return placed.groupBy(index.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+    span = sessions.agg(F.min("first_packet").alias("lo"), F.max("first_packet").alias("hi")).first()
+    lo, width = span["lo"] or 0, max((span["hi"] or 0) - (span["lo"] or 0), 1)
+    index = F.least(F.floor((F.col("first_packet") - lo) * bins / width), F.lit(bins - 1))
+    return sessions.groupBy(index.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def timeline_edges(sessions: DataFrame, start: int, stop: int, width: int) -> DataFrame:
