@@ -34,7 +34,8 @@ def stratified_rank(df: DataFrame, label: str, seed: int = 0, host: str = "ip")
     The order is the md5 of host and seed: reproducible on any cluster and independent of partitioning.
     Ranking a whole class in one window would put it into one task, so rows are ranked inside hash
     buckets, whose sizes then give each bucket its offset. The order of (bucket, hash) is the order of
-    the hash, so the result is exactly the rank within the class.
+    the hash, so the result is exactly the rank within the class. ``df`` is read twice (sizes and rows):
+    store it first if it is costly to compute.
     """
     digest = F.md5(F.concat(F.col(host), F.lit(f"|{seed}")).cast("binary"))
     keyed = df.withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, _BUCKET_DIGITS))

@@ -131,7 +131,7 @@ def ablation(
     """Cross-validated predictions per nested feature set; ``table`` holds features, label and fold."""
     runs = []
     for group in groups:
-        rows = weighted(assembled(table, label, FEATURE_GROUPS[group])).cache()
+        rows = weighted(assembled(table, label, FEATURE_GROUPS[group]))
         runs.append(cross_validate(rows, settings, folds, feature_group=group))
     return reduce(DataFrame.unionByName, runs)
 

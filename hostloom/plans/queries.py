@@ -75,9 +75,9 @@ def _present_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feature_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled hosts that have a feature row, with their role."""
+    """Labelled hosts that have a feature row, with their role; written once, as class sizes and ranks both read it."""
     hosts = R.hosts(S.internal_sessions(standin.sessions(spark, sf)))
-    return hosts.join(_roles(spark, sf), "ip")
+    return stored(hosts.join(_roles(spark, sf).select("ip", "red_vs_blue"), "ip"), "feature-hosts")
 
 
 # --- sources and sinks
@@ -550,10 +550,10 @@ _SHORT_FOLDS = (0, 1)
 
 
 def _training_table(spark: SparkSession, sf: str, label: str = "red_vs_blue") -> DataFrame:
-    """Feature rows with label and fold, written once."""
+    """Feature rows with label and fold; the rows are written once, as ranking and models re-read them."""
     labels = R.facility_classes(_roles(spark, sf)).select("ip", label)
     table = X.labelled(X.host_features(standin.sessions(spark, sf)), labels, label)
-    return stored(D.stratified_folds(table, label), "training")
+    return D.stratified_folds(stored(table, "features"), label)
 
 
 def _slice_training_table(spark: SparkSession, sf: str, split: DataFrame, column: str) -> DataFrame:
@@ -567,8 +567,13 @@ def _scored(predictions: DataFrame, *by: str) -> DataFrame:
     return rounded(E.macro_f1(predictions, "y_true", "y_pred", [*by, "fold", "part"]))
 
 
+def _training_rows(spark: SparkSession, sf: str, label: str = "red_vs_blue") -> DataFrame:
+    """Assembled and weighted rows with their fold, as the model loops take them."""
+    return stored(M.weighted(M.assembled(_training_table(spark, sf, label), label)), "training")
+
+
 def _cross_validated(spark, sf, settings: M.Trees, label: str = "red_vs_blue") -> DataFrame:
-    rows = M.weighted(M.assembled(_training_table(spark, sf, label), label)).cache()
+    rows = _training_rows(spark, sf, label)
     return _scored(M.cross_validate(rows, settings, _SHORT_FOLDS))
 
 
@@ -594,7 +599,7 @@ def ml_facility(spark, sf):
 
 @_query
 def ml_depth_grid(spark, sf):
-    rows = M.weighted(M.assembled(_training_table(spark, sf), "red_vs_blue")).cache()
+    rows = _training_rows(spark, sf)
     kinds = [
         M.Trees("decision_tree"),
         M.Trees("random_forest", trees=5),
@@ -605,13 +610,13 @@ def ml_depth_grid(spark, sf):
 
 @_query
 def ml_ablation(spark, sf):
-    table = _training_table(spark, sf)
+    table = stored(_training_table(spark, sf), "training")
     return _scored(M.ablation(table, "red_vs_blue", _BOOSTED, folds=(0,)), "feature_group")
 
 
 @_query
 def ml_feature_importance(spark, sf):
-    rows = M.weighted(M.assembled(_training_table(spark, sf), "red_vs_blue")).cache()
+    rows = _training_rows(spark, sf)
     model = _BOOSTED.estimator().fit(rows.filter(F.col("fold") != 0))
     return rounded(M.feature_importances(model, spark))
 
@@ -619,7 +624,7 @@ def ml_feature_importance(spark, sf):
 @_query
 def ml_static_vs_slice(spark, sf):
     """Accuracy per slice of the whole-period model and of the slice-trained model on held-out hosts."""
-    static = _training_table(spark, sf)
+    static = stored(_training_table(spark, sf), "training")
     sliced = _slice_training_table(spark, sf, static, "fold")
     scored = stored(
         M.static_vs_slice(
@@ -636,5 +641,5 @@ def ml_static_vs_slice(spark, sf):
 def ml_projection(spark, sf):
     names = {code: ROLE_NAMES[code] for code in (2, 3, 4)}
     table = X.class_subset(_training_table(spark, sf), "red_vs_blue", names)
-    rows = M.assembled(table, "red_vs_blue").cache()
+    rows = M.assembled(table, "red_vs_blue")
     return rounded(M.projection(rows, "ip", "class_name"))
