@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from hostloom.plans import standin
-from hostloom.plans.queries import FOLDS, HOST, SLICES, SUBNET, TIMELINE_EDGES
+from hostloom.plans.queries import FOLDS, HOST, OFF_TIES, SLICES, SUBNET, TIMELINE_EDGES
 from hostloom.schema import FEATURE_GROUPS, FEATURES, SERIES, SHARE_FEATURES, SPREAD_FEATURES
 
 HOUR = 3600000
@@ -18,6 +18,8 @@ ROLES = (0, 1, 2, 3, 4)
 
 
 def _r(expression: str, name: str) -> str:
+    if "_var" in name:
+        return f"round(coalesce({expression}, 0) + {OFF_TIES}, 1) + 0.0 AS {name}"
     return f"round(coalesce({expression}, 0), 4) + 0.0 AS {name}"
 
 
