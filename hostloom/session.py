@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "hostloom", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the benchmark; a cluster brings its own settings."""
+def local_session(
+    cores: int | str = "*", app: str = "hostloom", partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark; a cluster brings its own settings.
+
+    ``shared`` sets the folder for stored tables. Driver memory is left to the environment
+    (``spark-submit``, ``PYSPARK_SUBMIT_ARGS``).
+    """
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,32 +35,38 @@ def local_session(cores: int | str = "*", app: str = "hostloom", partitions: int
     return spark
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """This application's own folder below ``spark.checkpoint.dir``; it is removed when the application ends.
 
-    Only a local session without that setting gets a folder of its own; on a cluster a
-    machine-local folder would be lost with its machine, so a missing setting is an error there.
+    Without that setting the folder lies in the warehouse, which every executor reaches too.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="hostloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{root.rstrip('/')}/hostloom-{application}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        # With its scheme, so that readers outside Spark open the same store.
+        _folders[application] = files.makeQualified(path).toString()
+    return _folders[application]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/hostloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
-    Model loops read their input many times; from here on a lost executor costs a re-read of the
+    Loops read their input many times; from here on a lost executor costs a re-read of the
     table, not a re-run of the plan behind it.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

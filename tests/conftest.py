@@ -9,5 +9,5 @@ from hostloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "hostloom-tests")
+def spark(tmp_path_factory):
+    return local_session(8, "hostloom-tests", shared=str(tmp_path_factory.mktemp("shared")))
