@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,3 +74,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started from."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    path = f"{shared_folder(spark)}/{root.name}.zip"
+    files, inner = fs.FileSystem.from_uri(path)
+    with files.open_output_stream(inner) as sink:
+        sink.write(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(application)
