@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.llm import sharding, token_counts, token_files
-from hostloom.session import stored
+from hostloom.llm import packing, sharding, token_counts, token_files, winnowing
+from hostloom.session import ship_package, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +20,13 @@ _registry: dict[str, Query] = {}
 
 
 def _query(function: Query) -> Query:
-    _registry[function.__name__] = function
-    return function
+    @wraps(function)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    _registry[function.__name__] = shipped
+    return shipped
 
 
 def queries() -> dict[str, Query]:
@@ -40,6 +46,11 @@ def op1_token_files(spark, sf_dir):
     return token_files.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@_query
+def op2_packing(spark, sf_dir):
+    return packing.digests(packing.packed(packing.pieces(_table(spark, sf_dir, "documents"), TOKENIZER)))
+
+
 @_query
 def op8_token_counts(spark, sf_dir):
     return token_counts.context_limits(token_counts.length_histogram(_table(spark, sf_dir, "documents"), TOKENIZER))
@@ -59,3 +70,8 @@ def op9_virtual_slots(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
+
+
+@_query
+def op10_winnowing(spark, sf_dir):
+    return winnowing.edited_and_next(_table(spark, sf_dir, "documents"))
