@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.llm import packing, sharding, token_counts, token_files, winnowing
+from hostloom.llm import neardup, packing, sharding, token_counts, token_files, winnowing
 from hostloom.session import ship_package, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op2_packing(spark, sf_dir):
     return packing.digests(packing.packed(packing.pieces(_table(spark, sf_dir, "documents"), TOKENIZER)))
 
 
+@_query
+def op7_minhash(spark, sf_dir):
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_token_counts(spark, sf_dir):
     return token_counts.context_limits(token_counts.length_histogram(_table(spark, sf_dir, "documents"), TOKENIZER))
