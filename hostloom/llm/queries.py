@@ -9,7 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.llm import neardup, packing, phrases, sharding, token_counts, token_files, winnowing
+from hostloom.llm import (
+    decontamination,
+    neardup,
+    packing,
+    phrases,
+    sharding,
+    token_counts,
+    token_files,
+    winnowing,
+)
 from hostloom.session import ship_package, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +60,11 @@ def op2_packing(spark, sf_dir):
     return packing.digests(packing.packed(packing.pieces(_table(spark, sf_dir, "documents"), TOKENIZER)))
 
 
+@_query
+def op3_decontamination(spark, sf_dir):
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op5_repeated_phrases(spark, sf_dir):
     return phrases.digests(phrases.deduplicated(_table(spark, sf_dir, "documents")))
