@@ -17,6 +17,7 @@ from hostloom.llm import (
     sharding,
     token_counts,
     token_files,
+    toxicity,
     winnowing,
 )
 from hostloom.session import ship_package, stored
@@ -65,6 +66,12 @@ def op3_decontamination(spark, sf_dir):
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op4_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 @_query
 def op5_repeated_phrases(spark, sf_dir):
     return phrases.digests(phrases.deduplicated(_table(spark, sf_dir, "documents")))
