@@ -14,6 +14,7 @@ from hostloom.llm import (
     neardup,
     packing,
     phrases,
+    quality,
     sharding,
     token_counts,
     token_files,
@@ -77,6 +78,12 @@ def op5_repeated_phrases(spark, sf_dir):
     return phrases.digests(phrases.deduplicated(_table(spark, sf_dir, "documents")))
 
 
+@_query
+def op6_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 @_query
 def op7_minhash(spark, sf_dir):
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
