@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +138,7 @@ def _read(docs: DataFrame) -> DataFrame:
                     pa.array(hashes.view(np.int64)),
                     pa.array(count),
                     pa.array(np.where(copied, count, 0), mask=waits),
-                    pc.if_else(pa.array(copied), "", _masked(text, waits)),
+                    _emptied(text, copied, waits),
                     _masked(text, ~waits),
                     _masked(batch.column("starts"), ~waits),
                 ],
@@ -149,8 +148,15 @@ def _read(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(finish, _READ)
 
 
+def _emptied(text: pa.Array, empty: np.ndarray, out: np.ndarray) -> pa.Array:
+    """``text`` with empty strings where ``empty``, nulls where ``out`` is true."""
+    more = pa.concat_arrays([text, pa.array([""], text.type)])
+    return more.take(pa.array(np.where(empty, len(text), np.arange(len(text))), mask=out))
+
+
 def _masked(column: pa.Array, out: np.ndarray) -> pa.Array:
-    return pc.if_else(pa.array(~out), column, pa.scalar(None, column.type))
+    """``column`` with nulls where ``out`` is true."""
+    return column.take(pa.array(np.arange(len(column)), mask=out))
 
 
 _CONTEXT = "id_a bigint, id_b bigint, anchor bigint, base int, low bigint, high bigint, n int, run string"
