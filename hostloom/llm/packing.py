@@ -268,7 +268,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     short = F.col("length") < capacity
     places = pack(cut.filter(short).select("uid", "length"), capacity)
     alone = cut.filter(~short).withColumns({"sequence_id": F.col("uid") * 2 + 1, "offset": F.lit(0).cast("bigint")})
-    return cut.filter(short).join(places, "uid").unionByName(alone)
+    # Places grow with the pieces, so they are never broadcast.
+    return cut.filter(short).join(places.hint("shuffle_merge"), "uid").unionByName(alone)
 
 
 def digests(rows: DataFrame) -> DataFrame:
