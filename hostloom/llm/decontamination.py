@@ -277,9 +277,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = INDEX
     return found if found is not None else spark.createDataFrame([], _LEAKS)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a stretch of the benchmark, all columns kept.
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text holds a stretch of the benchmark, all columns kept; no shuffle."""
+    for items in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
-    A row without doc_id is kept, as no finding can name it.
-    """
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, data, offsets in chunks(batches, size=_SCAN_BYTES):
+                good = np.ones(batch.num_rows, bool)
+                good[[leak[0] for leak in leaks(normal(data), offsets, shared.value)]] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

@@ -106,9 +106,11 @@ def _kept(raw: bytes) -> str:
     return hashlib.sha256(b" ".join(raw.split())).hexdigest()
 
 
-_READ = (
-    "doc_id bigint, text_hash bigint, n_words bigint, n_removed bigint, kept_text string, text string, starts array<int>"
-)
+_READ = "doc_id bigint, text_hash bigint, n_words bigint, n_removed bigint, kept_text string, text string, starts array<int>"
+
+
+def _with_rest(schema: str, rows: DataFrame) -> str:
+    return f"{schema}, rest {rows.schema['rest'].dataType.simpleString()}"
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def _read(docs: DataFrame) -> DataFrame:
     # Both are small and keyed by document, so that texts are shuffled once.
     rows = docs.join(recurring.join(copies, "doc_id", "full"), "doc_id", "left")
     copy = F.coalesce(F.array_contains("copied", F.sha2("text", 256)), F.lit(False))
-    rows = rows.select("doc_id", "text", "starts", copy.alias("copy"))
+    rows = rows.select("doc_id", "text", "starts", copy.alias("copy"), "rest")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
@@ -141,11 +143,12 @@ def _read(docs: DataFrame) -> DataFrame:
                     _emptied(text, copied, waits),
                     _masked(text, ~waits),
                     _masked(batch.column("starts"), ~waits),
+                    batch.column("rest"),
                 ],
-                names=["doc_id", "text_hash", "n_words", "n_removed", "kept_text", "text", "starts"],
+                names=["doc_id", "text_hash", "n_words", "n_removed", "kept_text", "text", "starts", "rest"],
             )
 
-    return rows.mapInArrow(finish, _READ)
+    return rows.mapInArrow(finish, _with_rest(_READ, rows))
 
 
 def _emptied(text: pa.Array, empty: np.ndarray, out: np.ndarray) -> pa.Array:
@@ -337,14 +340,16 @@ def _located(contexts: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text: every document without the words that earlier ones have.
+    """doc_id, n_words, n_removed, kept_text, rest: every document without the words that earlier ones have.
 
     ``docs`` has doc_id and text. A word is removed if a window over it also starts in a document with a smaller
     doc_id. kept_text is the untouched text (null stays null) where nothing is removed, else the kept words joined
     by single spaces. Rows without doc_id are neither searched nor cut. Rows that share a doc_id never cut
-    each other. An empty table gives no row.
+    each other. Further columns come back in the struct ``rest``, whatever their names. An empty table gives no row.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", rest.alias("rest"))
     read = stored(_read(docs), "phrase-documents")
     waiting = read.filter("starts is not null").select("doc_id", "text_hash", "text", "starts")
     located = stored(_located(_without_hot_anchors(_contexts(waiting))), "phrase-occurrences")
@@ -372,15 +377,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 removed.append(int(gone.sum()))
                 texts.append(b" ".join([w for w, g in zip(parts, gone) if not g]).decode() if gone.any() else text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_text"],
+                [
+                    *(batch.column(c) for c in ("doc_id", "n_words")),
+                    pa.array(removed, pa.int64()),
+                    pa.array(texts, pa.string()),
+                    batch.column("rest"),
+                ],
+                names=["doc_id", "n_words", "n_removed", "kept_text", "rest"],
             )
 
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
-    rest = read.filter("starts is not null").select("doc_id", "text_hash", "n_words", "text")
-    rest = rest.join(hits, ["doc_id", "text_hash"], "left").select("doc_id", "n_words", "text", "hits")
-    done = read.filter("starts is null").select("doc_id", "n_words", "n_removed", "kept_text")
-    return done.unionByName(rest.mapInArrow(cut, schema))
+    schema = _with_rest("doc_id bigint, n_words bigint, n_removed bigint, kept_text string", read)
+    left = read.filter("starts is not null").select("doc_id", "text_hash", "n_words", "text", "rest")
+    left = left.join(hits, ["doc_id", "text_hash"], "left").select("doc_id", "n_words", "text", "hits", "rest")
+    done = read.filter("starts is null").select("doc_id", "n_words", "n_removed", "kept_text", "rest")
+    return done.unionByName(left.mapInArrow(cut, schema))
 
 
 def digests(rows: DataFrame) -> DataFrame:

@@ -113,3 +113,10 @@ def op9_virtual_slots(spark, sf_dir):
 @_query
 def op10_winnowing(spark, sf_dir):
     return winnowing.edited_and_next(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -260,7 +260,36 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     return model
 
 
+class _Judge:
+    """Scores chunks; equal term counts are judged once."""
+
+    def __init__(self, model: Model):
+        self.model, self.seen = model, {}
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, list[int], list[float]]]:
+        """Score, neighbours and cosines of every text."""
+        model = self.model
+        text, code, count = term_counts(data, offsets)
+        known = np.isin(code, model.terms)
+        text, code, count = text[known], code[known], count[known]
+        bounds = np.searchsorted(text, np.arange(len(offsets)))
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if a == b:
+                out.append((model.elsewhere, [], []))
+                continue
+            key = code[a:b].tobytes() + count[a:b].tobytes()
+            if key not in self.seen:
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                vote, near, cosine = model.vote(*model.vector(code[a:b], count[a:b]))
+                self.seen[key] = (model.score(vote), model.ids[near].tolist(), cosine.tolist())
+            out.append(self.seen[key])
+        return out
+
+
 _SCORES = "doc_id bigint, score double, neighbours array<bigint>, cosines array<double>"
+TOXIC = 0.5
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -273,25 +302,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = shared.value, {}
+        judge = _Judge(shared.value)
         for batch, data, offsets in chunks(batches):
-            text, code, count = term_counts(data, offsets)
-            known = np.isin(code, model.terms)
-            text, code, count = text[known], code[known], count[known]
-            bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            out = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if a == b:
-                    out.append((model.elsewhere, [], []))
-                    continue
-                key = code[a:b].tobytes() + count[a:b].tobytes()
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    vote, near, cosine = model.vote(*model.vector(code[a:b], count[a:b]))
-                    seen[key] = (model.score(vote), model.ids[near].tolist(), cosine.tolist())
-                out.append(seen[key])
-            score, near, cosine = zip(*out)
+            score, near, cosine = zip(*judge(data, offsets))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -307,7 +320,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
         "neighbours",
         "cosines",
     )
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without the rows whose score reaches 0.5, all columns kept; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _Judge(shared.value)
+        for batch, data, offsets in chunks(batches):
+            yield batch.filter(pa.array([score < TOXIC for score, _, _ in judge(data, offsets)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
