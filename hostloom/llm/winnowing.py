@@ -123,7 +123,7 @@ def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     place = F.coalesce(doc_id, F.lit(_NO_ID))
     ids = docs.select(place.alias("place"), place.cast("double").alias("at"))
     cuts = ids.approxQuantile("at", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="at", outputCol="bucket")
     firsts = sorted(tuple(r) for r in bucketizer.transform(ids).groupBy("bucket").agg(F.min("place")).collect())
     before = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
