@@ -3,8 +3,10 @@
 1. One pass over the texts gives every document its number of shingles, a 128-bit key of its words and its band
    keys. Documents with equal words form a class; only its first document goes on.
 2. Documents that share a band are candidates. They are linked in three rounds, so that a group of thousands
-   never spells out its pairs: first every document with the smallest leader of its buckets, then with all its
-   leaders, and at last the remaining pairs of a bucket that lie in different components.
+   never spells out its pairs: twice every document with the leader (smallest document of a bucket) it shares most
+   buckets with, among those not yet in its component; then the documents of all buckets that still hold
+   several components. Among these, pairs of different components are formed where they share a rare shingle and
+   their sizes and the shingle's places allow the threshold; that loses no pair.
 3. A candidate pair's signatures are compared batch by batch. The pair is dropped once the posterior
    probability of reaching the threshold, given the matches so far, is below the miss probability. Survivors are
    verified on their full shingle sets.
@@ -32,6 +34,8 @@ HASHES = 160
 BAND_ROWS = 4
 BATCH = 16
 MISS_PROBABILITY = 1e-6
+SKETCH = 1 << 16
+_SKETCH_SHIFT = np.uint64(48)
 
 _draw = np.random.default_rng(75)
 _FACTORS = _draw.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -214,6 +218,107 @@ def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return stored(labelled.join(mixed_keys.select("key"), "key", "left_semi"), "neardup-mixed")
 
 
+def _best_leaders(buckets: DataFrame) -> DataFrame:
+    """Per document the leader it shares most buckets with (ties: the smallest), as (a, b)."""
+    shared = buckets.filter("doc_id <> leader").groupBy("doc_id", "leader").count()
+    best = F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")
+    pairs = shared.groupBy("doc_id").agg(best)
+    return pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, in a table of fixed size by the top bits of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column("members").to_pylist()), np.uint64)
+            total += np.bincount((codes >> _SKETCH_SHIFT).astype(np.int64), minlength=SKETCH)
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "n"])
+
+    counted = sets.select("members").mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    out = np.zeros(SKETCH, np.int64)
+    for row in counted.collect():  # at most SKETCH rows
+        out[row["place"]] = row["n"]
+    return out
+
+
+def _prefix_rows(members: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """token, size, doc_id, component, rest for the rare end of every set.
+
+    Sets are put in one order, rare shingles first. Two sets that reach the threshold share a shingle among the first
+    n - ceil(t n) + 1 of either; ``rest`` counts those from it on, which bounds what they can share.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, component, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "members"))):
+                codes = np.frombuffer(body, np.uint64)
+                n = len(codes)
+                order = np.argsort(shared.value[(codes >> _SKETCH_SHIFT).astype(np.int64)], kind="stable")
+                first = codes[order[: n + (-PERCENT * n // 100) + 1]]
+                same = [np.full(len(first), v, np.int64) for v in (doc_id, component, n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), *map(pa.array, same), pa.array(n - np.arange(len(first)))],
+                    names=["token", "doc_id", "component", "n", "rest"],
+                )
+
+    return members.mapInArrow(run, "token bigint, doc_id bigint, component bigint, n bigint, rest bigint")
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that a common rare shingle, sizes and rests allow to reach the threshold.
+
+    Rows meet by shingle and size class; partners' sizes lie in the same class or the next, so each row is
+    also a guest in the class above. Within a meeting only pairs that pass come into being.
+    """
+    # A class is a little wider than the largest quotient of sizes, so that rounding does no harm.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(101 / PERCENT)))
+    visits = [
+        F.struct((band + up).alias("band"), F.lit(up == 1).alias("guest"))
+        for up in (0, 1)
+    ]
+    met = rows.withColumn("visit", F.explode(F.array(*visits)))
+    met = met.select("token", "visit.band", "visit.guest", "n", "doc_id", "component", "rest")
+
+    def pairs(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        guest, n, doc, component, rest = (np.array(v) for v in zip(*group))
+        values, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
+        out = []
+        if len(values) > 1:
+            others = np.flatnonzero(inverse != np.argmax(counts))  # members of the largest component look for no one
+            order = np.argsort(n, kind="stable")
+            sizes = n[order]
+            for x in others.tolist():
+                low = np.searchsorted(sizes, -(-PERCENT * n[x] // 100))
+                high = np.searchsorted(sizes, n[x] * 100 // PERCENT, side="right")
+                y = order[low:high]
+                least = PERCENT * (n[x] + n[y])  # shared >= t / (1 + t) (|x| + |y|)
+                good = (component[y] != component[x]) & ~(guest[x] & guest[y])
+                good &= ((100 + PERCENT) * rest[x] >= least) & ((100 + PERCENT) * rest[y] >= least)
+                out += [(min(int(doc[x]), z), max(int(doc[x]), z)) for z in doc[y[good]].tolist()]
+        found = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, current = [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("guest", "n", "doc_id", "component", "rest")]
+            for key, row in zip(zip(batch.column("token").to_pylist(), batch.column("band").to_pylist()), zip(*columns)):
+                if key != current:
+                    if len(group) > 1:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(group))), names=["a", "b"])
+                    group, current = [], key
+                group.append(row)
+        if len(group) > 1:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(group))), names=["a", "b"])
+
+    dealt = met.repartition("token", "band").sortWithinPartitions("token", "band")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Verified links (a, b) between first documents of classes that connect all linked documents."""
     heads = found.filter("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id"))
@@ -223,23 +328,15 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     buckets = stored(rows.join(leaders.filter("leader < last").drop("last"), "key"), "neardup-buckets")
     sets = _with_sets(docs, buckets.select("doc_id").distinct())
 
-    first = buckets.groupBy("doc_id").agg(F.min("leader").alias("a")).filter("a < doc_id")
-    first = first.select("a", F.col("doc_id").alias("b"))
-    known = verified(first, sets)
-
+    known = verified(_best_leaders(buckets), sets)
     left = _labelled(buckets, known)
-    of_leader = left.filter("doc_id = leader").select("key", F.col("component").alias("leader_component"))
-    stars = left.join(of_leader.distinct(), "key").filter("component <> leader_component")
-    stars = stored(stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "neardup-stars")
-    known = stored(known.unionByName(verified(stars, sets)), "neardup-links")
-
-    left = _labelled(left.drop("component"), known)
-    a, b = left.alias("a"), left.alias("b")
-    crossing = a.join(b, F.col("a.key") == F.col("b.key")).filter("a.component < b.component")
-    low, high = F.least("a.doc_id", "b.doc_id"), F.greatest("a.doc_id", "b.doc_id")
-    crossing = crossing.select(low.alias("a"), high.alias("b")).distinct()
-    crossing = crossing.join(stars, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
-    return known.unionByName(verified(crossing, sets))
+    of_leader = left.filter("doc_id = leader").select("key", F.col("component").alias("leader_component")).distinct()
+    apart = left.join(of_leader, "key").filter("component <> leader_component")
+    known = stored(known.unionByName(verified(_best_leaders(apart), sets)), "neardup-links")
+
+    left = _labelled(left.drop("component"), known).select("doc_id", "component").distinct()
+    rare = _prefix_rows(sets.join(left, "doc_id").select("doc_id", "component", "members"), _frequencies(sets))
+    return known.unionByName(verified(_crossing(rare), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
