@@ -27,7 +27,7 @@ MAX_LABELLED = 12_000  # labelled rows used to fit
 NEIGHBOURS = 15
 BLOCK = 32
 PREFIXES = (4, 5, 6)
-LEAST_LIFT = 4.0
+LEAST_LIFT = 16.0
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
@@ -80,9 +80,8 @@ def _term_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def telling_terms(frequencies: DataFrame, documents: int, positives: int) -> DataFrame:
-    """Terms that go with the label: likelihood ratio beyond what chance gives one term in ten of such tables,
-    and at least ``LEAST_LIFT`` times as frequent among positive rows."""
-    terms = frequencies.count()
+    """Terms that go with the label: at least ``LEAST_LIFT`` times as frequent among positive rows, with a
+    likelihood ratio at which chance would give at most a tenth of as many terms (its tail is below exp(-ratio / 2))."""
     a = F.col("n_positive").cast("double")
     b = (F.col("n_docs") - F.col("n_positive")).cast("double")
     n, p = float(max(documents, 1)), float(max(positives, 1))
@@ -95,9 +94,17 @@ def telling_terms(frequencies: DataFrame, documents: int, positives: int) -> Dat
         rest = size - k
         return log + F.when((rest > 0) & (share < 1), rest * F.log((1 - rate) / (1 - share))).otherwise(0.0)
 
-    ratio = 2 * (part(a, p) + part(b, q))
     lift = ((a + 0.5) / (p + 1)) / ((b + 0.5) / (q + 1))
-    return frequencies.filter((ratio >= 2 * np.log(10.0 * max(terms, 1))) & (lift >= LEAST_LIFT))
+    rated = frequencies.withColumns({"ratio": 2 * (part(a, p) + part(b, q)), "lift": lift})
+    # Counts by whole-numbered ratio: one row per value.
+    level = F.when(F.col("lift") >= LEAST_LIFT, F.floor("ratio")).otherwise(-1)
+    counts = {r["level"]: r["count"] for r in rated.groupBy(level.alias("level")).count().collect()}
+    terms, above, cutoff = sum(counts.values()), 0, float("inf")
+    for value in sorted((v for v in counts if v is not None and v >= 0), reverse=True):
+        above += counts[value]
+        if terms * np.exp(-value / 2) <= 0.1 * above:
+            cutoff = float(value)
+    return rated.filter((F.col("ratio") >= cutoff) & (F.col("lift") >= LEAST_LIFT))
 
 
 class BlockMaxIndex:
