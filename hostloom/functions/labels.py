@@ -19,7 +19,8 @@ def is_ignored() -> Column:
 
 
 def is_blue(blue_team: Column) -> Column:
-    return blue_team != "None"
+    """Anything but the text ``None``; a missing team is a team too."""
+    return ~blue_team.eqNullSafe("None")
 
 
 def role_code(ghost: Column, ignored: Column, red_team: Column, blue: Column) -> Column:

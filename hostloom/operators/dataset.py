@@ -21,11 +21,13 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_weights(df: DataFrame, label: str, weights: DataFrame | None = None) -> DataFrame:
     """Adds each row's class weight as ``weight``; pass ``weights`` to use those of another frame.
 
-    The broadcast side has one row per class code, and codes run from -1 to 5.
+    A class that ``weights`` does not list has weight 1. A null label is an error.
     """
     if weights is None:
         weights = class_weights(df, label)
-    return df.join(F.broadcast(weights.select(label, "weight")), label)
+    present = F.when(F.col(label).isNull(), F.raise_error(F.lit(f"null in {label}")).cast("double"))
+    joined = df.join(weights.select(label, F.col("weight").alias("_weight")), label, "left")
+    return joined.withColumn("weight", present.otherwise(F.coalesce("_weight", F.lit(1.0)))).drop("_weight")
 
 
 def stratified_rank(df: DataFrame, label: str, seed: int = 0, host: str = "ip") -> DataFrame:
@@ -50,8 +52,7 @@ def stratified_rank(df: DataFrame, label: str, seed: int = 0, host: str = "ip")
     )
     inside = Window.partitionBy(label, "bucket").orderBy("digest", host)
     ranked = keyed.withColumn("place", F.row_number().over(inside))
-    # At most 4,096 rows per class code (seven codes): small enough to broadcast by construction.
-    joined = ranked.join(F.broadcast(offsets), [label, "bucket"])
+    joined = ranked.join(offsets, [label, "bucket"])
     return joined.withColumn("rank", F.col("offset") + F.col("place")).drop("digest", "bucket", "offset", "place")
 
 
@@ -90,11 +91,12 @@ def feature_density(
     """Histogram of each feature per class over log10 bins, normalised within (feature, class).
 
     Values that have no logarithm are left out, also of the total. Output: (feature, label, bin, n,
-    density); bin ``b`` covers ``10^(b/bins_per_decade)`` up to the next edge.
+    density); bin ``b`` covers ``10^(b/bins_per_decade)`` up to the next edge. A value within a billionth of a
+    bin below an edge counts as on it, so that the last digits of a variance do not decide.
     """
     wide = df.select(label, *[F.col(c).cast("double").alias(c) for c in features])
     long = wide.unpivot([label], list(features), "feature", "value").filter(F.col("value") > 0)
-    bin_ = F.floor(F.log10("value") * bins_per_decade).cast("bigint")
+    bin_ = F.floor(F.log10("value") * bins_per_decade + 1e-9).cast("bigint")
     counts = long.groupBy("feature", label, bin_.alias("bin")).agg(F.count("*").alias("n"))
     # The window sees one row per bin.
     total = F.sum("n").over(Window.partitionBy("feature", label))

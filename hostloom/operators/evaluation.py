@@ -30,8 +30,20 @@ def confusion_matrix(
     normalize: bool = False,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per true class with columns ``pred_<class>``: counts, or shares of the row."""
+    """One row per class with columns ``pred_<class>``: counts, or shares of the row.
+
+    A class that is never true has a row of zeros. A code outside ``classes``, or null, is an error.
+    """
     counts = pair_counts(df, true, pred, by)
+    known = F.col("true").isin(*classes) & F.col("pred").isin(*classes)
+    message = F.concat_ws(" ", F.lit("class outside the matrix:"), "true", "pred")
+    checked = F.when(F.coalesce(known, F.lit(False)), F.col("n")).otherwise(F.raise_error(message).cast("bigint"))
+    counts = counts.withColumn("n", checked)
+    # Zero rows for every class; one row per group and class.
+    groups = counts.groupBy(*by).agg(F.count("*").alias("pairs"))
+    zeros = groups.select(*by, F.explode(F.array(*[F.lit(c).cast("bigint") for c in classes])).alias("true"))
+    zeros = zeros.withColumns({"pred": F.col("true"), "n": F.lit(0).cast("bigint")})
+    counts = counts.withColumns({c: F.col(c).cast("bigint") for c in ("true", "pred")}).unionByName(zeros)
     cells = [F.coalesce(F.sum(F.when(F.col("pred") == c, F.col("n"))), F.lit(0)) for c in classes]
     if normalize:
         cells = [ratio(cell, F.sum("n")) for cell in cells]
@@ -40,6 +52,11 @@ def confusion_matrix(
 
 def class_scores(df: DataFrame, true: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support of every class that is true or predicted somewhere."""
+    return scores_of_counts(pair_counts(df, true, pred, by), by)
+
+
+def scores_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``class_scores`` from counts of (true, pred) pairs."""
     n, zero = F.col("n"), F.lit(0).cast("bigint")
     hit = F.when(F.col("true") == F.col("pred"), n).otherwise(zero)
     sides = F.array(
@@ -47,8 +64,7 @@ def class_scores(df: DataFrame, true: str, pred: str, by: Sequence[str] = ()) ->
         F.struct(F.col("pred").alias("class"), zero.alias("support"), n.alias("predicted"), zero.alias("hits")),
     )
     sums = (
-        pair_counts(df, true, pred, by)
-        .select(*by, F.inline(sides))
+        counts.select(*by, F.inline(sides))
         .groupBy(*by, "class")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
     )
@@ -95,7 +111,11 @@ def classification_report(df: DataFrame, true: str, pred: str, by: Sequence[str]
 
 def macro_f1(df: DataFrame, true: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """Unweighted mean of the per-class F1."""
-    return class_scores(df, true, pred, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
+    return macro_f1_of_counts(pair_counts(df, true, pred, by), by)
+
+
+def macro_f1_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return scores_of_counts(counts, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
 
 
 def misclassified(df: DataFrame, true: str, pred: str, label: int | None = None) -> DataFrame:
@@ -132,15 +152,19 @@ def merged_predictions(df: DataFrame, pred: str, majority: bool = False) -> Data
     return ranked.groupBy("ip").agg(F.max(pick)["pred"].alias("pred"))
 
 
-def merged_confusion(df: DataFrame, pred: str, roles: DataFrame, role: str = "red_vs_blue") -> DataFrame:
+def merged_confusion(
+    df: DataFrame, pred: str, roles: DataFrame, role: str = "red_vs_blue", classes: Sequence[int] = CLASSES
+) -> DataFrame:
     """Row-normalised confusion of the merged per-host prediction against the host's role."""
     scored = merged_predictions(df, pred).join(roles.select("ip", role), "ip")
-    return confusion_matrix(scored, role, "pred", normalize=True)
+    return confusion_matrix(scored, role, "pred", classes, normalize=True)
 
 
-def agreement_confusion(df: DataFrame, true: str, pred_a: str, pred_b: str) -> DataFrame:
+def agreement_confusion(
+    df: DataFrame, true: str, pred_a: str, pred_b: str, classes: Sequence[int] = CLASSES
+) -> DataFrame:
     """Confusion where two models say the same."""
-    return confusion_matrix(df.filter(F.col(pred_a) == F.col(pred_b)), true, pred_a)
+    return confusion_matrix(df.filter(F.col(pred_a) == F.col(pred_b)), true, pred_a, classes)
 
 
 def _correct(df: DataFrame, true: str, pred: str, above: int) -> DataFrame:

@@ -1,15 +1,16 @@
 """Tree models with Spark MLlib: fit, cross-validate, compare, project.
 
 Inputs are host-sized tables. They are written to the shared folder once (``session.stored``) before
-any model loop, so that no fit re-runs the feature plan. Scores of all folds and settings are computed
-from one union of predictions, in one aggregate.
+any model loop, so that no fit re-runs the feature plan. Independent fits run side by side; each writes its
+predictions to the shared folder and lets its model go, so neither models nor plans pile up in the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.operators.dataset import class_weights, with_weights
-from hostloom.operators.evaluation import macro_f1
+from hostloom.operators.evaluation import macro_f1_of_counts, pair_counts
 from hostloom.schema import FEATURE_GROUPS, FEATURES
+from hostloom.session import stored
 
 MAX_DEPTH = 30  # MLlib's limit; stands for unlimited depth
 # The depth grid; None is unlimited.
@@ -44,8 +46,15 @@ class Trees:
     seed: int = 0
     parallelism: int = 5
 
+    @property
+    def fitted_depth(self) -> int:
+        """Unlimited depth is the library's limit; a depth beyond it is an error."""
+        if self.depth is not None and self.depth > MAX_DEPTH:
+            raise ValueError(f"depth {self.depth}: trees have at most {MAX_DEPTH} levels")
+        return MAX_DEPTH if self.depth is None else self.depth
+
     def estimator(self):
-        depth = MAX_DEPTH if self.depth is None else min(self.depth, MAX_DEPTH)
+        depth = self.fitted_depth
         common = {"labelCol": "y", "featuresCol": "features", "maxDepth": depth, "seed": self.seed}
         weight = {"weightCol": "weight"} if self.weighted else {}
         if self.kind == "decision_tree":
@@ -78,17 +87,23 @@ def predict(model, rows: DataFrame, name: str = "y_pred") -> DataFrame:
     return scored.drop(*extra).withColumn(name, F.col("prediction").cast("bigint")).drop("prediction")
 
 
-def cross_validate(rows: DataFrame, settings: Trees, folds: Sequence[int], **tags) -> DataFrame:
-    """Fit on all folds but one, predict both parts: (tags, fold, part, ip, y_true, y_pred).
+# Fits that run side by side.
+PARALLEL_FITS = 5
 
-    ``rows`` comes from ``assembled`` with ``weight`` and ``fold``; class weights are those of all rows.
-    """
+
+def _side_by_side(runs: Sequence[Callable[[], DataFrame]]) -> DataFrame:
+    """Store every run's rows and read them as one table."""
+    with ThreadPool(min(PARALLEL_FITS, len(runs))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(lambda run: stored(run(), "predictions"), runs))
+
+
+def _fold_run(rows: DataFrame, settings: Trees, fold: int, tags: dict) -> Callable[[], DataFrame]:
     keys = [c for c in ("slice", "slice_no") if c in rows.columns]
-    predictions = []
-    for fold in folds:
+
+    def run() -> DataFrame:
         model = settings.estimator().fit(rows.filter(F.col("fold") != fold))
         part = F.when(F.col("fold") == fold, "test").otherwise("train")
-        scored = predict(model, rows).select(
+        return predict(model, rows).select(
             *[F.lit(v).alias(k) for k, v in tags.items()],
             F.lit(fold).alias("fold"),
             part.alias("part"),
@@ -97,22 +112,35 @@ def cross_validate(rows: DataFrame, settings: Trees, folds: Sequence[int], **tag
             F.col("y").cast("bigint").alias("y_true"),
             "y_pred",
         )
-        predictions.append(scored)
-    return reduce(DataFrame.unionByName, predictions)
+
+    return run
+
+
+def cross_validate(rows: DataFrame, settings: Trees, folds: Sequence[int] = range(5), **tags) -> DataFrame:
+    """Fit on all folds but one, predict both parts: (tags, fold, part, ip, y_true, y_pred).
+
+    ``rows`` comes from ``assembled`` with ``weight`` and ``fold``; class weights are those of all rows.
+    """
+    return _side_by_side([_fold_run(rows, settings, fold, tags) for fold in folds])
 
 
 def depth_grid(
     rows: DataFrame, base: Sequence[Trees], depths: Sequence[int | None] = DEPTH_GRID, folds: Sequence[int] = range(5)
 ) -> DataFrame:
-    """Mean macro-F1 on test and train parts per model kind and depth, and their difference."""
+    """Mean macro-F1 on test and train parts per model kind and fitted depth, and their difference.
+
+    Depths beyond the library's limit, and unlimited depth, are one entry: that limit.
+    """
+    fitted = sorted({MAX_DEPTH if d is None else min(d, MAX_DEPTH) for d in depths})
     runs = []
     for settings in base:
-        for depth in depths:
-            tried = Trees(**{**settings.__dict__, "depth": depth})
-            shown = MAX_DEPTH if depth is None else depth
-            runs.append(cross_validate(rows, tried, folds, kind=settings.kind, max_depth=shown))
+        for depth in fitted:
+            tags = {"kind": settings.kind, "max_depth": depth}
+            runs += [_fold_run(rows, replace(settings, depth=depth), fold, tags) for fold in folds]
     by = ["kind", "max_depth"]
-    scores = macro_f1(reduce(DataFrame.unionByName, runs), "y_true", "y_pred", [*by, "fold", "part"])
+    # Each fit leaves its counts of (true, predicted) pairs only.
+    counted = _side_by_side([lambda run=run: pair_counts(run(), "y_true", "y_pred", [*by, "fold", "part"]) for run in runs])
+    scores = macro_f1_of_counts(counted, [*by, "fold", "part"])
     score = {p: F.avg(F.when(F.col("part") == p, F.col("macro_f1"))) for p in ("test", "train")}
     return scores.groupBy(*by).agg(
         score["test"].alias("mean_test_score"),
@@ -176,13 +204,31 @@ def static_vs_slice_folds(
     every fold instead; hosts held out of a fold may then have been among its training hosts.
     """
     weights = class_weights(static_rows, "y")
-    runs = []
-    for fold in folds:
+
+    def fold_run(fold: int) -> Callable[[], DataFrame]:
         held_out = F.col("fold") == fold
-        whole = static_model or settings.estimator().fit(weighted(static_rows.filter(~held_out), weights))
-        sliced = settings.estimator().fit(weighted(slice_rows.filter(~held_out), weights))
-        runs.append(score_both(whole, sliced, slice_rows.filter(held_out)).withColumn("fold", F.lit(fold)))
-    return reduce(DataFrame.unionByName, runs)
+
+        def run() -> DataFrame:
+            whole = static_model or settings.estimator().fit(weighted(static_rows.filter(~held_out), weights))
+            sliced = settings.estimator().fit(weighted(slice_rows.filter(~held_out), weights))
+            return score_both(whole, sliced, slice_rows.filter(held_out)).withColumn("fold", F.lit(fold))
+
+        return run
+
+    return _side_by_side([fold_run(fold) for fold in folds])
+
+
+def fold_importances(rows: DataFrame, settings: Trees, folds: Sequence[int] = range(5), top: int = 10) -> DataFrame:
+    """The most important features of the model of every fold: (fold, feature, importance)."""
+
+    def fold_run(fold: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            model = settings.estimator().fit(rows.filter(F.col("fold") != fold))
+            return feature_importances(model, rows.sparkSession, top=top).withColumn("fold", F.lit(fold))
+
+        return run
+
+    return _side_by_side([fold_run(fold) for fold in folds])
 
 
 def projection(rows: DataFrame, *keep: str) -> DataFrame:

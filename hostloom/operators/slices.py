@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostloom.functions.labels import slice_code, slice_code_simple
+from hostloom.schema import INACTIVE
 
 HOUR_MS = 3_600_000
 
@@ -171,6 +172,7 @@ def _activity(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(~received | answered).alias("n_responded"),
         F.count_if(received | answered).alias("n_reached"),
+        F.count_if(received).alias("n_received"),
     )
 
 
@@ -192,59 +194,67 @@ def activity_hist_wide(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
     return _activity(sessions, layout).groupBy("ip").agg(*columns)
 
 
-def host_activity(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
-    """One row per host: the slices it was active in, responded in and was reached in.
-
-    ``ever_responded`` / ``ever_reached`` look at the whole log, also outside the slices. The lists hold
-    slice numbers, so none is longer than the slice catalogue.
-    """
-    number = F.col("slice_no")
-    responded, reached = F.col("n_responded") > 0, F.col("n_reached") > 0
-    return (
-        _activity(sessions, layout)
-        .groupBy("ip")
-        .agg(
-            F.max(responded).alias("ever_responded"),
-            F.max(reached).alias("ever_reached"),
-            F.collect_list(number).alias("active_in"),
-            F.collect_list(F.when(responded, number)).alias("responded_in"),
-            F.collect_list(F.when(reached, number)).alias("reached_in"),
-        )
+def direction_hist(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """Activity per host and slice by direction: ``n_source``, ``n_destination``, and the flags ``ur`` (sent or
+    replied in the slice) and ``ig`` (was reached or answered in it); only slices with activity."""
+    inside = _activity(sessions, layout).filter(F.col("slice_no").isNotNull())
+    return inside.select(
+        "ip",
+        _slice_name(F.col("slice_no"), layout).alias("slice"),
+        "slice_no",
+        (F.col("n") - F.col("n_received")).alias("n_source"),
+        F.col("n_received").alias("n_destination"),
+        (F.col("n_responded") > 0).alias("ur"),
+        (F.col("n_reached") > 0).alias("ig"),
     )
 
 
 def hosts_missing_activity(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
-    """Hosts of the log without any responding (``missing_ur``) or any reached (``missing_ig``) session."""
-    hosts = host_activity(sessions, layout).select(
-        "ip", (~F.col("ever_responded")).alias("missing_ur"), (~F.col("ever_reached")).alias("missing_ig")
+    """Hosts of the log without any responding (``missing_ur``) or any reached (``missing_ig``) session.
+
+    The whole log counts, also what lies outside the slices.
+    """
+    hosts = _activity(sessions, layout).groupBy("ip").agg(
+        (F.max("n_responded") == 0).alias("missing_ur"), (F.max("n_reached") == 0).alias("missing_ig")
     )
     return hosts.filter(F.col("missing_ur") | F.col("missing_ig"))
 
 
-def slice_labels(sessions: DataFrame, roles: DataFrame, layout: SliceLayout, simple: bool = False) -> DataFrame:
-    """Label of every labelled host in every slice: (ip, slice, slice_no, label).
+def active_slice_labels(
+    sessions: DataFrame, roles: DataFrame, layout: SliceLayout, simple: bool = False
+) -> DataFrame:
+    """Label of every labelled host in the slices it is active in: (ip, slice, slice_no, label).
 
-    ``simple`` only separates inactive (-1) from the host's role. Otherwise a host active in the slice
-    is 0 if it neither sent nor replied, 1 if nothing answered it and nothing reached it. A host that
-    never responded (or was never reached) in the whole log has no such record; its activity counts instead.
-
-    Roles and activity meet once per host; the slices are unfolded afterwards, without a shuffle.
+    ``simple`` takes the host's role. Otherwise the host is 0 if it neither sent nor replied in the slice, 1 if
+    nothing answered it and nothing reached it. A host that never responded (or was never reached) in the whole log
+    has no such record; its activity counts instead. Activity has one row per host and slice, and the look at the
+    whole log is a window over the host's rows, on the partitioning the grouping leaves.
     """
-    hosts = roles.select("ip", "red_vs_blue").join(host_activity(sessions, layout), "ip", "left")
-    every = F.sequence(F.lit(1).cast("bigint"), F.lit(layout.slices).cast("bigint"))
-    grid = hosts.withColumn("slice_no", F.explode(every))
-
-    def listed(column: str) -> Column:
-        return F.coalesce(F.array_contains(column, F.col("slice_no")), F.lit(False))
-
-    active = listed("active_in")
+    host = Window.partitionBy("ip")
+    activity = _activity(sessions, layout).withColumns(
+        {"ever_responded": F.max("n_responded").over(host) > 0, "ever_reached": F.max("n_reached").over(host) > 0}
+    )
+    rows = activity.filter(F.col("slice_no").isNotNull()).join(roles.select("ip", "red_vs_blue"), "ip")
     if simple:
-        label = slice_code_simple(active, F.col("red_vs_blue"))
+        label = slice_code_simple(F.lit(True), F.col("red_vs_blue"))
     else:
-        responded = F.when(F.col("ever_responded"), listed("responded_in")).otherwise(active)
-        reached = F.when(F.col("ever_reached"), listed("reached_in")).otherwise(active)
-        label = slice_code(active, responded, reached, F.col("red_vs_blue"))
-    return grid.select("ip", _slice_name(F.col("slice_no"), layout).alias("slice"), "slice_no", label.alias("label"))
+        responded = ~F.col("ever_responded") | (F.col("n_responded") > 0)
+        reached = ~F.col("ever_reached") | (F.col("n_reached") > 0)
+        label = slice_code(F.lit(True), responded, reached, F.col("red_vs_blue"))
+    return rows.select("ip", _slice_name(F.col("slice_no"), layout).alias("slice"), "slice_no", label.alias("label"))
+
+
+def slice_labels(sessions: DataFrame, roles: DataFrame, layout: SliceLayout, simple: bool = False) -> DataFrame:
+    """Label of every labelled host in every slice, -1 where it is not active: (ip, slice, slice_no, label).
+
+    The result has a row per host and slice by definition; ``active_slice_labels`` gives the rest without -1.
+    """
+    every = F.sequence(F.lit(1).cast("bigint"), F.lit(layout.slices).cast("bigint"))
+    grid = roles.select("ip", F.explode(every).alias("slice_no"))
+    active = active_slice_labels(sessions, roles, layout, simple).select("ip", "slice_no", "label")
+    label = F.coalesce("label", F.lit(INACTIVE).cast("bigint")).alias("label")
+    joined = grid.join(active, ["ip", "slice_no"], "left")
+    return joined.select("ip", _slice_name(F.col("slice_no"), layout).alias("slice"), "slice_no", label)
 
 
 def timeline(sessions: DataFrame, bins: int) -> DataFrame:

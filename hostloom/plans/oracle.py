@@ -17,10 +17,13 @@ HOUR = 3600000
 ROLES = (0, 1, 2, 3, 4)
 
 
+def _digits(value: str) -> str:
+    """Single precision, as the queries keep it."""
+    return f"CAST(CAST({value} * {OFF_TIES}::DOUBLE AS FLOAT) AS DOUBLE)"
+
+
 def _r(expression: str, name: str) -> str:
-    if "_var" in name:
-        return f"round(coalesce({expression}, 0) + {OFF_TIES}, 1) + 0.0 AS {name}"
-    return f"round(coalesce({expression}, 0), 4) + 0.0 AS {name}"
+    return f"CAST(coalesce({expression}, 0) AS DOUBLE) AS {name}"
 
 
 # --- shared subqueries
@@ -228,8 +231,8 @@ CTES = {
     "ghosts": "SELECT * FROM totals WHERE source_bytes = 0 AND destination_bytes_dst = 0",
     "ignored": "SELECT * FROM totals WHERE destination_bytes = 0 AND source_bytes_dst = 0",
     "reals": "SELECT * FROM totals WHERE ip NOT IN (SELECT ip FROM ghosts) AND ip NOT IN (SELECT ip FROM ignored)",
-    "roles": "SELECT *, blue_team <> 'None' AS blue_team_bool, CAST(CASE WHEN ip NOT IN (SELECT ip FROM reals) THEN "
-    "CASE WHEN ip IN (SELECT ip FROM ghosts) THEN 0 ELSE 1 END WHEN red_team THEN 2 WHEN blue_team <> 'None' THEN 3 "
+    "roles": "SELECT *, blue_team IS DISTINCT FROM 'None' AS blue_team_bool, CAST(CASE WHEN ip NOT IN (SELECT ip FROM reals) THEN "
+    "CASE WHEN ip IN (SELECT ip FROM ghosts) THEN 0 ELSE 1 END WHEN red_team THEN 2 WHEN blue_team IS DISTINCT FROM 'None' THEN 3 "
     "ELSE 4 END AS BIGINT) AS red_vs_blue FROM inventory",
     "facilities": "SELECT *, CAST(CASE WHEN red_vs_blue < 2 THEN red_vs_blue ELSE coalesce(list_position(['Corporate', "
     "'Confidential Data Storage', 'Cyprus Creek Campus'], facility) + 1, 5) END AS BIGINT) AS facility_class FROM roles",
@@ -273,6 +276,9 @@ CTES = {
     "ordered": "SELECT *, row_number() OVER (PARTITION BY red_vs_blue ORDER BY md5(concat(ip, '|0')), ip) AS rk, "
     "count(*) OVER (PARTITION BY red_vs_blue) AS size FROM feature_hosts",
     "split": "SELECT ip, red_vs_blue, CASE WHEN rk <= (size * 200 + 999) // 1000 THEN 'test' ELSE 'train' END AS part FROM ordered",
+    "folds": "SELECT ip, red_vs_blue AS class, CAST((rk - 1) % 5 AS BIGINT) AS fold FROM ordered",
+    "facility_folds": "SELECT facility_class AS class, (row_number() OVER (PARTITION BY facility_class ORDER BY "
+    "md5(concat(ip, '|0')), ip) - 1) % 5 AS fold FROM facilities WHERE ip IN (SELECT ip FROM mirrored)",
     "present": "SELECT DISTINCT slice, ip FROM sliced_mirrored",
     "present_labels": "SELECT slice, ip, label FROM present JOIN slabels USING (slice, ip)",
     "per_class": "SELECT c, count(*) FILTER (y_true = c AND pred_a = c) AS tp, count(*) FILTER (y_true = c) AS support, "
@@ -281,7 +287,7 @@ CTES = {
     "AS recall, coalesce(2 * tp / nullif(support + predicted, 0), 0) AS f1 FROM per_class WHERE support + predicted > 0",
     "hits": "SELECT slice, slice_no, fold, CASE WHEN y_true = pred_a THEN 1.0::DOUBLE ELSE 0 END AS hit FROM predictions WHERE y_true > 1",
     "matrix": "SELECT slice, slice_no AS \"order\", "
-    + ", ".join(f"round(avg(hit) FILTER (fold = {f}), 4) AS preds{f}" for f in FOLDS)
+    + ", ".join(f"(avg(hit) FILTER (fold = {f})) AS preds{f}" for f in FOLDS)
     + " FROM hits GROUP BY slice, slice_no",
     "pred_counts": "SELECT ip, pred_a, count(*) AS n FROM predictions GROUP BY ip, pred_a",
     "merged": "SELECT ip, CASE WHEN len(l) = 1 THEN l[1] ELSE l[2] END AS pred FROM "
@@ -290,6 +296,23 @@ CTES = {
 }
 
 
+_KEYS = "(SELECT CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS f), (SELECT unnest(['test', 'train']) AS part)"
+
+
+def _cross_validated(source: str, more: str = "", tables: str = "") -> str:
+    """Every fold and part with its number of rows; scores are in range and beat the largest class."""
+    return (
+        f"SELECT {more} f AS fold, part, count(*) AS support, TRUE AS in_range, TRUE AS beats_majority FROM {source} "
+        f"x, {_KEYS} {tables} WHERE (x.fold = f) = (part = 'test') GROUP BY ALL"
+    )
+
+
+_BOTH_MODELS = (
+    "SELECT slice, slice_no, fold, count(*) AS support, TRUE AS static_in_range, TRUE AS slice_in_range "
+    "FROM present_labels JOIN catalogue USING (slice) JOIN folds USING (ip) WHERE label > 1 GROUP BY ALL"
+)
+
+
 def _with(sql: str) -> str:
     """``sql`` with the shared subqueries it needs, in order of definition."""
     needed: set[str] = set()
@@ -304,12 +327,17 @@ def _with(sql: str) -> str:
     return f"WITH {', '.join(parts)} {sql}" if parts else sql
 
 
-def _confusion(source: str, true: str, pred: str, share: bool = False) -> str:
-    cells = [f"count(*) FILTER ({pred} = {c})" for c in ROLES]
+def _confusion(source: str, true: str, pred: str, share: bool = False, classes: tuple[int, ...] = ROLES) -> str:
+    """A row for every class, also one that is never true."""
+    cells = [f"count(*) FILTER ({pred} = {c})" for c in classes]
     columns = [
-        f"round({cell} / count(*), 4) + 0.0 AS pred_{c}" if share else f"{cell} AS pred_{c}" for c, cell in zip(ROLES, cells)
+        f"{cell} / greatest(count({true}), 1) AS pred_{c}" if share else f"{cell} AS pred_{c}" for c, cell in zip(classes, cells)
     ]
-    return f"SELECT {true} AS \"true\", {', '.join(columns)} FROM {source} GROUP BY {true}"
+    every = f"(SELECT CAST(unnest({list(classes)}) AS BIGINT) AS k) every"
+    return (
+        f"SELECT k AS \"true\", {', '.join(columns)} FROM {every} LEFT JOIN (SELECT * FROM {source}) x ON k = {true} GROUP BY k"
+    )
+
 
 
 _SCALED = [
@@ -363,11 +391,11 @@ QUERIES = {
     "li_features": "SELECT * FROM li",
     "li_features_intended": _li("mirrored", low="1024", high="49151"),
     "li_features_scaled": "SELECT li.* REPLACE ("
-    + ", ".join(f"round({c} / sessions, 4) AS {c}" for c in _SCALED)
+    + ", ".join(f"({c} / sessions) AS {c}" for c in _SCALED)
     + ") FROM li JOIN (SELECT ip, count(source_bytes) AS sessions FROM mirrored GROUP BY ip) USING (ip)",
     "li_features_minmax": "SELECT li.* REPLACE ("
     + ", ".join(
-        f"round(coalesce((d.{c} - min(d.{c}) OVER ()) / nullif(max(d.{c}) OVER () - min(d.{c}) OVER (), 0), 0), 4) AS {c}"
+        f"(coalesce((d.{c} - min(d.{c}) OVER ()) / nullif(max(d.{c}) OVER () - min(d.{c}) OVER (), 0), 0)) AS {c}"
         for c in _STDS
     )
     + f") FROM li JOIN (SELECT ip, {_RAW_STD} FROM mirrored GROUP BY ip) d ON li.ip = d.ip",
@@ -386,8 +414,8 @@ QUERIES = {
     f"WHERE source_ip = '{HOST}' GROUP BY 1",
     "host_timeline_edges": f"SELECT least((first_packet - {_LO}) // {_WIDTH}, {_EDGE_BINS - 1}) AS bin, count(*) AS n FROM sessions "
     f"WHERE destination_ip = '{HOST}' AND first_packet BETWEEN {_LO} AND {_LO + _EDGE_BINS * _WIDTH} GROUP BY 1",
-    "feature_density": "SELECT feature, label, bin, n, round(n / (sum(n) OVER (PARTITION BY feature, label) * 0.1::DOUBLE), 4) AS density "
-    "FROM (SELECT feature, label, CAST(floor(log10(value) * 10) AS BIGINT) AS bin, count(*) AS n FROM ("
+    "feature_density": "SELECT feature, label, bin, n, (n / (sum(n) OVER (PARTITION BY feature, label) * 0.1::DOUBLE)) AS density "
+    "FROM (SELECT feature, label, CAST(floor(log10(value) * 10 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, CAST({c} AS DOUBLE) AS value FROM compared" for c in FEATURES)
     + ") WHERE value > 0 GROUP BY ALL)",
     "port_quartile_shares": _fine("ranked", "", SHARE_FEATURES),
@@ -395,7 +423,7 @@ QUERIES = {
     "top5_ports": _fine("ranked", "", _TOP5),
     "port_distribution_features": "SELECT * FROM fine",
     "slice_features": "SELECT * FROM s_features",
-    "sessions_per_hour": "SELECT ip, round(sessions / hours, 4) AS sessions, round(sessions_inc / hours, 4) AS sessions_inc FROM lyu, "
+    "sessions_per_hour": "SELECT ip, (sessions / hours) AS sessions, (sessions_inc / hours) AS sessions_inc FROM lyu, "
     "(SELECT ((d1_end - d1_start) + (d2_end - d2_start)) / 3600000 AS hours FROM bounds)",
     "slice_catalogue": "SELECT * FROM catalogue",
     "slice_labels": "SELECT * FROM slabels",
@@ -407,42 +435,104 @@ QUERIES = {
     "public_ips": "SELECT ip FROM pub",
     "ipv4_hosts": "SELECT ip FROM v4",
     "labelled_hosts": "SELECT ip FROM v4 WHERE ip NOT IN (SELECT ip FROM pub)",
-    "blue_team_flag": "SELECT ip, blue_team, blue_team <> 'None' AS blue_team_bool FROM host_labels",
+    "blue_team_flag": "SELECT ip, blue_team, blue_team IS DISTINCT FROM 'None' AS blue_team_bool FROM host_labels",
     "ghost_hosts": "SELECT * FROM ghosts",
     "ignored_hosts": "SELECT * FROM ignored",
     "real_hosts": "SELECT * FROM reals",
     "host_roles": "SELECT ip, blue_team_bool, red_team, red_vs_blue FROM roles",
     "facility_class": "SELECT ip, facility, red_vs_blue, facility_class FROM facilities",
-    "class_weights": "SELECT red_vs_blue, count(*) AS n, round((SELECT count(*) FROM feature_hosts) / ((SELECT count(DISTINCT "
-    "red_vs_blue) FROM feature_hosts) * count(*)), 4) AS weight FROM feature_hosts GROUP BY red_vs_blue",
-    "sample_weights": "SELECT ip, red_vs_blue, round(count(*) OVER () / ((SELECT count(DISTINCT red_vs_blue) FROM feature_hosts) * "
-    "count(*) OVER (PARTITION BY red_vs_blue)), 4) AS weight FROM feature_hosts",
+    "class_weights": "SELECT red_vs_blue, count(*) AS n, ((SELECT count(*) FROM feature_hosts) / ((SELECT count(DISTINCT "
+    "red_vs_blue) FROM feature_hosts) * count(*))) AS weight FROM feature_hosts GROUP BY red_vs_blue",
+    "sample_weights": "SELECT ip, red_vs_blue, (count(*) OVER () / ((SELECT count(DISTINCT red_vs_blue) FROM feature_hosts) * "
+    "count(*) OVER (PARTITION BY red_vs_blue))) AS weight FROM feature_hosts",
     "stratified_split": "SELECT * FROM split",
     "stratified_folds": "SELECT ip, red_vs_blue, CAST((rk - 1) % 5 AS INT) AS fold FROM ordered",
     "slice_train_test": "SELECT slice, ip, label, part FROM present_labels JOIN split USING (ip)",
-    "classification_report": "SELECT CAST(c AS VARCHAR) AS label, round(precision, 4) AS precision, round(recall, 4) AS recall, "
-    "round(f1, 4) AS f1, support FROM scores UNION ALL "
-    "SELECT 'accuracy', round(sum(tp) / sum(support), 4), round(sum(tp) / sum(support), 4), round(sum(tp) / sum(support), 4), "
+    "classification_report": "SELECT CAST(c AS VARCHAR) AS label, (precision) AS precision, (recall) AS recall, "
+    "(f1) AS f1, support FROM scores UNION ALL "
+    "SELECT 'accuracy', (sum(tp) / sum(support)), (sum(tp) / sum(support)), (sum(tp) / sum(support)), "
     "CAST(sum(support) AS BIGINT) FROM scores UNION ALL "
-    "SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), CAST(sum(support) AS BIGINT) FROM scores "
-    "UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4), round(sum(recall * support) / sum(support), 4), "
-    "round(sum(f1 * support) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM scores",
-    "macro_f1": "SELECT round(avg(f1), 4) AS macro_f1 FROM scores",
+    "SELECT 'macro avg', (avg(precision)), (avg(recall)), (avg(f1)), CAST(sum(support) AS BIGINT) FROM scores "
+    "UNION ALL SELECT 'weighted avg', (sum(precision * support) / sum(support)), (sum(recall * support) / sum(support)), "
+    "(sum(f1 * support) / sum(support)), CAST(sum(support) AS BIGINT) FROM scores",
+    "macro_f1": "SELECT (avg(f1)) AS macro_f1 FROM scores",
     "confusion_matrix": _confusion("predictions", "y_true", "pred_a"),
     "confusion_matrix_norm": _confusion("predictions", "y_true", "pred_a", share=True),
+    "facility_confusion": _confusion("facilities", "red_vs_blue", "facility_class", classes=(0, 1, 2, 3, 4, 5)),
+    "public_list_from_disk": "SELECT * FROM internal",
+    "fold_predictions_csv": "SELECT y_true, pred_a, CAST(fold AS BIGINT) AS fold, 'test' AS part FROM predictions",
+    "score_table_csv": "SELECT slice, slice_no, avg(hit) AS accuracy FROM hits GROUP BY slice, slice_no",
+    "direction_hist": "SELECT ip, slice, slice_no, n_src AS n_source, n_dst AS n_destination, n_src + n_dst_ans > 0 AS ur, "
+    "n_src_ans + n_dst > 0 AS ig FROM activity WHERE slice IS NOT NULL",
+    **{f"feature_group_{g}": f"SELECT ip, {', '.join(FEATURE_GROUPS[g])} FROM features" for g in FEATURE_GROUPS},
     "mismatches_by_host": "SELECT ip, count(*) AS n FROM predictions WHERE y_true <> pred_a GROUP BY ip",
     "model_vs_model": _confusion("predictions", "pred_a", "pred_b"),
     "agreement_confusion": _confusion("predictions WHERE pred_a = pred_b", "y_true", "pred_a"),
-    "accuracy_by_slice": "SELECT slice, slice_no, round(avg(hit), 4) AS accuracy FROM hits GROUP BY slice, slice_no",
+    "accuracy_by_slice": "SELECT slice, slice_no, (avg(hit)) AS accuracy FROM hits GROUP BY slice, slice_no",
     "accuracy_fold_matrix": "SELECT * FROM matrix",
-    "accuracy_over_time": "SELECT slice_no, round(avg(a), 4) AS mean_accuracy, round(stddev_samp(a), 4) AS std_accuracy FROM "
+    "accuracy_over_time": "SELECT slice_no, (avg(a)) AS mean_accuracy, (stddev_samp(a)) AS std_accuracy FROM "
     "(SELECT slice_no, fold, avg(hit) AS a FROM hits GROUP BY slice_no, fold) GROUP BY slice_no",
     "confused_hosts": "SELECT DISTINCT ip FROM predictions WHERE y_true = 4 AND pred_a = 2",
     "repeat_hosts": "SELECT ip, count(*) AS n, count(*) > 1 AS repeated FROM predictions GROUP BY ip",
     "merged_predictions": "SELECT ip, pred FROM merged",
+    "ml_decision_tree": _cross_validated("folds"),
+    "ml_random_forest": _cross_validated("folds"),
+    "ml_boosted_trees": _cross_validated("folds"),
+    "ml_facility": _cross_validated("facility_folds"),
+    "ml_ablation": _cross_validated(
+        "folds", "feature_group,", f", (SELECT unnest({list(FEATURE_GROUPS)}) AS feature_group)"
+    ),
+    "ml_depth_grid": "SELECT kind, CAST(unnest([1, 2, 4, 6, 8, 10, 12, 16, 20, 24, 30]) AS BIGINT) AS max_depth, TRUE AS in_range, "
+    "TRUE AS consistent FROM (SELECT unnest(['decision_tree', 'random_forest']) AS kind)",
+    "ml_feature_importance": "SELECT f AS fold, r AS rank, TRUE AS known, TRUE AS in_range FROM "
+    "(SELECT DISTINCT fold AS f FROM folds), (SELECT unnest(range(1, 11)) AS r)",
+    "ml_static_vs_slice": _BOTH_MODELS,
+    "ml_static_vs_slice_as_written": _BOTH_MODELS,
+    "ml_fold_reports": f"SELECT f AS fold, part, class, count(*) AS support, TRUE AS in_range FROM folds x, {_KEYS} "
+    "WHERE (x.fold = f) = (part = 'test') GROUP BY ALL",
+    "ml_projection": "SELECT ip, ['red', 'blue', 'gray'][red_vs_blue - 1] AS class_name, TRUE AS in_range FROM feature_hosts "
+    "WHERE red_vs_blue > 1",
     "merged_confusion": _confusion("merged JOIN roles USING (ip)", "red_vs_blue", "pred", share=True),
 }
 
 
+# Columns of floats, of which both sides keep single precision.
+_FEATURE_FLOATS = r"(_mean|_var|_std|fraction|ratio|featuresvar|featuresfracq\d|octet_byte_\d)(_inc)?$"
+_FLOATS = {
+    "li_features_scaled": f"{_FEATURE_FLOATS}|^({'|'.join(_SCALED)})$",
+    "sessions_per_hour": "^sessions",
+    "accuracy_melt": "^value$",
+    "feature_density": "^density$",
+    "class_weights": "^weight$",
+    "sample_weights": "^weight$",
+    "classification_report": "^(precision|recall|f1)$",
+    "macro_f1": "^macro_f1$",
+    "confusion_matrix_norm": "^pred_",
+    "merged_confusion": "^pred_",
+    "accuracy_by_slice": "^accuracy$",
+    "score_table_csv": "^accuracy$",
+    "accuracy_fold_matrix": "^preds",
+    "accuracy_over_time": "_accuracy$",
+} | dict.fromkeys(
+    (
+        "slice_store_roundtrip ip_octets host_features labelled_features host_rows li_features li_features_intended "
+        "li_features_minmax lyu_features pro_node_features pro_edge_features class_comparison port_quartile_shares "
+        "port_count_spread port_distribution_features slice_features"
+    ).split()
+    + [f"feature_group_{g}" for g in FEATURE_GROUPS]
+    + ["feature_group_select"],
+    _FEATURE_FLOATS,
+)
+
+
+def _kept(name: str, sql: str) -> str:
+    if name not in _FLOATS:
+        return sql
+    floats = f"COLUMNS('{_FLOATS[name]}')"
+    if name == "macro_f1":  # no other column
+        return f"SELECT {_digits('macro_f1')} AS macro_f1 FROM ({sql})"
+    return f"SELECT COLUMNS(lambda c: NOT regexp_matches(c, '{_FLOATS[name]}')), {_digits(floats)} AS '\\0' FROM ({sql})"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: _with(sql) for name, sql in QUERIES.items()}
+    return {name: _with(_kept(name, sql)) for name, sql in QUERIES.items()}

@@ -1,13 +1,14 @@
 """The registered queries: name -> (spark, sf_dir) -> DataFrame.
 
-Float results are rounded on both sides of the comparison with the oracle (see ``rounded``).
+Float results keep single precision on both sides of the comparison with the oracle (``rounded``); all
+computing and storing before it is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostloom.functions.labels import is_blue
@@ -20,7 +21,7 @@ from hostloom.operators import roles as R
 from hostloom.operators import sessions as S
 from hostloom.operators import slices as T
 from hostloom.plans import standin
-from hostloom.schema import FACILITY_NAMES, FEATURES, GRAY, RED, ROLE_NAMES, SHARE_FEATURES, SPREAD_FEATURES
+from hostloom.schema import FACILITY_NAMES, FEATURE_GROUPS, FEATURES, GRAY, RED, ROLE_NAMES
 from hostloom.session import new_table_path, stored
 from hostloom.sources import readers, writers
 
@@ -30,9 +31,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 HOST = "10.1.0.161"
 SUBNET = "10.1.1."
 SLICES = tuple(f"d{d}_{k}" for d in (1, 2) for k in range(1, 11))
+# Edges of the one-host timeline.
 TIMELINE_EDGES = (1461418200000, 1461454200031, 600000)
 FOLDS = (0, 1, 2, 3, 4)
-OFF_TIES = 0.00321
+OFF_TIES = 1.00000000321
 
 _registry: dict[str, Query] = {}
 
@@ -47,18 +49,13 @@ def queries() -> dict[str, Query]:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round floats to four places.
+    """Keep the 24 significant bits of single precision, for the comparison with the oracle only.
 
-    The last digits of a variance depend on the order in which partial results are merged, and exact
-    halves such as x.53125 do occur; so variances are moved off the halves and kept to one place.
+    The last digits of a variance depend on the order in which partial results are merged. A value is moved by three
+    billionths first, so that one that lies exactly between two roundings falls on the same side everywhere.
     """
-    columns = {}
-    for name, kind in df.dtypes:
-        if kind in ("double", "float"):
-            value = F.round(F.col(name) + F.lit(OFF_TIES), 1) if "_var" in name else F.round(F.col(name), 4)
-            # Adding 0.0 turns a rounded negative zero into zero.
-            columns[name] = value + F.lit(0.0)
-    return df.withColumns(columns) if columns else df
+    floats = [name for name, kind in df.dtypes if kind in ("double", "float")]
+    return df.withColumns({c: (F.col(c) * F.lit(OFF_TIES)).cast("float").cast("double") for c in floats})
 
 
 def _roles(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,11 +74,16 @@ def _slice_labels(spark: SparkSession, sf: str, layout: T.SliceLayout | None = N
     return T.slice_labels(standin.sessions(spark, sf), _roles(spark, sf), layout or _layout(spark, sf))
 
 
+def _active_labels(spark: SparkSession, sf: str, layout: T.SliceLayout) -> DataFrame:
+    """Labels of hosts in the slices they are active in; hosts with features in a slice are among them."""
+    return T.active_slice_labels(standin.sessions(spark, sf), _roles(spark, sf), layout)
+
+
 def _present_labels(spark: SparkSession, sf: str) -> DataFrame:
     layout = _layout(spark, sf)
     sliced = S.internal_sessions(_sliced(spark, sf, layout))
     present = S.mirror_sessions(sliced, "slice").select("slice", "ip").distinct()
-    return X.labelled(present, _slice_labels(spark, sf, layout), "label", ["slice"])
+    return X.labelled(present, _active_labels(spark, sf, layout), "label", ["slice"])
 
 
 def _feature_hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,8 +111,36 @@ def session_scan(spark, sf):
 def slice_store_roundtrip(spark, sf):
     """Store slice features with one folder per slice and read the store back."""
     path = new_table_path(spark, "slice-store")
-    writers.write_slices(rounded(X.pro_node_features(_sliced(spark, sf), ["slice"])), path)
-    return readers.read_table(spark, path)
+    writers.write_slices(X.pro_node_features(_sliced(spark, sf), ["slice"]), path)
+    return rounded(readers.read_table(spark, path))
+
+
+@_query
+def public_list_from_disk(spark, sf):
+    """Write the list of public addresses, read it from disk and leave its hosts out."""
+    log, path = standin.sessions(spark, sf), new_table_path(spark, "public-ips")
+    writers.write_csv(R.public_ips(log).withColumnRenamed("ip", "source.ip"), path)
+    return S.internal_sessions(log, readers.read_public_ips(spark, path))
+
+
+@_query
+def fold_predictions_csv(spark, sf):
+    """Write labels and predictions per fold and part without header and read them back."""
+    rows = standin.predictions(spark, sf).select("y_true", "pred_a", "fold", F.lit("test").alias("part"))
+    path = new_table_path(spark, "fold-predictions")
+    writers.write_fold_predictions(rows, path)
+    return spark.read.schema("y_true bigint, pred_a bigint, fold bigint, part string").csv(path)
+
+
+@_query
+def score_table_csv(spark, sf):
+    """Write the accuracy table as CSV and read it back."""
+    path = new_table_path(spark, "scores")
+    writers.write_csv(E.accuracy_by_slice(standin.predictions(spark, sf), "y_true", "pred_a"), path)
+    stored_scores = spark.read.option("header", True).csv(path)
+    return rounded(
+        stored_scores.select("slice", F.col("slice_no").cast("bigint"), F.col("accuracy").cast("double"))
+    )
 
 
 @_query
@@ -195,6 +225,17 @@ def feature_group_select(spark, sf):
     return rounded(X.select_group(X.host_features(standin.sessions(spark, sf)), "coarse"))
 
 
+def _register_group(group: str) -> None:
+    def select(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(X.select_group(X.host_features(standin.sessions(spark, sf)), group))
+
+    _registry[f"feature_group_{group}"] = select
+
+
+for _group in FEATURE_GROUPS:
+    _register_group(_group)
+
+
 @_query
 def class_subset(spark, sf):
     names = {code: ROLE_NAMES[code] for code in (2, 3, 4)}
@@ -312,12 +353,16 @@ def host_timeline_edges(spark, sf):
     return T.timeline_edges(log.filter(F.col("destination_ip") == HOST), *TIMELINE_EDGES)
 
 
+@_query
+def direction_hist(spark, sf):
+    return T.direction_hist(standin.sessions(spark, sf), _layout(spark, sf))
+
+
 @_query
 def feature_density(spark, sf):
-    # Bins depend on exact values, so both sides bin the rounded features.
     layout = _layout(spark, sf)
-    features = rounded(X.host_features(_sliced(spark, sf, layout), ["slice"]))
-    compared = D.class_comparison(features, _slice_labels(spark, sf, layout), RED, GRAY)
+    features = X.host_features(_sliced(spark, sf, layout), ["slice"])
+    compared = D.class_comparison(features, _active_labels(spark, sf, layout), RED, GRAY)
     return rounded(D.feature_density(compared, list(FEATURES)))
 
 
@@ -395,7 +440,7 @@ def hosts_missing_activity(spark, sf):
 def class_comparison(spark, sf):
     layout = _layout(spark, sf)
     features = X.pro_node_features(_sliced(spark, sf, layout), ["slice"])
-    return rounded(D.class_comparison(features, _slice_labels(spark, sf, layout), RED, GRAY))
+    return rounded(D.class_comparison(features, _active_labels(spark, sf, layout), RED, GRAY))
 
 
 # --- addresses and roles
@@ -502,6 +547,13 @@ def confusion_matrix_norm(spark, sf):
     return rounded(E.confusion_matrix(standin.predictions(spark, sf), "y_true", "pred_a", normalize=True))
 
 
+@_query
+def facility_confusion(spark, sf):
+    """Role against facility class: six classes, of which some are never true."""
+    hosts = R.facility_classes(_roles(spark, sf))
+    return E.confusion_matrix(hosts, "red_vs_blue", "facility_class", classes=range(6))
+
+
 @_query
 def mismatches_by_host(spark, sf):
     return E.mismatches_by_host(standin.predictions(spark, sf), "y_true", "pred_a")
@@ -552,11 +604,14 @@ def merged_confusion(spark, sf):
     return rounded(E.merged_confusion(standin.predictions(spark, sf), "pred_a", _roles(spark, sf)))
 
 
-# --- models (no SQL counterpart)
+# --- models
+#
+# Scores of fitted models are not determined by SQL. The queries return what is: who is scored, in which fold
+# and part, that scores lie in their range and beat the majority class. The operators return the scores themselves.
 
-# Settings for the registered runs: few iterations and folds keep them short. The operators take more.
-_BOOSTED = M.Trees("boosted_trees", depth=4, iterations=5)
-_SHORT_FOLDS = (0, 1)
+# Rounds of boosting and trees of a forest in the registered runs; the operators default to 100.
+ROUNDS, TREES = 5, 50
+_BOOSTED = M.Trees("boosted_trees", iterations=ROUNDS)
 
 
 def _training_table(spark: SparkSession, sf: str, label: str = "red_vs_blue") -> DataFrame:
@@ -569,12 +624,28 @@ def _training_table(spark: SparkSession, sf: str, label: str = "red_vs_blue") ->
 def _slice_training_table(spark: SparkSession, sf: str, split: DataFrame, column: str) -> DataFrame:
     layout = _layout(spark, sf)
     features = X.host_features(_sliced(spark, sf, layout), ["slice"])
-    labels = _slice_labels(spark, sf, layout).select("slice", "slice_no", "ip", "label")
+    labels = _active_labels(spark, sf, layout)
     return stored(D.slice_train_test(features.join(labels, ["slice", "ip"]), split, column), "slice-training")
 
 
 def _scored(predictions: DataFrame, *by: str) -> DataFrame:
-    return rounded(E.macro_f1(predictions, "y_true", "y_pred", [*by, "fold", "part"]))
+    """Per fold and part: rows scored, macro-F1 within [0, 1], and above that of the largest class alone."""
+    keys = [*by, "fold", "part"]
+    counts = stored(E.pair_counts(predictions, "y_true", "y_pred", keys), "pair-counts")
+    scores = E.macro_f1_of_counts(counts, keys)
+    classes = counts.groupBy(*keys, "true").agg(F.sum("n").alias("n")).filter("n > 0")
+    share = F.max("n") / F.sum("n")
+    alone = classes.groupBy(*keys).agg(
+        F.sum("n").alias("support"), (2 * share / (1 + share) / F.count("*")).alias("majority")
+    )
+    return scores.join(alone, keys).select(
+        *by,
+        F.col("fold").cast("bigint").alias("fold"),
+        "part",
+        "support",
+        F.col("macro_f1").between(0, 1).alias("in_range"),
+        (F.col("macro_f1") > F.col("majority")).alias("beats_majority"),
+    )
 
 
 def _training_rows(spark: SparkSession, sf: str, label: str = "red_vs_blue") -> DataFrame:
@@ -584,7 +655,7 @@ def _training_rows(spark: SparkSession, sf: str, label: str = "red_vs_blue") ->
 
 def _cross_validated(spark, sf, settings: M.Trees, label: str = "red_vs_blue") -> DataFrame:
     rows = _training_rows(spark, sf, label)
-    return _scored(M.cross_validate(rows, settings, _SHORT_FOLDS))
+    return _scored(M.cross_validate(rows, settings))
 
 
 @_query
@@ -594,7 +665,7 @@ def ml_decision_tree(spark, sf):
 
 @_query
 def ml_random_forest(spark, sf):
-    return _cross_validated(spark, sf, M.Trees("random_forest", depth=6, trees=20))
+    return _cross_validated(spark, sf, M.Trees("random_forest", depth=6, trees=TREES))
 
 
 @_query
@@ -609,42 +680,89 @@ def ml_facility(spark, sf):
 
 @_query
 def ml_depth_grid(spark, sf):
+    """All depths the library can fit, all folds, the two kinds whose fits do not depend on rounds."""
     rows = _training_rows(spark, sf)
-    kinds = [
-        M.Trees("decision_tree"),
-        M.Trees("random_forest", trees=5),
-        M.Trees("boosted_trees", iterations=2),
-    ]
-    return rounded(M.depth_grid(rows, kinds, depths=(1, 2, 4), folds=_SHORT_FOLDS))
+    grid = M.depth_grid(rows, [M.Trees("decision_tree"), M.Trees("random_forest", trees=10)])
+    test, train = F.col("mean_test_score"), F.col("mean_train_score")
+    return grid.select(
+        "kind",
+        F.col("max_depth").cast("bigint").alias("max_depth"),
+        (test.between(0, 1) & train.between(0, 1)).alias("in_range"),
+        (F.abs(F.col("test_vs_train") - (test - train)) < 1e-9).alias("consistent"),
+    )
 
 
 @_query
 def ml_ablation(spark, sf):
     table = stored(_training_table(spark, sf), "training")
-    return _scored(M.ablation(table, "red_vs_blue", _BOOSTED, folds=(0,)), "feature_group")
+    return _scored(M.ablation(table, "red_vs_blue", _BOOSTED), "feature_group")
 
 
 @_query
 def ml_feature_importance(spark, sf):
+    """Ten features of every fold's model, by rank: known names, importances that fall and sum to at most 1."""
     rows = _training_rows(spark, sf)
-    model = _BOOSTED.estimator().fit(rows.filter(F.col("fold") != 0))
-    return rounded(M.feature_importances(model, spark))
+    top = M.fold_importances(rows, _BOOSTED)
+    fold = Window.partitionBy("fold")
+    ranked = top.withColumns(
+        {
+            "rank": F.row_number().over(fold.orderBy(F.desc("importance"), "feature")).cast("bigint"),
+            "total": F.sum("importance").over(fold),
+        }
+    )
+    return ranked.select(
+        F.col("fold").cast("bigint").alias("fold"),
+        "rank",
+        F.col("feature").isin(*FEATURES).alias("known"),
+        (F.col("importance").between(0, 1) & (F.col("total") <= 1.000001)).alias("in_range"),
+    )
 
 
-@_query
-def ml_static_vs_slice(spark, sf):
-    """Accuracy per slice of the whole-period model and of the slice-trained model on held-out hosts."""
+def _both_models(spark: SparkSession, sf: str, refit: bool) -> DataFrame:
+    """Per slice of every fold: rows of classes beyond 1 scored by both models, accuracies within [0, 1]."""
     static = stored(_training_table(spark, sf), "training")
     sliced = _slice_training_table(spark, sf, static, "fold")
-    scored = stored(
-        M.static_vs_slice(
-            M.assembled(static, "red_vs_blue"), M.assembled(sliced, "label"), _BOOSTED, held_out=F.col("fold") == 0
-        ),
-        "scored",
+    rows = M.assembled(static, "red_vs_blue")
+    whole = None if refit else _BOOSTED.estimator().fit(M.weighted(rows))
+    scored = M.static_vs_slice_folds(rows, M.assembled(sliced, "label"), _BOOSTED, static_model=whole)
+    hit = {c: F.avg((F.col("y_true") == F.col(c)).cast("int")).between(0, 1) for c in ("pred_static", "pred_slice")}
+    return (
+        scored.filter("y_true > 1")
+        .groupBy("slice", F.col("slice_no").cast("bigint").alias("slice_no"), F.col("fold").cast("bigint").alias("fold"))
+        .agg(
+            F.count("*").alias("support"),
+            hit["pred_static"].alias("static_in_range"),
+            hit["pred_slice"].alias("slice_in_range"),
+        )
+    )
+
+
+@_query
+def ml_static_vs_slice(spark, sf):
+    """The whole-period model is fitted anew per fold."""
+    return _both_models(spark, sf, refit=True)
+
+
+@_query
+def ml_static_vs_slice_as_written(spark, sf):
+    """One whole-period model for all folds; hosts held out of a fold were among its training hosts."""
+    return _both_models(spark, sf, refit=False)
+
+
+@_query
+def ml_fold_reports(spark, sf):
+    """Support per class, fold and part of the reports on real predictions, and scores within [0, 1]."""
+    predictions = M.cross_validate(_training_rows(spark, sf), _BOOSTED)
+    report = E.classification_report(predictions, "y_true", "y_pred", ["fold", "part"])
+    ranges = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")]
+    rows = report.filter((F.col("support") > 0) & F.col("label").rlike("^[0-9]+$"))
+    return rows.select(
+        F.col("fold").cast("bigint").alias("fold"),
+        "part",
+        F.col("label").cast("bigint").alias("class"),
+        "support",
+        (ranges[0] & ranges[1] & ranges[2]).alias("in_range"),
     )
-    by_static = E.accuracy_by_slice(scored, "y_true", "pred_static").withColumnRenamed("accuracy", "static_trained")
-    by_slice = E.accuracy_by_slice(scored, "y_true", "pred_slice").withColumnRenamed("accuracy", "slice_trained")
-    return rounded(by_static.join(by_slice, ["slice", "slice_no"]))
 
 
 @_query
@@ -652,4 +770,5 @@ def ml_projection(spark, sf):
     names = {code: ROLE_NAMES[code] for code in (2, 3, 4)}
     table = X.class_subset(_training_table(spark, sf), "red_vs_blue", names)
     rows = M.assembled(table, "red_vs_blue")
-    return rounded(M.projection(rows, "ip", "class_name"))
+    axes = [F.abs(F.col(c)) <= 1.000001 for c in ("x", "y")]  # of vectors of unit length
+    return M.projection(rows, "ip", "class_name").select("ip", "class_name", (axes[0] & axes[1]).alias("in_range"))

@@ -25,6 +25,9 @@ def _address(number: str) -> str:
     )
 
 
+# Hosts grow with the suppliers. Every third order belongs to one hot host.
+_HOSTS = "(SELECT CAST(400 + 2 * max(l_suppkey) AS BIGINT) FROM lineitem)"
+
 SESSIONS_RAW = f"""
 SELECT
  {_address("s")} AS source_ip,
@@ -44,18 +47,19 @@ FROM (
   CASE WHEN u % 2 = 0 THEN 1461333600000 + (o * 1299709 + ln * 104729 + p) % 34200000
        ELSE 1461418200000 + (o * 1299709 + ln * 104729 + p) % 36060000 END AS first_packet
  FROM (
-  SELECT l_orderkey % 400 AS s, 40 + l_partkey % 400 AS d, l_orderkey AS o, l_partkey AS p, l_suppkey AS u,
+  SELECT CASE WHEN l_orderkey % 3 = 0 THEN 161 ELSE l_orderkey % h END AS s, 40 + l_partkey % h AS d, l_orderkey AS o, l_partkey AS p, l_suppkey AS u,
          CAST(l_linenumber AS BIGINT) AS ln, CAST(l_quantity AS BIGINT) AS q, l_returnflag AS rf, l_linestatus AS ls
-  FROM lineitem) k) b
+  FROM (SELECT *, {_HOSTS} AS h FROM lineitem) l) k) b
 """
 
-_HOST_NUMBERS = "SELECT l_orderkey % 400 AS n FROM lineitem UNION SELECT 40 + l_partkey % 400 FROM lineitem"
+_NUMBERED = f"(SELECT l_orderkey, l_partkey, {_HOSTS} AS h FROM lineitem) l"
+_HOST_NUMBERS = f"SELECT l_orderkey % h AS n FROM {_NUMBERED} UNION SELECT 40 + l_partkey % h FROM {_NUMBERED} UNION SELECT 161"
 
 HOST_LABELS = f"""
 SELECT {_address("n")} AS ip,
  concat('host-', CAST(n AS STRING)) AS hostname,
  CASE n % 4 WHEN 0 THEN 'Corporate' WHEN 1 THEN 'Confidential Data Storage' WHEN 2 THEN 'Cyprus Creek Campus' ELSE 'Power Plant' END AS facility,
- CASE WHEN n % 5 = 1 THEN concat('BT', CAST(n % 20 AS STRING)) ELSE 'None' END AS blue_team,
+ CASE WHEN n % 5 = 1 THEN concat('BT', CAST(n % 20 AS STRING)) WHEN n % 23 = 4 THEN NULL ELSE 'None' END AS blue_team,
  n % 17 = 2 AS red_team
 FROM ({_HOST_NUMBERS}) h
 """
@@ -77,16 +81,9 @@ FROM (SELECT n, CAST(k + 1 AS BIGINT) AS slice_no
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    """One given table. With fewer files than cores its rows are first spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("orderkey", "partkey", "suppkey", "linenumber", "quantity", "returnflag", "linestatus")
-    return table(spark, sf_dir, "lineitem", [f"l_{c}" for c in columns])
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select([f"l_{c}" for c in columns])
 
 
 def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
@@ -95,7 +92,16 @@ def _sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     return spark.sql(text, **frames)
 
 
-_ingested: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_ingested: dict[tuple, tuple[str, StructType]] = {}
+# Files of this many rows let several tasks scan what one task has written.
+_FILE_ROWS = 1 << 17
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of the input files: a changed table is derived anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path))
 
 
 def _ingest(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
@@ -104,10 +110,10 @@ def _ingest(spark: SparkSession, sf_dir: str, name: str, derive: Callable[[], Da
     Queries then start from columnar tables as they would in production, so that filters and column
     selection reach the scan, instead of repeating the derivation.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, name, _state(spark, sf_dir))
     if key not in _ingested:
         path, df = new_table_path(spark, name), derive()
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", _FILE_ROWS).parquet(path)
         _ingested[key] = path, df.schema
     path, schema = _ingested[key]
     return spark.read.schema(schema).parquet(path)

@@ -13,13 +13,14 @@ from hostloom.schema import LABEL_SCHEMA, SESSION_CSV_NAMES, SESSION_SCHEMA
 def read_sessions_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """Union of daily session CSVs (files or folders) with a header row.
 
-    Columns are found by header name, so files may order them differently and carry further columns;
-    the CSV reader parses only the columns a query needs. Numbers may be written as floats ("443.0",
-    "NaN"); what is no whole number becomes null.
+    Columns are found by header name, so each path may order them differently and carry further columns;
+    the files of one folder share one header, and a file with another one is an error. The CSV reader parses only
+    the columns a query needs. Numbers may be written as floats: "443.0" is 443, a fraction is cut off, and
+    what is no number ("NaN", "") becomes null.
     """
 
     def day(path: str) -> DataFrame:
-        raw = spark.read.option("header", True).csv(path)
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
         columns = []
         for field in SESSION_SCHEMA:
             text = F.col(f"`{SESSION_CSV_NAMES[field.name]}`")

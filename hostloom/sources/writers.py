@@ -11,11 +11,10 @@ from hostloom.schema import SESSION_CSV_NAMES
 def write_slices(df: DataFrame, path: str) -> None:
     """One folder per slice, so that a reader of one slice touches only its files.
 
-    Rows are spread over tasks by slice and a hash of the host: a slice never waits on one task, and
-    its folder gets at most ``16`` files per writing round.
+    Rows are rebalanced by slice: adaptive execution splits a large slice over tasks and lets one task write
+    several small ones, by their measured sizes.
     """
-    spread = df.repartition("slice", F.pmod(F.xxhash64("ip"), F.lit(16)))
-    spread.write.partitionBy("slice").parquet(path)
+    df.hint("rebalance", "slice").write.partitionBy("slice").parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

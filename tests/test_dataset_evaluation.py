@@ -95,7 +95,7 @@ def test_report_and_confusion(spark):
     for r in E.confusion_matrix(df, "y", "p").collect():
         assert [r[f"pred_{c}"] for c in range(5)] == [pairs[r.true, c] for c in range(5)]
     for r in E.confusion_matrix(df, "y", "p", normalize=True).collect():
-        assert sum(r[f"pred_{c}"] for c in range(5)) == pytest.approx(1)
+        assert sum(r[f"pred_{c}"] for c in range(5)) == pytest.approx(r.true != 1)  # 1 is never true
 
 
 def test_merged_predictions(spark):
@@ -127,3 +127,20 @@ def test_accuracy_over_slices(spark):
     for r in E.accuracy_by_slice(df, "y", "p").collect():
         hits = [a[4] == a[5] for a in counted if a[2] == r.slice_no]
         assert r.accuracy == pytest.approx(sum(hits) / len(hits))
+
+
+def test_weights_of_another_frame_lose_no_row(spark):
+    weights = spark.createDataFrame([(0, 2.0), (1, 3.0)], "y bigint, weight double")
+    df = spark.createDataFrame([("a", 0), ("b", 2)], "ip string, y bigint")
+    assert {r.ip: r.weight for r in D.with_weights(df, "y", weights).collect()} == {"a": 2.0, "b": 1.0}
+    with pytest.raises(Exception, match="null in y"):
+        D.with_weights(df.selectExpr("ip", "nullif(y, 2) AS y"), "y", weights).collect()
+
+
+def test_confusion_has_a_row_per_class_and_refuses_others(spark):
+    df = spark.createDataFrame([(5, 5), (5, 3), (2, 0)], "y bigint, p bigint")
+    rows = {r.true: r for r in E.confusion_matrix(df, "y", "p", classes=range(6)).collect()}
+    assert set(rows) == set(range(6)) and (rows[5].pred_5, rows[5].pred_3, rows[2].pred_0) == (1, 1, 1)
+    assert sum(rows[0][f"pred_{c}"] for c in range(6)) == 0
+    with pytest.raises(Exception, match="class outside the matrix"):
+        E.confusion_matrix(df, "y", "p").collect()

@@ -1,5 +1,6 @@
 from test_features import frame, session
 
+from hostloom.functions.labels import is_blue
 from hostloom.operators import roles as R
 from hostloom.operators import slices as T
 from hostloom.schema import LABEL_SCHEMA
@@ -125,3 +126,8 @@ def test_timelines(spark):
     assert {r.bin: r.n for r in T.timeline(log_at(spark, 5, 5), 10).collect()} == {0: 2}
     # Edges 0, 50, 100: the last bin holds its right edge.
     assert {r.bin: r.n for r in T.timeline_edges(log, 0, 101, 50).collect()} == {0: 2, 1: 2}
+
+
+def test_a_missing_team_is_a_team(spark):
+    df = spark.createDataFrame([("None",), ("BT1",), (None,)], "blue_team string")
+    assert [r[0] for r in df.select(is_blue(df.blue_team)).collect()] == [False, True, True]

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from test_features import frame, random_sessions, session
 
 from hostloom.schema import SESSION_CSV_NAMES, SESSION_SCHEMA
@@ -56,3 +58,15 @@ def test_fold_predictions_and_stored_tables(spark, tmp_path):
     kept = stored(df, "t")
     assert kept.collect() == df.collect()
     assert "ExistingRDD" not in kept._jdf.queryExecution().toString()
+
+
+def test_files_of_a_folder_with_different_headers_are_an_error(spark, tmp_path):
+    names = [*SESSION_CSV_NAMES.values()]
+    row = {n: "7" for n in names} | {"source.ip": "10.0.0.1", "destination.ip": "10.0.0.2"}
+    for k, order in enumerate((names, names[::-1])):
+        lines = [",".join(order), ",".join(row[n] for n in order)]
+        (tmp_path / f"{k}.csv").write_text("\n".join(lines) + "\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_sessions_csv(spark, str(tmp_path)).collect()
+    apart = readers.read_sessions_csv(spark, *(str(tmp_path / f"{k}.csv") for k in (0, 1))).collect()
+    assert len(apart) == 2 and apart[0] == apart[1] and apart[0].source_port == 7
