@@ -76,13 +76,18 @@ def grown_map(current: DataFrame, slots: DataFrame, shards: int) -> DataFrame:
 
     Every shard gives its smallest slots, as long as they sum to no more than its share for the new one.
     """
-    total = slots.groupBy().agg((F.sum("bytes") / (shards + 1)).alias("target"))
     loads = current.join(slots, "virtual_slot")
-    held = Window.partitionBy("shard")
+    held, every = Window.partitionBy("shard"), Window.partitionBy(F.lit(0))  # one row per slot
     given = held.orderBy("bytes", "virtual_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = loads.withColumn("load", F.sum("bytes").over(held)).withColumn("given", F.sum("bytes").over(given))
+    share = loads.withColumns(
+        {
+            "load": F.sum("bytes").over(held),
+            "given": F.sum("bytes").over(given),
+            "target": F.sum("bytes").over(every) / (shards + 1),
+        }
+    )
     moved = F.col("given") <= F.col("load") - F.col("target")
-    return share.crossJoin(F.broadcast(total)).select(  # one row
+    return share.select(
         (F.col("version") + 1).alias("version"),
         "virtual_slot",
         F.when(moved, F.lit(shards)).otherwise(F.col("shard")).alias("shard"),
