@@ -254,16 +254,21 @@ def _prefix_rows(members: DataFrame, frequency: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, component, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "members"))):
+            if not batch.num_rows:
+                continue
+            firsts, sizes = [], []
+            for body in batch.column("members").to_pylist():
                 codes = np.frombuffer(body, np.uint64)
-                n = len(codes)
                 order = np.argsort(shared.value[(codes >> _SKETCH_SHIFT).astype(np.int64)], kind="stable")
-                first = codes[order[: n + (-PERCENT * n // 100) + 1]]
-                same = [np.full(len(first), v, np.int64) for v in (doc_id, component, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), *map(pa.array, same), pa.array(n - np.arange(len(first)))],
-                    names=["token", "doc_id", "component", "n", "rest"],
-                )
+                firsts.append(codes[order[: len(codes) + (-PERCENT * len(codes) // 100) + 1]])
+                sizes.append(len(codes))
+            counts = np.array([len(f) for f in firsts])
+            row, n = np.repeat(np.arange(len(counts)), counts), np.repeat(np.array(sizes), counts)
+            same = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "component")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(firsts).view(np.int64)), *same, pa.array(n), pa.array(n - runs(counts))],
+                names=["token", "doc_id", "component", "n", "rest"],
+            )
 
     return members.mapInArrow(run, "token bigint, doc_id bigint, component bigint, n bigint, rest bigint")
 
@@ -283,37 +288,46 @@ def _crossing(rows: DataFrame) -> DataFrame:
     met = rows.withColumn("visit", F.explode(F.array(*visits)))
     met = met.select("token", "visit.band", "visit.guest", "n", "doc_id", "component", "rest")
 
-    def pairs(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(group: list[tuple]) -> set[tuple[int, int]]:
         guest, n, doc, component, rest = (np.array(v) for v in zip(*group))
         values, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
-        out = []
-        if len(values) > 1:
-            others = np.flatnonzero(inverse != np.argmax(counts))  # members of the largest component look for no one
-            order = np.argsort(n, kind="stable")
-            sizes = n[order]
-            for x in others.tolist():
-                low = np.searchsorted(sizes, -(-PERCENT * n[x] // 100))
-                high = np.searchsorted(sizes, n[x] * 100 // PERCENT, side="right")
-                y = order[low:high]
-                least = PERCENT * (n[x] + n[y])  # shared >= t / (1 + t) (|x| + |y|)
-                good = (component[y] != component[x]) & ~(guest[x] & guest[y])
-                good &= ((100 + PERCENT) * rest[x] >= least) & ((100 + PERCENT) * rest[y] >= least)
-                out += [(min(int(doc[x]), z), max(int(doc[x]), z)) for z in doc[y[good]].tolist()]
-        found = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-        return found[:, 0], found[:, 1]
+        out: set[tuple[int, int]] = set()
+        if len(values) == 1:
+            return out
+        others = np.flatnonzero(inverse != np.argmax(counts))  # members of the largest component look for no one
+        order = np.argsort(n, kind="stable")
+        sizes = n[order]
+        for x in others.tolist():
+            low = np.searchsorted(sizes, -(-PERCENT * n[x] // 100))
+            high = np.searchsorted(sizes, n[x] * 100 // PERCENT, side="right")
+            y = order[low:high]
+            least = PERCENT * (n[x] + n[y])  # shared >= t / (1 + t) (|x| + |y|)
+            good = (component[y] != component[x]) & ~(guest[x] & guest[y])
+            good &= ((100 + PERCENT) * rest[x] >= least) & ((100 + PERCENT) * rest[y] >= least)
+            out.update((min(int(doc[x]), z), max(int(doc[x]), z)) for z in doc[y[good]].tolist())
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, current = [], None
+        group, current, found = [], None, set()
+
+        def emitted() -> pa.RecordBatch:
+            rows = np.array(sorted(found), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
+
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("guest", "n", "doc_id", "component", "rest")]
             for key, row in zip(zip(batch.column("token").to_pylist(), batch.column("band").to_pylist()), zip(*columns)):
                 if key != current:
                     if len(group) > 1:
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(group))), names=["a", "b"])
+                        found |= pairs(group)
                     group, current = [], key
+                    if len(found) > 10_000:
+                        yield emitted()
+                        found = set()
                 group.append(row)
         if len(group) > 1:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, pairs(group))), names=["a", "b"])
+            found |= pairs(group)
+        yield emitted()
 
     dealt = met.repartition("token", "band").sortWithinPartitions("token", "band")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
