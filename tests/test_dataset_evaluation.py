@@ -95,7 +95,7 @@ def test_report_and_confusion(spark):
     for r in E.confusion_matrix(df, "y", "p").collect():
         assert [r[f"pred_{c}"] for c in range(5)] == [pairs[r.true, c] for c in range(5)]
     for r in E.confusion_matrix(df, "y", "p", normalize=True).collect():
-        assert sum(r[f"pred_{c}"] for c in range(5)) == pytest.approx(r.true != 1)  # 1 is never true
+        assert sum(r[f"pred_{c}"] for c in range(5)) == pytest.approx(int(r.true != 1))  # 1 is never true
 
 
 def test_merged_predictions(spark):

@@ -42,3 +42,14 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_time_range_of_the_slices_reaches_the_scan(spark):
     plan = formatted(entry.queries()["slice_sessions"](spark, SF))
     assert "GreaterThan(first_packet," in plan and "LessThanOrEqual(first_packet," in plan
+
+
+def test_labels_of_present_hosts_need_no_lists_and_no_grid(spark):
+    for name in ("slice_labels_present", "class_comparison", "slice_train_test"):
+        plan = final_plan(entry.queries()[name](spark, SF))
+        assert "ObjectHashAggregate" not in plan and "sequence(" not in plan and "Generate explode(sequence" not in plan, name
+
+
+def test_slices_are_rebalanced_before_writing(spark, tmp_path):
+    log = standin.sessions(spark, SF).selectExpr("source_ip AS ip", "CAST(ip_protocol AS STRING) AS slice").hint("rebalance", "slice")
+    assert "REBALANCE_PARTITIONS_BY_COL" in formatted(log)
