@@ -175,6 +175,11 @@ def evolve(lengths: list[int], population: list, capacity: int, seed: int) -> li
 # --- the islands
 
 
+def _gathered():
+    """All packings of a group, sorted: a repeated task breeds the same ones whatever order they arrive in."""
+    return F.sort_array(F.flatten(F.collect_list("population")))
+
+
 def _epoch(states: DataFrame, epoch: int, capacity: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -185,7 +190,7 @@ def _epoch(states: DataFrame, epoch: int, capacity: int) -> DataFrame:
 
     letters = states.mapInPandas(run, _STATE)  # own population, and the elite addressed to the next island
     return letters.groupBy("block", "island").agg(
-        F.first("lengths").alias("lengths"), F.flatten(F.collect_list("population")).alias("population")
+        F.first("lengths").alias("lengths"), _gathered().alias("population")
     )
 
 
@@ -206,7 +211,7 @@ def _place(states: DataFrame, capacity: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["block", "item", "bin", "offset", "filled"])
 
     gathered = states.groupBy("block").agg(
-        F.first("lengths").alias("lengths"), F.flatten(F.collect_list("population")).alias("packings")
+        F.first("lengths").alias("lengths"), _gathered().alias("packings")
     )
     return gathered.mapInPandas(run, _PLACES)
 
