@@ -212,26 +212,14 @@ def _feature_rows(rows: DataFrame) -> np.ndarray:
     """Features of a bounded sample, on the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in chunks(batches):
+        for batch, data, offsets in chunks(batches):
             body = [row.tobytes() for row in features(data, offsets)]
-            yield pa.RecordBatch.from_arrays([pa.array(body, pa.binary())], names=["row"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], names=["doc_id", "row"])
 
-    rows = rows.select("doc_id", "text").mapInArrow(_with_ids(run), "doc_id bigint, row binary").orderBy("doc_id", "row")
+    rows = rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, row binary").orderBy("doc_id", "row")
     return np.array([np.frombuffer(r["row"], np.float32) for r in rows.collect()]).reshape(-1, FEATURES).astype(float)
 
 
-def _with_ids(run):
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in run(iter([batch])):
-                ids = batch.column("doc_id").slice(at, part.num_rows)
-                at += part.num_rows
-                yield pa.RecordBatch.from_arrays([ids, part.column("row")], names=["doc_id", "row"])
-
-    return both
-
-
 def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> Model:
     """Learn from about ``positives`` trusted rows and ``unlabelled`` rows without a label.
 
