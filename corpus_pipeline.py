@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from hostloom.llm import decontamination, neardup, packing, phrases, toxicity
 from hostloom.llm.queries import TOKENIZER
-from hostloom.session import ship_package, stored
+from hostloom.llm.text import prepared
+from hostloom.session import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,14 +23,14 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose nearest labelled examples call them toxic go."""
-    ship_package(spark)
+    prepared(spark)
     docs = docs.select(*COLUMNS)
     return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest doc_id stays."""
-    ship_package(spark)
+    prepared(spark)
     docs = docs.select(*COLUMNS)
     dropped = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
@@ -37,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_phrases(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that earlier documents have go; a document that loses all its words goes too."""
-    ship_package(spark)
+    prepared(spark)
     rows = phrases.deduplicated(docs.select(*COLUMNS))
     rows = rows.filter("n_removed = 0 or n_removed < n_words")
     cut = F.col("n_removed") > 0
@@ -52,13 +53,13 @@ def cut_repeated_phrases(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a stretch of a benchmark item go."""
-    ship_package(spark)
+    prepared(spark)
     return decontamination.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its place among sequences of 1024 ids."""
-    ship_package(spark)
+    prepared(spark)
     return packing.digests(packing.packed(packing.pieces(docs, TOKENIZER)))
 
 

@@ -21,7 +21,8 @@ from hostloom.llm import (
     toxicity,
     winnowing,
 )
-from hostloom.session import ship_package, stored
+from hostloom.llm.text import prepared
+from hostloom.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +34,7 @@ _registry: dict[str, Query] = {}
 def _query(function: Query) -> Query:
     @wraps(function)
     def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepared(spark)
         return function(spark, sf_dir)
 
     _registry[function.__name__] = shipped

@@ -11,8 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+from hostloom.session import ship_package
 
 CHUNK_BYTES = 4 << 20
+ARROW_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 # Word separators: space and \t \n \v \f \r.
 SEPARATOR = np.zeros(256, bool)
@@ -28,6 +33,17 @@ _BYTES = (
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def prepared(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, and batches of texts small.
+
+    The default of 10,000 rows a batch holds tens of MB of text several times over, in the worker and in the executor
+    beside its heap; 1,000 rows are about a chunk. Another setting than the default is left alone.
+    """
+    ship_package(spark)
+    if spark.conf.get(_ROWS_SETTING) == "10000":
+        spark.conf.set(_ROWS_SETTING, str(ARROW_ROWS))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the offset of each text in them; null counts as empty."""
     filled = pc.fill_null(column, "") if column.null_count else column
