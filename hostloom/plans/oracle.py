@@ -8,6 +8,7 @@ count tables, range joins instead of slice arithmetic.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from hostloom.plans import standin
 from hostloom.plans.queries import FOLDS, HOST, OFF_TIES, SLICES, SUBNET, TIMELINE_EDGES
@@ -534,5 +535,10 @@ def _kept(name: str, sql: str) -> str:
     return f"SELECT COLUMNS(lambda c: NOT regexp_matches(c, '{_FLOATS[name]}')), {_digits(floats)} AS '\\0' FROM ({sql})"
 
 
-def oracle_sql() -> dict[str, str]:
+@cache
+def _texts() -> dict[str, str]:
     return {name: _with(_kept(name, sql)) for name, sql in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_texts())
