@@ -141,11 +141,12 @@ def regions(data: np.ndarray, offsets: np.ndarray, index: Index):
     return list(zip(text[i[begin]].tolist(), k.tolist(), low.tolist(), high.tolist(), (first_diagonal + index.base[k]).tolist()))
 
 
-def aligned(text: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> np.ndarray:
+def aligned(text: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> np.ndarray | None:
     """Edits at every item position on a best path, with text ends free, between the band's diagonals.
 
-    Row r of the table is item position r; column c is text position r + diagonal + c. Returns per item byte the number of
-    edits spent on it and the path's text position before each item byte (one more than the item has).
+    Row r of the table is item position r; column c is text position r + diagonal + c. Item bytes beyond the text's ends
+    count as edits. Returns per item byte the number of edits spent on it and the path's text position before each item
+    byte (one more than the item has), or None if no path lies in the band.
     """
     far = 1 << 20
     rows, columns = len(item), width
@@ -164,9 +165,11 @@ def aligned(text: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> np
         best = np.minimum(np.minimum(step, skip), far)
         # Text bytes without an item byte, left to right.
         best = np.minimum.accumulate(best - ramp) + ramp
-        cost[r] = np.where(ok, best, far)
+        cost[r] = np.where(ok, np.minimum(best, far), far)
     spent, at = np.zeros(rows, np.int64), np.zeros(rows + 1, np.int64)
     c = int(np.argmin(cost[rows]))
+    if cost[rows][c] >= far:
+        return None
     r = rows
     at[r] = r + diagonal + c
     while r:
@@ -183,27 +186,52 @@ def aligned(text: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> np
             c -= 1
             continue
         else:
-            break
+            return None
         at[r] = r + diagonal + c
     return np.stack([np.append(spent, 0), at])
 
 
+def distances(text: np.ndarray, item: np.ndarray, diagonal: int, width: int, size: int) -> np.ndarray:
+    """Edits of every window of ``size`` item bytes at its best place in the text, between the band's diagonals."""
+    far = 1 << 20
+    starts, ramp = np.arange(len(item) - size + 1)[:, None], np.arange(width)
+    at = starts + diagonal + ramp
+    cost = np.where((at >= 0) & (at <= len(text)), 0, far)
+    for r in range(size):
+        at = at + 1
+        miss = text[np.clip(at - 1, 0, len(text) - 1)] != item[starts + r]
+        step = cost + np.where((at >= 1) & (at <= len(text)), miss, far)
+        step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+        best = np.minimum.accumulate(step - ramp, axis=1) + ramp
+        cost = np.where((at >= 0) & (at <= len(text)), best, far)
+    return cost.min(axis=1)
+
+
 def verified(data: np.ndarray, start: int, end: int, low: int, high: int, diagonal: int, index: Index, k: int):
     """(text from, text to, item from, item to, edits) of the longest verified stretch of a region, or None."""
     item, size, budget = index.texts[k], int(index.region[k]), int(index.edits[k])
     margin = size
-    from_item = max(low - diagonal - BAND - budget - margin, 0)
-    to_item = min(high - diagonal + margin, len(item))
     slack = budget + 1
     width = BAND + budget + 2 * slack
-    path = aligned(data[start:end], item[from_item:to_item], diagonal - start + from_item - slack, width)
-    spent, at = path[0][:-1], path[1]
-    if len(spent) < size:
+    # No further than the band reaches in the text: its last column enters at the text's start, its first leaves at the end.
+    from_item = max(low - diagonal - BAND - budget - margin, start - diagonal + slack + 1 - width, 0)
+    to_item = min(high - diagonal + margin, end - diagonal + slack, len(item))
+    text, offset = data[start:end], diagonal - start - slack
+    path = aligned(text, item[from_item:to_item], offset + from_item, width)
+    if path is None or path.shape[1] <= size:
         return None
+    spent, at = path[0][:-1], path[1]
     sums = np.concatenate(([0], np.cumsum(spent)))
     good = np.flatnonzero(sums[size:] - sums[:-size] <= budget)
     if not len(good):
-        return None
+        # The best path of the whole is not always the best of each window.
+        edits = distances(text, item[from_item:to_item], offset + from_item, width, size)
+        if edits.min() > budget:
+            return None
+        from_item += int(np.argmin(edits))
+        spent, at = aligned(text, item[from_item : from_item + size], offset + from_item, width)
+        spent = spent[:-1]
+        sums, good = np.concatenate(([0], np.cumsum(spent))), np.zeros(1, np.int64)
     # The longest chain of overlapping good windows.
     breaks = np.flatnonzero(np.diff(good) > size)
     heads, tails = np.append(0, breaks + 1), np.append(breaks, len(good) - 1)

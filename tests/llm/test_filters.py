@@ -87,6 +87,26 @@ def test_edited_leaks_agree_with_full_alignment(frame, spark, benchmark):
     assert found == want and 10 < len(want) < 48
 
 
+def test_excerpts_at_the_borders_of_a_text(spark, benchmark):
+    rng = random.Random(9)
+    items = [(r["item_id"], r["text"]) for r in benchmark.collect() if len(r["text"]) >= 250][:6]
+    index = decontamination.Index(items)
+    fill = " ".join(rng.choices("lorem ipsum dolor sit amet consectetur adipiscing".split(), k=40))
+    got, want = [], []
+    for k in range(80):
+        number = k % len(items)
+        item = items[number][1]
+        size = rng.choice([30, 30, 60, 76, 82, 100, 120])
+        at = rng.randrange(100, len(item) - size - 20)
+        part = item[at : at + size] if k % 3 else edited(item[at : at + size], 2, rng)
+        gap = fill[: rng.choice([0, 0, 5, 30, 74])]
+        text = [part, f"{part} {gap}", f"{gap} {part}", f"{gap} {part} {fill}", f"{fill} {part} {gap}"][k % 5]
+        data = decontamination.normal(np.frombuffer(text.encode(), np.uint8))
+        got.append(number in {leak[1] for leak in decontamination.leaks(data, np.array([0, len(data)]), index)})
+        want.append(holds(item[at - 100 : at + size + 100], text))  # the rest of the item is far from the text
+    assert got == want and 20 < sum(want) < 60
+
+
 def test_blocks_of_the_benchmark_give_the_same(small, benchmark):
     whole = decontamination.contaminated(small, benchmark)
     parts = decontamination.contaminated(small, benchmark, block_bytes=2000)
