@@ -111,10 +111,16 @@ _BLOCK_BYTES = 1 << 17
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of every byte span; spans are in order and do not overlap.
+    """64-bit hash of every byte span, 0 for empty ones; spans are in order and do not overlap.
 
     Works block by block, so that the wide temporary arrays stay in the processor's cache.
     """
+    filled = np.flatnonzero(ends > starts)
+    if len(filled) < len(starts):
+        out = np.zeros(len(starts), np.uint64)
+        if len(filled):
+            out[filled] = span_hashes(data, starts[filled], ends[filled], which)
+        return out
     out = np.empty(len(starts), np.uint64)
     done = 0
     while done < len(starts):

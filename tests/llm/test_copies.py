@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hostloom.llm import components, neardup, phrases, winnowing
+from hostloom.llm.text import span_hashes
 
 
 def assert_cut(docs):
@@ -47,6 +48,19 @@ def test_repeated_phrases_with_hot_anchors_and_small_automata(frame, monkeypatch
     assert_cut(shuffled_passages(frame, 3))
 
 
+@pytest.mark.parametrize("text", [None, ""])
+def test_repeated_phrases_with_an_empty_text_last_or_alone(frame, text):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    for rows in ([(1, text)], [(1, passage), (2, passage), (3, text)], [(1, text), (2, text)]):
+        assert_cut(frame(rows).coalesce(1))
+
+
+def test_hashes_of_empty_spans_are_equal():
+    data = np.frombuffer(b"abcabc", np.uint8)
+    got = span_hashes(data, np.array([0, 0, 3, 3, 6]), np.array([0, 3, 3, 6, 6])).tolist()
+    assert got[0] == got[2] == got[4] != got[1] == got[3]
+
+
 def test_repeated_phrases_of_an_empty_table(empty):
     assert phrases.deduplicated(empty).count() == 0
 
