@@ -609,9 +609,7 @@ def merged_confusion(spark, sf):
 # Scores of fitted models are not determined by SQL. The queries return what is: who is scored, in which fold
 # and part, that scores lie in their range and beat the majority class. The operators return the scores themselves.
 
-# Rounds of boosting and trees of a forest in the registered runs; the operators default to 100.
-ROUNDS, TREES = 5, 50
-_BOOSTED = M.Trees("boosted_trees", iterations=ROUNDS)
+_BOOSTED = M.Trees("boosted_trees")
 
 
 def _training_table(spark: SparkSession, sf: str, label: str = "red_vs_blue") -> DataFrame:
@@ -665,7 +663,7 @@ def ml_decision_tree(spark, sf):
 
 @_query
 def ml_random_forest(spark, sf):
-    return _cross_validated(spark, sf, M.Trees("random_forest", depth=6, trees=TREES))
+    return _cross_validated(spark, sf, M.Trees("random_forest", depth=6))
 
 
 @_query
@@ -678,11 +676,8 @@ def ml_facility(spark, sf):
     return _cross_validated(spark, sf, _BOOSTED, "facility_class")
 
 
-@_query
-def ml_depth_grid(spark, sf):
-    """All depths the library can fit, all folds, the two kinds whose fits do not depend on rounds."""
-    rows = _training_rows(spark, sf)
-    grid = M.depth_grid(rows, [M.Trees("decision_tree"), M.Trees("random_forest", trees=10)])
+def _depth_grid(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    grid = M.depth_grid(_training_rows(spark, sf), [M.Trees(kind) for kind in kinds])
     test, train = F.col("mean_test_score"), F.col("mean_train_score")
     return grid.select(
         "kind",
@@ -692,6 +687,18 @@ def ml_depth_grid(spark, sf):
     )
 
 
+@_query
+def ml_depth_grid(spark, sf):
+    """All depths the library can fit, all folds, the two kinds whose fits do not depend on rounds."""
+    return _depth_grid(spark, sf, "decision_tree", "random_forest")
+
+
+@_query
+def ml_depth_grid_boosted(spark, sf):
+    """The third kind of the grid; the SQL of ``ml_depth_grid`` has the other two."""
+    return _depth_grid(spark, sf, "boosted_trees")
+
+
 @_query
 def ml_ablation(spark, sf):
     table = stored(_training_table(spark, sf), "training")

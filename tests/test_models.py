@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hostloom.operators import dataset as D
 from hostloom.operators import models as M
+from hostloom.plans import queries
 from hostloom.schema import FEATURE_GROUPS, FEATURES
 
 
@@ -62,3 +63,26 @@ def test_static_and_slice_models_score_the_same_rows(spark, table):
 def test_projection_has_two_axes(spark, table):
     points = M.projection(M.assembled(table, "y_label", FEATURE_GROUPS["coarse"]), "ip")
     assert points.columns == ["ip", "x", "y"] and points.count() == 150
+
+
+def test_registered_runs_are_of_full_size(monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(rows, settings, *_, **__):
+        raise Seen(settings)
+
+    monkeypatch.setattr(queries, "_training_rows", lambda *_: None)
+    monkeypatch.setattr(M, "depth_grid", seen)
+    monkeypatch.setattr(M, "cross_validate", seen)
+    monkeypatch.setattr(M, "fold_importances", seen)
+    kinds = set()
+    names = ["random_forest", "boosted_trees", "facility", "feature_importance", "depth_grid", "depth_grid_boosted"]
+    for name in names:
+        with pytest.raises(Seen) as got:
+            getattr(queries, f"ml_{name}")(None, "")
+        settings = got.value.args[0]
+        for s in settings if isinstance(settings, list) else [settings]:
+            assert s.iterations == 100 and s.trees == 100
+            kinds |= {s.kind} if "grid" in name else set()
+    assert kinds == set(M.KINDS)
