@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostloom.llm import (
+    centroids,
     decontamination,
     neardup,
+    negatives,
+    oracle,
     packing,
     phrases,
     quality,
@@ -19,6 +22,7 @@ from hostloom.llm import (
     token_counts,
     token_files,
     toxicity,
+    url_rules,
     winnowing,
 )
 from hostloom.llm.text import prepared
@@ -28,6 +32,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 _registry: dict[str, Query] = {}
 
 
@@ -46,7 +58,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +128,21 @@ def op10_winnowing(spark, sf_dir):
     return winnowing.edited_and_next(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_ptolemaic_clusters(spark, sf_dir):
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op12_packed_negatives(spark, sf_dir):
+    return negatives.hard_negatives(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
+@_query
+def op13_url_rules(spark, sf_dir):
+    return url_rules.judged(_table(spark, sf_dir, "pages"), url_rules.rules(spark, URL_RULES))
+
+
 @_query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
