@@ -3,12 +3,12 @@
 A window is 13 consecutive words. Its anchor is the smallest hash among its runs of 5 words, so equal windows have
 equal anchors, and consecutive windows with one anchor form a run.
 
-1. Anchors of all documents are shuffled once; those that occur in one document only fall out. Anchors that a task
-   already sees in two documents are known to recur and send one representative to that test.
-2. Documents meet their recurring anchors. A document without any, or an exact copy, is finished here.
-3. The words of every recurring run go to the shard of their anchor, equal ones of a task as one row. There,
-   windows found in two documents are confirmed, compiled into Aho-Corasick automata of bounded size, and the runs
-   of all documents stream through them. An anchor with very many different runs is split by window.
+1. Exact copies are known by their digests. Documents are shuffled once, and all later steps read that shuffle.
+2. Anchors of all other documents are shuffled, equal ones of a task's stretch of text as one row; those that occur in
+   one document only fall out. An anchor with very many runs is hot: its windows are runs of their own from here on.
+3. The words of every recurring run go to the shard of their anchor (a hot window's to a shard of its own), equal ones of
+   a stretch as one row. There, windows found in two documents are confirmed, compiled into Aho-Corasick automata of
+   bounded size, and the runs of all documents stream through them.
 4. Every run gets the first document of each of its windows back, which decides what its document loses.
 """
 
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,10 @@ from hostloom.session import stored
 WINDOW = 13
 ANCHOR = 5
 AUTOMATON_PHRASES = 20_000
-# Anchors with more different runs than this are split by window.
-HOT_RUNS = 20_000
+# Runs of anchors with more runs than this in the corpus are split into their windows.
+HOT_RUNS = 10_000
+# Equal anchors, and equal contexts, of a task are combined over this many runs, and bytes of words.
+STRETCH_RUNS, STRETCH_BYTES = 1 << 20, 32 << 20
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray):
@@ -60,122 +63,91 @@ def window_runs(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, hashes, first, run_first, count, owner[run_first], grams[at[begin]]
 
 
-def _recurring(docs: DataFrame) -> DataFrame:
-    """doc_id, starts: per document the runs whose anchor occurs in a document with another id."""
+_ANCHORS = "key bigint, n bigint, low bigint, high bigint, docs array<bigint>"
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches):
-            _, _, _, first, run_first, _, text, anchor = window_runs(data, offsets)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            doc = ids[text] if len(text) else np.zeros(0, np.int64)
-            order = np.lexsort((doc, anchor))
-            a, d = anchor[order], doc[order]
-            opens = np.append(True, a[1:] != a[:-1]) if len(a) else np.zeros(0, bool)
-            group = np.cumsum(opens) - 1
-            heads = np.flatnonzero(opens)
-            tails = np.append(heads[1:], len(a)) - 1 if len(a) else heads
-            local = (d[heads] != d[tails])[group] if len(a) else opens
-            # One row per anchor takes part in the test; the others of a locally recurring anchor only travel,
-            # under a number of their own. Their test is already passed.
-            tested = ~local | opens
-            key = np.where(tested, a, mixed(a + np.arange(len(a), dtype=np.uint64) + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)),
-                    pa.array(local),
-                    pa.array(d.astype(np.int64)),
-                    pa.array((run_first - first[text])[order].astype(np.int32) if len(a) else np.zeros(0, np.int32)),
-                ],
-                names=["key", "known", "doc_id", "start"],
-            )
 
-    rows = docs.mapInArrow(anchors, "key bigint, known boolean, doc_id bigint, start int")
-    same = Window.partitionBy("key")
-    seen = rows.withColumns(
-        {
-            "low": F.min("doc_id").over(same),
-            "high": F.max("doc_id").over(same),
-            "any": F.max("known").over(same),
-        }
-    )
-    recurring = seen.filter("known or any or low < high")
-    return recurring.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+def _anchor_rows(anchor: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """One row per different anchor: number of its runs, smallest document; if there are several, the largest and all."""
+    order = np.lexsort((doc, anchor))
+    anchor, doc = anchor[order], doc[order]
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    heads = np.flatnonzero(new)
+    size = np.diff(np.append(heads, len(anchor)))
+    last = doc[heads + size - 1]
+    several = doc[heads] < last
+    listed = np.repeat(several, size) & (new | np.append(True, doc[1:] != doc[:-1]))
+    ends = np.append(0, np.cumsum(np.add.reduceat(listed.astype(np.int32), heads))).astype(np.int32)
+    docs = pa.ListArray.from_arrays(pa.array(ends), pa.array(doc[listed]), mask=pa.array(~several))
+    columns = [anchor[heads].view(np.int64), size, doc[heads], pa.array(last, mask=~several), docs]
+    return pa.record_batch(columns, ["key", "n", "low", "high", "docs"])
 
 
-def _kept(raw: bytes) -> str:
-    return hashlib.sha256(b" ".join(raw.split())).hexdigest()
+def _recurring(rows: DataFrame) -> DataFrame:
+    """doc_id, anchors, hot: per document its anchors that occur in a document with another id, and the hot ones.
 
+    Copies have their result already and take no part.
+    """
 
-_READ = "doc_id bigint, text_hash bigint, n_words bigint, n_removed bigint, kept_text string, text string, starts array<int>"
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        heads = (batch.filter(pc.and_not(batch.column("doc_id").is_valid(), batch.column("copy"))) for batch in batches)
+        for batch, data, offsets in chunks(heads):
+            *_, text, anchor = window_runs(data, offsets)
+            held.append((anchor, batch.column("doc_id").to_numpy(zero_copy_only=False)[text].astype(np.int64)))
+            size += len(anchor)
+            if size >= STRETCH_RUNS:
+                yield _anchor_rows(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            yield _anchor_rows(*map(np.concatenate, zip(*held)))
+
+    # A key has one row per stretch of text that holds it, however many its documents.
+    same = Window.partitionBy("key")
+    last = F.max(F.coalesce("high", "low")).over(same)
+    between = {"first": F.min("low").over(same), "last": last, "total": F.sum("n").over(same)}
+    seen = rows.mapInArrow(anchors, _ANCHORS).withColumns(between)
+    doc = F.explode(F.coalesce("docs", F.array("low"))).alias("doc_id")
+    found = seen.filter("first < last").select(doc, "key", F.when(F.col("total") > HOT_RUNS, F.col("key")).alias("hot"))
+    return found.groupBy("doc_id").agg(F.collect_list("key").alias("anchors"), F.collect_list("hot").alias("hot"))
 
 
-def _with_rest(schema: str, rows: DataFrame) -> str:
-    return f"{schema}, rest {rows.schema['rest'].dataType.simpleString()}"
+def _kept(raw: bytes) -> str:
+    return hashlib.sha256(b" ".join(raw.split())).hexdigest()
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """Documents with their recurring runs, stored; those without, and copies, already have their result."""
+    """doc_id, text, rest, text_hash, copy (an equal text has a smaller doc_id), anchors (recurring ones), hot.
+
+    Every step reads all columns of this frame, so that Spark makes it, and its shuffle of the texts, once.
+    """
     named = docs.filter("doc_id is not null")
-    recurring = _recurring(named.select("doc_id", "text"))
     ids = stored(named.select("doc_id", F.sha2("text", 256).alias("digest")), "phrase-ids")
     least = ids.groupBy("digest").agg(F.min("doc_id").alias("head"))
     copies = ids.join(least, "digest").filter("doc_id > head")
     copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
-    # Both are small and keyed by document, so that texts are shuffled once.
-    rows = docs.join(recurring.join(copies, "doc_id", "full"), "doc_id", "left")
-    copy = F.coalesce(F.array_contains("copied", F.sha2("text", 256)), F.lit(False))
-    rows = rows.select("doc_id", "text", "starts", copy.alias("copy"), "rest")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches):
-            _, _, first = words(data, offsets)
-            count = np.diff(first)
-            copied = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool) & (count >= WINDOW)
-            waits = batch.column("starts").is_valid().to_numpy(zero_copy_only=False) & ~copied
-            hashes = span_hashes(data, offsets[:-1], offsets[1:])
-            text = batch.column("text")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(hashes.view(np.int64)),
-                    pa.array(count),
-                    pa.array(np.where(copied, count, 0), mask=waits),
-                    _emptied(text, copied, waits),
-                    _masked(text, ~waits),
-                    _masked(batch.column("starts"), ~waits),
-                    batch.column("rest"),
-                ],
-                names=["doc_id", "text_hash", "n_words", "n_removed", "kept_text", "text", "starts", "rest"],
-            )
-
-    return rows.mapInArrow(finish, _with_rest(_READ, rows))
-
-
-def _emptied(text: pa.Array, empty: np.ndarray, out: np.ndarray) -> pa.Array:
-    """``text`` with empty strings where ``empty``, nulls where ``out`` is true."""
-    more = pa.concat_arrays([text, pa.array([""], text.type)])
-    return more.take(pa.array(np.where(empty, len(text), np.arange(len(text))), mask=out))
-
-
-def _masked(column: pa.Array, out: np.ndarray) -> pa.Array:
-    """``column`` with nulls where ``out`` is true."""
-    return column.take(pa.array(np.arange(len(column)), mask=out))
-
-
-_CONTEXT = "id_a bigint, id_b bigint, anchor bigint, base int, low bigint, high bigint, n int, run string"
+    copy = F.coalesce(F.array_contains("copied", F.sha2("text", 256)), F.lit(False)).alias("copy")
+    text_hash = F.xxhash64("text").alias("text_hash")
+    rows = docs.join(copies, "doc_id", "left").select("doc_id", "text", "rest", text_hash, copy)
+    # Both joins are by document, so that texts are shuffled once.
+    return rows.join(_recurring(rows), "doc_id", "left")
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]):
     """Recurring runs of a chunk: per run its text row, first window, number of windows, anchor, 128-bit id and
-    the place of its words."""
-    for batch, data, offsets in chunks(batches):
+    the place of its words. A hot run comes as its windows, each with its id as anchor."""
+    waiting = (batch.filter(pc.and_not(batch.column("anchors").is_valid(), batch.column("copy"))) for batch in batches)
+    for batch, data, offsets in chunks(waiting):
         starts, ends, hashes, first, run_first, count, text, anchor = window_runs(data, offsets)
-        lists = batch.column("starts")
-        wanted = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        place = np.repeat(first[:-1], np.diff(bounds)) + wanted
-        keep = np.flatnonzero(np.isin(run_first, place))
+        # Whether an anchor recurs or is hot is the same for all documents.
+        recurring, many = (batch.column(c).flatten().to_numpy().view(np.uint64) for c in ("anchors", "hot"))
+        keep = np.flatnonzero(np.isin(anchor, recurring))
         run_first, count, text, anchor = run_first[keep], count[keep], text[keep], anchor[keep]
+        hot = np.isin(anchor, many)
+        if hot.any():
+            times = np.where(hot, count, 1)
+            run_first = np.repeat(run_first, times) + runs(times)
+            count = np.repeat(np.where(hot, 1, count), times)
+            text, anchor, hot = (np.repeat(v, times) for v in (text, anchor, hot))
         size = count + WINDOW - 1
         word = np.repeat(run_first, size) + runs(size)
         mark = mixed(runs(size).astype(np.uint64) + np.uint64(77))
@@ -184,78 +156,79 @@ def _run_rows(batches: Iterator[pa.RecordBatch]):
             mixed(np.add.reduceat(mixed(hashes[word] ^ m), cut) + size.astype(np.uint64)) if len(cut) else anchor
             for m in (mark, mixed(mark))
         ]
-        yield batch, data, (starts, ends), first, run_first, count, text, anchor, ids
+        yield batch, data, (starts, ends), first, run_first, count, text, np.where(hot, ids[0], anchor), ids
 
 
-def _places(waiting: DataFrame) -> DataFrame:
+def _places(rows: DataFrame) -> DataFrame:
     """Where every recurring run lies: id_a, id_b, doc_id, text_hash, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _, first, run_first, _, text, _, ids in _run_rows(batches):
-            rows = pa.array(text)
+            place = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[0].view(np.int64)),
                     pa.array(ids[1].view(np.int64)),
-                    batch.column("doc_id").take(rows),
-                    batch.column("text_hash").take(rows),
+                    batch.column("doc_id").take(place),
+                    batch.column("text_hash").take(place),
                     pa.array((run_first - first[text]).astype(np.int32)),
                 ],
                 names=["id_a", "id_b", "doc_id", "text_hash", "start"],
             )
 
-    return waiting.mapInArrow(run, "id_a bigint, id_b bigint, doc_id bigint, text_hash bigint, start int")
+    return rows.mapInArrow(run, "id_a bigint, id_b bigint, doc_id bigint, text_hash bigint, start int")
 
 
-def _contexts(waiting: DataFrame) -> DataFrame:
-    """Every different run of a chunk once: its words joined by spaces, smallest and largest doc_id."""
+_CONTEXT = "id_a bigint, id_b bigint, anchor bigint, low bigint, high bigint, run string"
+
+
+def _combined(id_a, id_b, anchor, low, high, run: pa.Array) -> pa.RecordBatch:
+    """Equal runs as one row."""
+    order = np.lexsort((id_b, id_a))
+    a, b = id_a[order], id_b[order]
+    opens = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    pick = order[opens]
+    columns = [
+        pa.array(a[opens].view(np.int64)),
+        pa.array(b[opens].view(np.int64)),
+        pa.array(anchor[pick].view(np.int64)),
+        pa.array(np.minimum.reduceat(low[order], opens)),
+        pa.array(np.maximum.reduceat(high[order], opens)),
+        run.take(pa.array(pick)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["id_a", "id_b", "anchor", "low", "high", "run"])
+
+
+def _contexts(rows: DataFrame) -> DataFrame:
+    """Every different run of a stretch of text once: its words joined by spaces, smallest and largest doc_id."""
+
+    def joined(held: list[tuple]) -> pa.RecordBatch:
+        *numbers, texts = zip(*held)
+        return _combined(*map(np.concatenate, numbers), pa.concat_arrays(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch, data, (starts, ends), _, run_first, count, text, anchor, ids in _run_rows(batches):
             if not len(count):
                 continue
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[text].astype(np.int64)
-            order = np.lexsort((doc, ids[1], ids[0]))
+            order = np.lexsort((ids[1], ids[0]))
             a, b = ids[0][order], ids[1][order]
             opens = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            closes = np.append(opens[1:], len(a)) - 1
             pick = order[opens]
             raw = data.tobytes()
             begin, end = starts[run_first[pick]].tolist(), ends[run_first[pick] + count[pick] + WINDOW - 2].tolist()
-            phrases = [b" ".join(raw[x:y].split()).decode() for x, y in zip(begin, end)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(a[opens].view(np.int64)),
-                    pa.array(b[opens].view(np.int64)),
-                    pa.array(anchor[pick].view(np.int64)),
-                    pa.array(np.zeros(len(pick), np.int32)),
-                    pa.array(doc[order][opens]),
-                    pa.array(doc[order][closes]),
-                    pa.array(count[pick].astype(np.int32)),
-                    pa.array(phrases, pa.string()),
-                ],
-                names=["id_a", "id_b", "anchor", "base", "low", "high", "n", "run"],
-            )
+            phrases = pa.array([b" ".join(raw[x:y].split()).decode() for x, y in zip(begin, end)], pa.string())
+            low, high = np.minimum.reduceat(doc[order], opens), np.maximum.reduceat(doc[order], opens)
+            held.append((a[opens], b[opens], anchor[pick], low, high, phrases))
+            size += phrases.nbytes
+            if size >= STRETCH_BYTES:
+                yield joined(held)
+                held, size = [], 0
+        if held:
+            yield joined(held)
 
-    return waiting.mapInArrow(run, _CONTEXT)
-
-
-def _without_hot_anchors(contexts: DataFrame) -> DataFrame:
-    """Runs of an anchor with very many of them become single windows, grouped by their words."""
-    hot = contexts.groupBy("anchor").count().filter(F.col("count") > HOT_RUNS).select("anchor", F.lit(True).alias("hot"))
-    rows = contexts.join(hot, "anchor", "left")
-    tokens = F.split("run", " ")
-    windows = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda k: F.struct(k.alias("base"), F.array_join(F.slice(tokens, k + 1, WINDOW), " ").alias("run"), F.lit(1).alias("n")),
-    )
-    whole = F.array(F.struct("base", "run", "n"))
-    parts = F.explode(F.when(F.col("hot"), windows).otherwise(whole)).alias("part")
-    split = rows.select("id_a", "id_b", "anchor", "hot", "low", "high", parts)
-    group = F.when(F.col("hot"), F.xxhash64("part.run")).otherwise(F.col("anchor"))
-    return split.select(
-        "id_a", "id_b", group.alias("anchor"), "part.base", "low", "high", "part.n", F.col("part.run").alias("run")
-    )
+    return rows.mapInArrow(run, _CONTEXT)
 
 
 class _Shard:
@@ -270,15 +243,15 @@ class _Shard:
         self.runs: list[tuple] = []
 
     def add(self, group: list[tuple]) -> None:
-        """Take one anchor's runs: (id_a, id_b, base, low, high, words)."""
-        if len(group) == 1 and group[0][3] == group[0][4]:
+        """Take one anchor's runs: (id_a, id_b, low, high, words)."""
+        if len(group) == 1 and group[0][2] == group[0][3]:
             return
         number = self.numbers.setdefault
         seen: dict[tuple[int, ...], list[int]] = {}
         coded = []
-        for id_a, id_b, base, low, high, run in group:
+        for id_a, id_b, low, high, run in group:
             letters = tuple([number(w, len(self.numbers) + 1) for w in run.split(" ")])
-            coded.append((id_a, id_b, base, letters))
+            coded.append((id_a, id_b, letters))
             for k in range(len(letters) - WINDOW + 1):
                 window = letters[k : k + WINDOW]
                 ends = seen.get(window)
@@ -300,43 +273,64 @@ class _Shard:
             automaton.add_word(phrase, first)
         automaton.make_automaton()
         rows = []
-        for id_a, id_b, base, letters in self.runs:
+        for id_a, id_b, letters in self.runs:
             firsts = [None] * (len(letters) - WINDOW + 1)
             for end, first in automaton.iter(letters):
                 firsts[end - WINDOW + 1] = first
             if any(f is not None for f in firsts):
-                rows.append((id_a, id_b, base, firsts))
-        columns = list(zip(*rows)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                rows.append((id_a, id_b, firsts))
+        columns = list(zip(*rows)) or [()] * 3
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["id_a", "id_b", "base", "firsts"]
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["id_a", "id_b", "firsts"]
         )
 
 
 def _located(contexts: DataFrame) -> DataFrame:
-    """id_a, id_b, base, firsts: what the automata find in every run."""
+    """id_a, id_b, firsts: what the automata find in every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, group, current = _Shard(), {}, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "id_a", "id_b", "base", "low", "high", "run")]
-            for anchor, id_a, id_b, base, low, high, text in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("anchor", "id_a", "id_b", "low", "high", "run")]
+            for anchor, id_a, id_b, low, high, text in zip(*columns):
                 if anchor != current:
                     shard.add(list(group.values()))
                     group, current = {}, anchor
                     if len(shard.phrases) >= AUTOMATON_PHRASES:
                         yield shard.occurrences()
                         shard = _Shard()
-                known = group.get((id_a, id_b, base))
+                known = group.get((id_a, id_b))
                 if known:
-                    low, high = min(low, known[3]), max(high, known[4])
-                group[id_a, id_b, base] = (id_a, id_b, base, low, high, text)
+                    low, high = min(low, known[2]), max(high, known[3])
+                group[id_a, id_b] = (id_a, id_b, low, high, text)
         shard.add(list(group.values()))
         if shard.runs:
             yield shard.occurrences()
 
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "id_a bigint, id_b bigint, base int, firsts array<bigint>")
+    return dealt.mapInArrow(run, "id_a bigint, id_b bigint, firsts array<bigint>")
+
+
+def _covered(batch: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
+    """Which words of a chunk are covered by a window that an earlier document has."""
+    out = np.zeros(first[-1] + 1, np.int64)
+    hits = batch.column("hits")
+    found = hits.flatten()
+    if len(found):
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(hits), 0).to_numpy())
+        text, start = (found.field(name).to_numpy() for name in ("text_hash", "start"))
+        firsts = found.field("firsts")
+        count = pc.list_value_length(firsts).to_numpy()
+        # Hits are of documents with an id, and ids lie below this.
+        earliest = pc.fill_null(firsts.flatten(), np.iinfo(np.int64).max).to_numpy()
+        doc = pc.fill_null(batch.column("doc_id"), 0).to_numpy()[row]
+        own = text == batch.column("text_hash").to_numpy()[row]  # a doc_id may have several texts
+        gone = np.repeat(own, count) & (earliest < np.repeat(doc, count))
+        window = (np.repeat(first[row] + start, count) + runs(count))[gone]
+        np.add.at(out, window, 1)
+        np.add.at(out, window + WINDOW, -1)
+    return np.cumsum(out)[:-1] > 0
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -350,47 +344,36 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.struct(F.lit(None).cast("int").alias("none"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", rest.alias("rest"))
-    read = stored(_read(docs), "phrase-documents")
-    waiting = read.filter("starts is not null").select("doc_id", "text_hash", "text", "starts")
-    located = stored(_located(_without_hot_anchors(_contexts(waiting))), "phrase-occurrences")
-    hits = _places(waiting).join(located, ["id_a", "id_b"])
-    hits = hits.filter(F.array_min("firsts") < F.col("doc_id")).select(
-        "doc_id",
-        "text_hash",
-        F.struct((F.col("start") + F.col("base")).alias("start"), "firsts").alias("hit"),
-    )
-    hits = hits.groupBy("doc_id", "text_hash").agg(F.collect_list("hit").alias("hits"))
+    read = _read(docs)
+    hits = _places(read).join(_located(_contexts(read)), ["id_a", "id_b"])
+    hits = hits.filter(F.array_min("firsts") < F.col("doc_id"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "start", "firsts")).alias("hits"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, texts = [], []
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "hits")]
-            for doc_id, text, found in zip(*columns):
-                parts = text.encode().split()
-                out = np.zeros(len(parts) + 1, np.int64)
-                for hit in found or ():
-                    for k, first in enumerate(hit["firsts"], hit["start"]):
-                        if first is not None and first < doc_id:
-                            out[k] += 1
-                            out[k + WINDOW] -= 1
-                gone = np.cumsum(out)[:-1] > 0
-                removed.append(int(gone.sum()))
-                texts.append(b" ".join([w for w, g in zip(parts, gone) if not g]).decode() if gone.any() else text)
+        for batch, data, offsets in chunks(batches):
+            starts, ends, first = words(data, offsets)
+            count = np.diff(first)
+            gone = _covered(batch, first)
+            copied = batch.column("copy").to_numpy(zero_copy_only=False).astype(bool) & (count >= WINDOW)
+            gone |= np.repeat(copied, count)
+            removed = np.diff(np.append(0, np.cumsum(gone))[first])
+            changed, texts = np.flatnonzero(removed), []
+            for row in changed.tolist():
+                kept = np.flatnonzero(~gone[first[row] : first[row + 1]]) + first[row]
+                raw, base = data[offsets[row] : offsets[row + 1]].tobytes(), int(offsets[row])
+                spans = zip((starts[kept] - base).tolist(), (ends[kept] - base).tolist())
+                texts.append(b" ".join([raw[x:y] for x, y in spans]).decode())
+            text = batch.column("text")
+            source = np.arange(len(text))
+            source[changed] = len(text) + np.arange(len(changed))
+            kept_text = pa.concat_arrays([text, pa.array(texts, text.type)]).take(pa.array(source))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("doc_id", "n_words")),
-                    pa.array(removed, pa.int64()),
-                    pa.array(texts, pa.string()),
-                    batch.column("rest"),
-                ],
+                [batch.column("doc_id"), pa.array(count), pa.array(removed), kept_text, batch.column("rest")],
                 names=["doc_id", "n_words", "n_removed", "kept_text", "rest"],
             )
 
-    schema = _with_rest("doc_id bigint, n_words bigint, n_removed bigint, kept_text string", read)
-    left = read.filter("starts is not null").select("doc_id", "text_hash", "n_words", "text", "rest")
-    left = left.join(hits, ["doc_id", "text_hash"], "left").select("doc_id", "n_words", "text", "hits", "rest")
-    done = read.filter("starts is null").select("doc_id", "n_words", "n_removed", "kept_text", "rest")
-    return done.unionByName(left.mapInArrow(cut, schema))
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, rest "
+    return read.join(hits, "doc_id", "left").mapInArrow(cut, schema + read.schema["rest"].dataType.simpleString())
 
 
 def digests(rows: DataFrame) -> DataFrame:
