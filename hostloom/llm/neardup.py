@@ -5,11 +5,12 @@
 2. Documents that share a band are candidates. They are linked in three rounds, so that a group of thousands
    never spells out its pairs: twice every document with the leader (smallest document of a bucket) it shares most
    buckets with, among those not yet in its component; then the documents of all buckets that still hold
-   several components. Among these, pairs of different components are formed where they share a rare shingle and
+   several components. Among these, pairs of different components meet where they share a rare shingle and
    their sizes and the shingle's places allow the threshold; that loses no pair.
 3. A candidate pair's signatures are compared batch by batch. The pair is dropped once the posterior
-   probability of reaching the threshold, given the matches so far, is below the miss probability. Survivors are
-   verified on their full shingle sets.
+   probability of reaching the threshold, given the matches so far, is below the miss probability. In the last round
+   this begins in the meeting, on one byte of each of the first values, before a pair becomes a row, and a pair that
+   meets often is taken where samples of both ends say. Survivors are verified on their full sets.
 
 A pair at the threshold shares no band with probability (1 - 0.75**4)**40 < 3e-7.
 """
@@ -36,6 +37,9 @@ BATCH = 16
 MISS_PROBABILITY = 1e-6
 SKETCH = 1 << 16
 _SKETCH_SHIFT = np.uint64(48)
+# What travels with a rare shingle: a byte of each of the first signature values, and the smallest of the rare shingles.
+BYTES, SAMPLE = 48, 8
+_MEETING_ROWS, _MEETING_PAIRS = 1 << 14, 1 << 17
 
 _draw = np.random.default_rng(75)
 _FACTORS = _draw.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -245,7 +249,7 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def _prefix_rows(members: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """token, size, doc_id, component, rest for the rare end of every set.
+    """token, doc_id, component, n (size), rest, sketch, sample for the rare end of every set.
 
     Sets are put in one order, rare shingles first. Two sets that reach the threshold share a shingle among the first
     n - ceil(t n) + 1 of either; ``rest`` counts those from it on, which bounds what they can share.
@@ -264,13 +268,103 @@ def _prefix_rows(members: DataFrame, frequency: np.ndarray) -> DataFrame:
                 sizes.append(len(codes))
             counts = np.array([len(f) for f in firsts])
             row, n = np.repeat(np.arange(len(counts)), counts), np.repeat(np.array(sizes), counts)
-            same = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "component")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(firsts).view(np.int64)), *same, pa.array(n), pa.array(n - runs(counts))],
-                names=["token", "doc_id", "component", "n", "rest"],
-            )
-
-    return members.mapInArrow(run, "token bigint, doc_id bigint, component bigint, n bigint, rest bigint")
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+            sketch = pa.array([s.tobytes() for s in signature[:, :BYTES].astype(np.uint8)], pa.binary())
+            sample = [np.sort(f)[:SAMPLE].tobytes().ljust(8 * SAMPLE, b"\0") for f in firsts]
+            same = (batch.column("doc_id"), batch.column("component"), sketch, pa.array(sample, pa.binary()))
+            doc, component, sketch, sample = (c.take(pa.array(row)) for c in same)
+            token, rest = pa.array(np.concatenate(firsts).view(np.int64)), pa.array(n - runs(counts))
+            columns = [token, doc, component, pa.array(n), rest, sketch, sample]
+            names = ["token", "doc_id", "component", "n", "rest", "sketch", "sample"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "token bigint, doc_id bigint, component bigint, n bigint, rest bigint, sketch binary, sample binary"
+    return members.mapInArrow(run, schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int) -> Iterator[pa.Table]:
+    """The sorted rows again, about ``size`` at a time, no group of equal keys cut."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < size:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(rows, bool)
+        for key in keys:
+            column = table.column(key).to_numpy()
+            last &= column == column[-1]
+        end = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if end:
+            yield table.slice(0, end).combine_chunks()
+            held, rows = table.slice(end).to_batches(), rows - end
+        size = max(size, 2 * rows) if not end else max(_MEETING_ROWS, rows + 1)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _fixed(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+def _meetings(rows: pa.Table) -> Iterator[np.ndarray]:
+    """Pairs (a, b) that may reach the threshold, of rows sorted by (token, band).
+
+    A pair meets at every common shingle of its rare ends. Where the samples of both have common shingles, the smallest of
+    these is where the pair is taken; elsewhere any meeting takes it.
+    """
+    token, band, component = (rows.column(c).to_numpy() for c in ("token", "band", "component"))
+    new = np.append(True, (token[1:] != token[:-1]) | (band[1:] != band[:-1]))
+    group = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    several = np.minimum.reduceat(component, begin) < np.maximum.reduceat(component, begin)
+    rows = rows.filter(pa.array(several[group]))
+    group, component = group[several[group]], component[several[group]]
+    if not len(group):
+        return
+    # The largest component of a meeting comes first and looks for no one; all others look at those before them.
+    order = np.lexsort((component, group))
+    g, c = group[order], component[order]
+    part = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])))
+    size = np.diff(np.append(part, len(g)))
+    rank = np.lexsort((-size, g[part]))
+    largest = np.zeros(len(part), bool)
+    largest[rank[np.append(True, np.diff(g[part][rank]) != 0)]] = True
+    first = np.empty(len(g), bool)
+    first[order] = np.repeat(largest, size)
+    order = np.lexsort((~first, group))
+    rows, group, component, first = rows.take(pa.array(order)), group[order], component[order], first[order]
+    doc, n, rest = (rows.column(k).to_numpy() for k in ("doc_id", "n", "rest"))
+    guest = rows.column("guest").to_numpy(zero_copy_only=False).astype(bool)
+    sketch, sample = _fixed(rows.column("sketch"), np.uint8, BYTES), _fixed(rows.column("sample"), np.uint64, SAMPLE)
+    own, none = rows.column("token").to_numpy().view(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
+    begin = np.searchsorted(group, group)
+    before = np.where(first, 0, np.arange(len(group)) - begin)
+    total = np.cumsum(before)
+    start = 0
+    while start < len(before):
+        end = max(int(np.searchsorted(total, total[start] - before[start] + _MEETING_PAIRS, side="right")), start + 1)
+        x = np.repeat(np.arange(start, end), before[start:end])
+        y = begin[x] + runs(before[start:end])
+        start = end
+        good = (component[x] != component[y]) & ~(guest[x] & guest[y])
+        good &= (100 * n[x] >= PERCENT * n[y]) & (100 * n[y] >= PERCENT * n[x])
+        x, y = x[good], y[good]
+        matches = np.zeros(len(x), np.int64)
+        for upto, least in least_matches()[: BYTES // BATCH]:  # equal values have equal bytes
+            part = slice(upto - BATCH, upto)
+            matches += (sketch[x, part] == sketch[y, part]).sum(axis=1)
+            good = matches >= least
+            x, y, matches = x[good], y[good], matches[good]
+        common = (sample[x][:, :, None] == sample[y][:, None, :]).any(axis=2) & (sample[x] > 0)
+        place = np.where(common, sample[x], none).min(axis=1)
+        # What both can share from here on and, unless this is the first of their meetings, before.
+        shared = np.minimum(rest[x], rest[y]) + np.where(place < none, np.minimum(n[x] - rest[x], n[y] - rest[y]), 0)
+        good = ((place == none) | (place == own[x])) & ((100 + PERCENT) * shared >= PERCENT * (n[x] + n[y]))
+        x, y = x[good], y[good]
+        yield np.unique(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1), axis=0)
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
@@ -286,48 +380,12 @@ def _crossing(rows: DataFrame) -> DataFrame:
         for up in (0, 1)
     ]
     met = rows.withColumn("visit", F.explode(F.array(*visits)))
-    met = met.select("token", "visit.band", "visit.guest", "n", "doc_id", "component", "rest")
-
-    def pairs(group: list[tuple]) -> set[tuple[int, int]]:
-        guest, n, doc, component, rest = (np.array(v) for v in zip(*group))
-        values, inverse, counts = np.unique(component, return_inverse=True, return_counts=True)
-        out: set[tuple[int, int]] = set()
-        if len(values) == 1:
-            return out
-        others = np.flatnonzero(inverse != np.argmax(counts))  # members of the largest component look for no one
-        order = np.argsort(n, kind="stable")
-        sizes = n[order]
-        for x in others.tolist():
-            low = np.searchsorted(sizes, -(-PERCENT * n[x] // 100))
-            high = np.searchsorted(sizes, n[x] * 100 // PERCENT, side="right")
-            y = order[low:high]
-            least = PERCENT * (n[x] + n[y])  # shared >= t / (1 + t) (|x| + |y|)
-            good = (component[y] != component[x]) & ~(guest[x] & guest[y])
-            good &= ((100 + PERCENT) * rest[x] >= least) & ((100 + PERCENT) * rest[y] >= least)
-            out.update((min(int(doc[x]), z), max(int(doc[x]), z)) for z in doc[y[good]].tolist())
-        return out
+    met = met.select("token", "visit.band", "visit.guest", "n", "doc_id", "component", "rest", "sketch", "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, current, found = [], None, set()
-
-        def emitted() -> pa.RecordBatch:
-            rows = np.array(sorted(found), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("guest", "n", "doc_id", "component", "rest")]
-            for key, row in zip(zip(batch.column("token").to_pylist(), batch.column("band").to_pylist()), zip(*columns)):
-                if key != current:
-                    if len(group) > 1:
-                        found |= pairs(group)
-                    group, current = [], key
-                    if len(found) > 10_000:
-                        yield emitted()
-                        found = set()
-                group.append(row)
-        if len(group) > 1:
-            found |= pairs(group)
-        yield emitted()
+        for rows in _whole_groups(batches, ["token", "band"], _MEETING_ROWS):
+            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *_meetings(rows)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     dealt = met.repartition("token", "band").sortWithinPartitions("token", "band")
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -349,7 +407,8 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     known = stored(known.unionByName(verified(_best_leaders(apart), sets)), "neardup-links")
 
     left = _labelled(left.drop("component"), known).select("doc_id", "component").distinct()
-    rare = _prefix_rows(sets.join(left, "doc_id").select("doc_id", "component", "members"), _frequencies(sets))
+    apart = sets.join(left, "doc_id").select("doc_id", "component", "signature", "members")
+    rare = _prefix_rows(apart, _frequencies(sets))
     return known.unionByName(verified(_crossing(rare), sets))
 
 
