@@ -1,4 +1,4 @@
-"""Tree models with Spark MLlib: fit, cross-validate, compare, project.
+"""Tree models: fit, cross-validate, compare, project. Trees and forests are MLlib's, boosting is ``boosting``'s.
 
 Inputs are host-sized tables. They are written to the shared folder once (``session.stored``) before
 any model loop, so that no fit re-runs the feature plan. Independent fits run side by side; each writes its
@@ -12,23 +12,19 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostloom.operators import boosting
 from hostloom.operators.dataset import class_weights, with_weights
 from hostloom.operators.evaluation import macro_f1_of_counts, pair_counts
 from hostloom.schema import FEATURE_GROUPS, FEATURES
 from hostloom.session import stored
 
-MAX_DEPTH = 30  # MLlib's limit; stands for unlimited depth
+MAX_DEPTH = 30  # MLlib's limit; stands for unlimited depth of its kinds
 # The depth grid; None is unlimited.
 DEPTH_GRID = (1, 2, 4, 6, 8, 10, 12, 16, 20, 24, 32, None)
 KINDS = ("decision_tree", "random_forest", "boosted_trees")
@@ -36,7 +32,7 @@ KINDS = ("decision_tree", "random_forest", "boosted_trees")
 
 @dataclass(frozen=True)
 class Trees:
-    """Model settings. Boosting is one-vs-rest, as MLlib boosts binary models."""
+    """Model settings."""
 
     kind: str = "boosted_trees"
     depth: int | None = 6
@@ -44,16 +40,22 @@ class Trees:
     trees: int = 100
     weighted: bool = True
     seed: int = 0
-    parallelism: int = 5
 
     @property
-    def fitted_depth(self) -> int:
-        """Unlimited depth is the library's limit; a depth beyond it is an error."""
+    def is_boosted(self) -> bool:
+        return self.kind == "boosted_trees"
+
+    @property
+    def fitted_depth(self) -> int | None:
+        """Boosted trees have any depth. For the other kinds unlimited depth is MLlib's limit, and more is an error."""
+        if self.is_boosted:
+            return self.depth
         if self.depth is not None and self.depth > MAX_DEPTH:
             raise ValueError(f"depth {self.depth}: trees have at most {MAX_DEPTH} levels")
         return MAX_DEPTH if self.depth is None else self.depth
 
     def estimator(self):
+        """MLlib's estimator; boosted models come from ``boosted_nodes``."""
         depth = self.fitted_depth
         common = {"labelCol": "y", "featuresCol": "features", "maxDepth": depth, "seed": self.seed}
         weight = {"weightCol": "weight"} if self.weighted else {}
@@ -61,11 +63,6 @@ class Trees:
             return DecisionTreeClassifier(**common, **weight)
         if self.kind == "random_forest":
             return RandomForestClassifier(numTrees=self.trees, **common, **weight)
-        if self.kind == "boosted_trees":
-            binary = GBTClassifier(maxIter=self.iterations, **common)
-            return OneVsRest(
-                classifier=binary, labelCol="y", featuresCol="features", parallelism=self.parallelism, **weight
-            )
         raise ValueError(f"kind: {self.kind}")
 
 
@@ -97,8 +94,38 @@ def _side_by_side(runs: Sequence[Callable[[], DataFrame]]) -> DataFrame:
         return reduce(DataFrame.unionByName, pool.map(lambda run: stored(run(), "predictions"), runs))
 
 
+def _keys(rows: DataFrame) -> list[str]:
+    return ["ip", *(c for c in ("slice", "slice_no") if c in rows.columns)]
+
+
+def boosted_nodes(rows: DataFrame, settings: Trees, models: Column, depths: dict[str, int | None]) -> DataFrame:
+    """Node table of boosted models; rows without weights count alike."""
+    plain = rows if settings.weighted and "weight" in rows.columns else rows.withColumn("weight", F.lit(1.0))
+    return boosting.fit(plain, models, settings.iterations, depths, _keys(rows))
+
+
+def _boosted_folds(rows: DataFrame, settings: Trees, folds: Sequence[int], depths: Sequence[int | None]) -> DataFrame:
+    """depth (null: no limit), fold, part, keys, y_true, y_pred of every depth and fold: one fit, one scoring."""
+    every = [(d, f) for d in depths for f in folds]
+    names = {pair: f"{pair[0]}|{pair[1]}" for pair in every}
+    training = F.array_compact(F.array(*(F.when(F.col("fold") != f, F.lit(names[d, f])) for d, f in every)))
+    nodes = boosted_nodes(rows, settings, training, {names[pair]: pair[0] for pair in every})
+    kept = rows.select("*", F.col("fold").alias("own"), F.col("y").cast("bigint").alias("y_true"))
+    keys = _keys(rows)
+    scored = boosting.predict(kept, nodes, F.array(*map(F.lit, names.values())), [*keys, "own", "y_true"])
+    fold = F.substring_index("model", "|", -1).cast("int")
+    return scored.select(
+        F.expr("try_cast(substring_index(model, '|', 1) AS int)").alias("depth"),
+        fold.alias("fold"),
+        F.when(F.col("own") == fold, "test").otherwise("train").alias("part"),
+        *keys,
+        "y_true",
+        "y_pred",
+    )
+
+
 def _fold_run(rows: DataFrame, settings: Trees, fold: int, tags: dict) -> Callable[[], DataFrame]:
-    keys = [c for c in ("slice", "slice_no") if c in rows.columns]
+    keys = _keys(rows)
 
     def run() -> DataFrame:
         model = settings.estimator().fit(rows.filter(F.col("fold") != fold))
@@ -107,7 +134,6 @@ def _fold_run(rows: DataFrame, settings: Trees, fold: int, tags: dict) -> Callab
             *[F.lit(v).alias(k) for k, v in tags.items()],
             F.lit(fold).alias("fold"),
             part.alias("part"),
-            "ip",
             *keys,
             F.col("y").cast("bigint").alias("y_true"),
             "y_pred",
@@ -121,6 +147,9 @@ def cross_validate(rows: DataFrame, settings: Trees, folds: Sequence[int] = rang
 
     ``rows`` comes from ``assembled`` with ``weight`` and ``fold``; class weights are those of all rows.
     """
+    if settings.is_boosted:
+        scored = _boosted_folds(rows, settings, folds, [settings.depth]).drop("depth")
+        return stored(scored.select(*[F.lit(v).alias(k) for k, v in tags.items()], *scored.columns), "predictions")
     return _side_by_side([_fold_run(rows, settings, fold, tags) for fold in folds])
 
 
@@ -129,11 +158,19 @@ def depth_grid(
 ) -> DataFrame:
     """Mean macro-F1 on test and train parts per model kind and fitted depth, and their difference.
 
-    Depths beyond the library's limit, and unlimited depth, are one entry: that limit.
+    Boosted trees have every depth of the grid, and null for unlimited depth. For the other kinds depths beyond MLlib's
+    limit, and unlimited depth, are one entry: that limit.
     """
     fitted = sorted({MAX_DEPTH if d is None else min(d, MAX_DEPTH) for d in depths})
     runs = []
     for settings in base:
+        if settings.is_boosted:
+            runs.append(
+                lambda settings=settings: _boosted_folds(rows, settings, folds, depths).select(
+                    F.lit(settings.kind).alias("kind"), F.col("depth").alias("max_depth"), "fold", "part", "y_true", "y_pred"
+                )
+            )
+            continue
         for depth in fitted:
             tags = {"kind": settings.kind, "max_depth": depth}
             runs += [_fold_run(rows, replace(settings, depth=depth), fold, tags) for fold in folds]
@@ -165,11 +202,8 @@ def ablation(
 
 
 def feature_importances(model, spark, features: Sequence[str] = FEATURES, top: int = 10) -> DataFrame:
-    """The most important features; the mean over the sub-models of one-vs-rest."""
-    parts = model.models if hasattr(model, "models") else [model]
-    vectors = [p.featureImportances.toArray() for p in parts]
-    mean = sum(vectors) / len(vectors)
-    rows = [(name, float(value)) for name, value in zip(features, mean)]
+    """The most important features of a fitted tree or forest."""
+    rows = [(name, float(value)) for name, value in zip(features, model.featureImportances.toArray())]
     frame = spark.createDataFrame(rows, "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature").limit(top)
 
@@ -182,10 +216,30 @@ def static_vs_slice(
     Both frames are ``assembled`` and carry the columns ``held_out`` tests; output: (ip, slice, slice_no, y_true,
     pred_static, pred_slice).
     """
+    sides = (rows.withColumn("fold", F.when(held_out, 0).otherwise(1)) for rows in (static_rows, slice_rows))
+    return static_vs_slice_folds(*sides, settings, (0,)).drop("fold")
+
+
+def _boosted_both(static_rows, slice_rows, settings: Trees, folds: Sequence[int], refit: bool) -> DataFrame:
     weights = class_weights(static_rows, "y")
-    static_model = settings.estimator().fit(weighted(static_rows.filter(~held_out), weights))
-    slice_model = settings.estimator().fit(weighted(slice_rows.filter(~held_out), weights))
-    return score_both(static_model, slice_model, slice_rows.filter(held_out))
+    names = {f: str(f) for f in folds}
+    training = F.array_compact(F.array(*(F.when(F.col("fold") != f, F.lit(n)) for f, n in names.items())))
+    own = F.array(F.col("fold").cast("string"))
+    depths = dict.fromkeys(names.values(), settings.depth)
+    whole = own if refit else F.array(F.lit("whole"))
+    static_nodes = boosted_nodes(
+        weighted(static_rows, weights),
+        settings,
+        training if refit else whole,
+        depths if refit else {"whole": settings.depth},
+    )
+    slice_nodes = boosted_nodes(weighted(slice_rows, weights), settings, training, depths)
+    rows = stored(slice_rows.filter(F.col("fold").isin(*folds)).withColumn("y_true", F.col("y").cast("bigint")), "held-out")
+    keys = ["ip", "slice", "slice_no", "fold"]
+    by_static = boosting.predict(rows, static_nodes, whole, [*keys, "y_true"], "pred_static").drop("model")
+    by_slice = boosting.predict(rows, slice_nodes, own, keys, "pred_slice").drop("model")
+    both = by_static.join(by_slice, keys).select("ip", "slice", "slice_no", "y_true", "pred_static", "pred_slice", "fold")
+    return stored(both, "predictions")
 
 
 def score_both(static_model, slice_model, rows: DataFrame) -> DataFrame:
@@ -201,8 +255,11 @@ def static_vs_slice_folds(
     """``static_vs_slice`` once per fold, with the ``fold`` column.
 
     The whole-period model is fitted anew per fold. Pass a fitted ``static_model`` to score that one in
-    every fold instead; hosts held out of a fold may then have been among its training hosts.
+    every fold instead (for boosted trees True: one is fitted on all rows); hosts held out of a fold may then have been
+    among its training hosts.
     """
+    if settings.is_boosted:
+        return _boosted_both(static_rows, slice_rows, settings, folds, refit=static_model is None)
     weights = class_weights(static_rows, "y")
 
     def fold_run(fold: int) -> Callable[[], DataFrame]:
@@ -220,6 +277,13 @@ def static_vs_slice_folds(
 
 def fold_importances(rows: DataFrame, settings: Trees, folds: Sequence[int] = range(5), top: int = 10) -> DataFrame:
     """The most important features of the model of every fold: (fold, feature, importance)."""
+    if settings.is_boosted:
+        training = F.array_compact(F.array(*(F.when(F.col("fold") != f, F.lit(str(f))) for f in folds)))
+        nodes = boosted_nodes(rows, settings, training, {str(f): settings.depth for f in folds})
+        found = boosting.importances(nodes, FEATURES)
+        rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("importance"), "feature"))
+        best = found.withColumn("rank", rank).filter(F.col("rank") <= top)
+        return best.select(F.col("model").cast("int").alias("fold"), "feature", "importance")
 
     def fold_run(fold: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:

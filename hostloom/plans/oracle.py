@@ -485,6 +485,8 @@ QUERIES = {
     ),
     "ml_depth_grid": "SELECT kind, CAST(unnest([1, 2, 4, 6, 8, 10, 12, 16, 20, 24, 30]) AS BIGINT) AS max_depth, TRUE AS in_range, "
     "TRUE AS consistent FROM (SELECT unnest(['decision_tree', 'random_forest']) AS kind)",
+    "ml_depth_grid_boosted": "SELECT 'boosted_trees' AS kind, CAST(unnest([1, 2, 4, 6, 8, 10, 12, 16, 20, 24, 32, NULL]) AS BIGINT) "
+    "AS max_depth, TRUE AS in_range, TRUE AS consistent",
     "ml_feature_importance": "SELECT f AS fold, r AS rank, TRUE AS known, TRUE AS in_range FROM "
     "(SELECT DISTINCT fold AS f FROM folds), (SELECT unnest(range(1, 11)) AS r)",
     "ml_static_vs_slice": _BOTH_MODELS,
