@@ -3,12 +3,14 @@
 Byte-level BPE cuts a text into pre-tokens before merging, and a pre-token never spans a space followed by a
 visible character: the space opens the next pre-token, and a run of white space before it ends there. Nor does
 it span a letter followed by a punctuation mark. So texts may be cut at these places, and equal pieces get equal
-ids. A worker encodes a piece when it first meets it and keeps its ids; all else is array arithmetic. ``tests/llm`` compares this with plain encoding.
+ids. The string of a special token is a piece of its own, as the tokenizer takes it out before all else. A worker encodes a
+piece when it first meets it and keeps its ids; all else is array arithmetic. ``tests/llm`` compares this with plain encoding.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -56,7 +58,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        longest = sorted(added, key=len, reverse=True)
+        self.special = re.compile(b"|".join(re.escape(t.encode()) for t in longest)) if added else None
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._forget()
 
@@ -106,11 +110,27 @@ class Encoder:
             self.numbers = np.insert(self.numbers, place[added], numbers[added])
         return numbers
 
+    def _special_spans(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where strings of special tokens lie, each inside one text."""
+        spans: list[tuple[int, int]] = []
+        raw = data.tobytes()
+        found = self.special.search(raw) if self.special else None
+        while found:
+            start, end = found.span()
+            inside = np.searchsorted(offsets, start, side="right") == np.searchsorted(offsets, end - 1, side="right")
+            if inside:
+                spans.append((start, end))
+            found = self.special.search(raw, end if inside else start + 1)
+        return spans
+
     def _pieces(self, data: np.ndarray, offsets: np.ndarray):
         """Number of every piece, and each text's first piece."""
         cut = np.zeros(len(data) + 1, bool)
         cut[:-2] = (data[:-1] == 0x20) & ~_NO_CUT[data[1:]]
         cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+        for start, end in self._special_spans(data, offsets):
+            cut[start:end] = False
+            cut[[start, end]] = True
         cut[offsets] = True
         cut[-1] = False
         starts = np.flatnonzero(cut)

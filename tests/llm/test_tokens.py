@@ -20,20 +20,29 @@ from hostloom.llm.tokens import encoder
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     return lambda texts: [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 PARTS = [" ", "  ", "\n", "\r\n", "\t", "'s", "'", "a", "Bc", "é", "1", " ", "　", "\u0085", "!", "?!", "漢", "😀", "\x1c", "<|endoftext|>"]
 
 
+def test_special_strings_are_what_the_tokenizer_says():
+    texts = ["a <|endoftext|> b", "<|endof", "text|>", "x<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>", "a<|endoftext|"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    data, offsets = utf8(pa.array(texts))
+    ids, bounds = encoder(TOKENIZER).encode(data, offsets)
+    got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in got[0] and 50256 not in got[1] + got[2] + got[5]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=20))
 def test_pieces_encode_like_whole_texts(texts):
     tokenizer = encoder(TOKENIZER)
     data, offsets = utf8(pa.array(texts, pa.string()))
     ids, bounds = tokenizer.encode(data, offsets)
-    want = [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
     assert tokenizer.counts(data, offsets).tolist() == [len(w) for w in want]
 
