@@ -8,8 +8,9 @@ works on those; nothing about single predictions is ever gathered.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import exp
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostloom.functions.numbers import ratio
@@ -199,3 +200,37 @@ def accuracy_over_time(df: DataFrame, true: str, pred: str, above: int = 1) -> D
         F.avg("accuracy").alias("mean_accuracy"), F.stddev_samp("accuracy").alias("std_accuracy")
     )
     return spread.orderBy("slice_no")
+
+
+def _poisson(*parts) -> Column:
+    """A Poisson(1) number from the md5 of the parts: how many of the distribution's steps lie below a uniform one."""
+    uniform = F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    total, step, steps = 0.0, exp(-1), []
+    for k in range(1, 14):
+        total, step = total + step, step / k
+        steps.append((uniform >= total).cast("int"))
+    return sum(steps[1:], steps[0])
+
+
+def accuracy_band(
+    df: DataFrame, true: str, pred: str, above: int = 1, replicates: int = 1000, level: float = 0.95, seed: int = 0
+) -> DataFrame:
+    """Mean over folds of the accuracy in each slice, with the limits of a bootstrap interval: (slice_no, mean_accuracy,
+    low, high).
+
+    Each replicate weighs the folds by Poisson numbers hashed from (seed, slice, fold, replicate), so limits do not depend on
+    partitioning. Replicates that draw no fold are left out.
+    """
+    per_fold = _correct(df, true, pred, above).groupBy("slice_no", "fold").agg(F.avg("correct").alias("accuracy"))
+    mean = per_fold.groupBy("slice_no").agg(F.avg("accuracy").alias("mean_accuracy"))
+    drawn = per_fold.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("weight", _poisson(F.lit(seed), "slice_no", "fold", "replicate"))
+    means = drawn.groupBy("slice_no", "replicate").agg(
+        F.sum(F.col("weight") * F.col("accuracy")).alias("sum"), F.sum("weight").alias("weight")
+    )
+    means = means.filter("weight > 0").withColumn("mean", F.col("sum") / F.col("weight"))
+    tail = (1 - level) / 2
+    limits = means.groupBy("slice_no").agg(
+        F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high")
+    )
+    return mean.join(limits, "slice_no").orderBy("slice_no")

@@ -137,8 +137,10 @@ def lyu_features(sessions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return moments.join(counts, [*keys, "ip"])
 
 
-def host_features(sessions: DataFrame, keys: Sequence[str] = (), user_band: str = "as_written") -> DataFrame:
-    """The 94 features per (keys, ip)."""
+def host_features(
+    sessions: DataFrame, keys: Sequence[str] = (), user_band: str = "as_written", only: DataFrame | None = None
+) -> DataFrame:
+    """The 94 features per (keys, ip); ``only`` lists the (keys, ip) to compute, which drop out before the windows."""
     internal = internal_sessions(sessions)
     by = [*keys, "ip"]
     moments = (
@@ -146,7 +148,10 @@ def host_features(sessions: DataFrame, keys: Sequence[str] = (), user_band: str
         .groupBy(*by)
         .agg(*_moments(NODE_MEASURES), *_directed_moments(), *_port_deviations(user_band))
     )
-    counts = ports.gathered(ports.value_counts(internal, keys), keys)
+    counts = ports.value_counts(internal, keys)
+    if only is not None:
+        moments, counts = (table.join(only.select(*by), by, "left_semi") for table in (moments, counts))
+    counts = ports.gathered(counts, keys)
     coarse = ports.aggregate_counts(
         counts,
         keys,

@@ -276,3 +276,47 @@ def timeline_edges(sessions: DataFrame, start: int, stop: int, width: int) -> Da
     inside = sessions.filter((t >= start) & (t <= start + bins * width))
     index = F.least(F.floor((t - start) / width), F.lit(bins - 1))
     return inside.groupBy(index.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def bin_number(value: Column, edges: Sequence[int | float]) -> Column:
+    """How many of the sorted ``edges`` lie below ``value``: a binary search as nested conditions; null for null.
+
+    Bins are closed on the right: 0 is up to the first edge, ``len(edges)`` beyond the last.
+    """
+    if any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges must rise")
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= edges[middle], search(low, middle)).otherwise(search(middle + 1, high))
+
+    return F.when(value.isNotNull(), search(0, len(edges))).cast("bigint")
+
+
+def edge_hist(df: DataFrame, column: str, edges: Sequence[int | float], *by: str) -> DataFrame:
+    """Histogram over any rising edges: (by, bin, n), with bin 0 up to the first edge and ``len(edges)`` beyond the last.
+
+    Nulls are left out; bins without rows are not listed.
+    """
+    binned = df.select(*by, bin_number(F.col(column), edges).alias("bin")).filter("bin is not null")
+    return binned.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+
+
+def assign_intervals(sessions: DataFrame, intervals: DataFrame, cell: int | None = None) -> DataFrame:
+    """Sessions with every interval (interval, start_ms, end_ms] their start lies in; intervals may overlap, be uneven or leave
+    gaps.
+
+    Both sides meet by time cells: an interval is in all cells it touches, a session in one. ``cell`` is the width in
+    milliseconds, by default the median length of the intervals, which one row tells. An interval that ends where it starts
+    or earlier holds nothing.
+    """
+    known = intervals.filter("end_ms > start_ms").select("interval", "start_ms", "end_ms")
+    if cell is None:
+        cell = known.agg(F.percentile_approx(F.col("end_ms") - F.col("start_ms"), 0.5)).first()[0] or 1
+    first, last = (F.floor(c / cell).cast("bigint") for c in (F.col("start_ms") + 1, F.col("end_ms")))
+    touched = known.withColumn("cell", F.explode(F.sequence(first, last)))
+    placed = sessions.withColumn("cell", F.floor(F.col("first_packet") / cell).cast("bigint"))
+    inside = (F.col("first_packet") > F.col("start_ms")) & (F.col("first_packet") <= F.col("end_ms"))
+    return placed.join(touched, "cell").filter(inside).drop("cell")

@@ -7,11 +7,12 @@ count tables, range joins instead of slice arithmetic.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 
 from hostloom.plans import standin
-from hostloom.plans.queries import FOLDS, HOST, OFF_TIES, SLICES, SUBNET, TIMELINE_EDGES
+from hostloom.plans.queries import FOLDS, HOST, OFF_TIES, OVERLAP, SLICES, SUBNET, TIMELINE_EDGES, UNEVEN_EDGES
 from hostloom.schema import FEATURE_GROUPS, FEATURES, SERIES, SHARE_FEATURES, SPREAD_FEATURES
 
 HOUR = 3600000
@@ -359,6 +360,23 @@ _SESSION_COLUMNS = (
 _LO, _HI, _WIDTH = TIMELINE_EDGES
 _EDGE_BINS = len(range(_LO, _HI, _WIDTH)) - 1
 
+# Steps of the Poisson(1) distribution: sums of exp(-1) / k!.
+_STEPS = ", ".join(f"{sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}::DOUBLE" for k in range(13))
+_BAND = f"""
+SELECT slice_no, avg(a) AS mean_accuracy, any_value(low) AS low, any_value(high) AS high
+FROM (SELECT slice_no, fold, avg(hit) AS a FROM hits GROUP BY slice_no, fold) JOIN (
+    SELECT slice_no, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (
+        SELECT slice_no, replicate, sum(w * a) / sum(w) AS m FROM (
+            SELECT *, len(list_filter([{_STEPS}], lambda s: u >= s)) AS w FROM (
+                SELECT slice_no, a, replicate, CAST(concat('0x', substr(md5(concat_ws('|', 0, slice_no, fold, replicate)), 1, 8))
+                    AS BIGINT)::DOUBLE / 4294967296 AS u
+                FROM (SELECT slice_no, fold, avg(hit) AS a FROM hits GROUP BY slice_no, fold),
+                    (SELECT unnest(range(1000)) AS replicate)))
+        GROUP BY slice_no, replicate HAVING sum(w) > 0)
+    GROUP BY slice_no) USING (slice_no)
+GROUP BY slice_no
+"""
+
 QUERIES = {
     "session_scan": "SELECT * FROM sessions_raw",
     "slice_store_roundtrip": "SELECT * FROM s_node",
@@ -415,6 +433,11 @@ QUERIES = {
     f"WHERE source_ip = '{HOST}' GROUP BY 1",
     "host_timeline_edges": f"SELECT least((first_packet - {_LO}) // {_WIDTH}, {_EDGE_BINS - 1}) AS bin, count(*) AS n FROM sessions "
     f"WHERE destination_ip = '{HOST}' AND first_packet BETWEEN {_LO} AND {_LO + _EDGE_BINS * _WIDTH} GROUP BY 1",
+    "uneven_edge_hist": f"SELECT protocol, len(list_filter({list(UNEVEN_EDGES)}, lambda e: e < first_packet)) AS bin, count(*) AS n "
+    "FROM sessions WHERE first_packet IS NOT NULL GROUP BY 1, 2",
+    "interval_activity": "SELECT c.slice AS interval, s.source_ip AS ip, count(*) AS n FROM sessions s JOIN catalogue c "
+    f"ON s.first_packet > c.start_ms - {OVERLAP} AND s.first_packet <= c.end_ms + {OVERLAP} GROUP BY 1, 2",
+    "accuracy_band": _BAND,
     "feature_density": "SELECT feature, label, bin, n, (n / (sum(n) OVER (PARTITION BY feature, label) * 0.1::DOUBLE)) AS density "
     "FROM (SELECT feature, label, CAST(floor(log10(value) * 10 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, CAST({c} AS DOUBLE) AS value FROM compared" for c in FEATURES)
@@ -516,6 +539,7 @@ _FLOATS = {
     "score_table_csv": "^accuracy$",
     "accuracy_fold_matrix": "^preds",
     "accuracy_over_time": "_accuracy$",
+    "accuracy_band": "^(mean_accuracy|low|high)$",
 } | dict.fromkeys(
     (
         "slice_store_roundtrip ip_octets host_features labelled_features host_rows li_features li_features_intended "

@@ -33,6 +33,8 @@ SUBNET = "10.1.1."
 SLICES = tuple(f"d{d}_{k}" for d in (1, 2) for k in range(1, 11))
 # Edges of the one-host timeline.
 TIMELINE_EDGES = (1461418200000, 1461454200031, 600000)
+UNEVEN_EDGES = tuple(1461333600000 + 60_000 * k * k for k in range(40))
+OVERLAP = 900_000
 FOLDS = (0, 1, 2, 3, 4)
 OFF_TIES = 1.00000000321
 
@@ -353,6 +355,26 @@ def host_timeline_edges(spark, sf):
     return T.timeline_edges(log.filter(F.col("destination_ip") == HOST), *TIMELINE_EDGES)
 
 
+@_query
+def uneven_edge_hist(spark, sf):
+    """Session starts by protocol over edges that lie ever further apart."""
+    return T.edge_hist(standin.sessions(spark, sf), "first_packet", UNEVEN_EDGES, "protocol")
+
+
+@_query
+def interval_activity(spark, sf):
+    """Sessions per host in intervals that overlap: each slice with a quarter of an hour on both sides."""
+    log = standin.sessions(spark, sf)
+    catalogue = T.slice_catalogue(log, T.slice_layout(log))
+    intervals = catalogue.select(
+        F.col("slice").alias("interval"),
+        (F.col("start_ms") - OVERLAP).alias("start_ms"),
+        (F.col("end_ms") + OVERLAP).alias("end_ms"),
+    )
+    inside = T.assign_intervals(log, intervals)
+    return inside.groupBy("interval", F.col("source_ip").alias("ip")).agg(F.count("*").alias("n"))
+
+
 @_query
 def direction_hist(spark, sf):
     return T.direction_hist(standin.sessions(spark, sf), _layout(spark, sf))
@@ -361,8 +383,9 @@ def direction_hist(spark, sf):
 @_query
 def feature_density(spark, sf):
     layout = _layout(spark, sf)
-    features = X.host_features(_sliced(spark, sf, layout), ["slice"])
-    compared = D.class_comparison(features, _active_labels(spark, sf, layout), RED, GRAY)
+    labels = stored(_active_labels(spark, sf, layout).filter(F.col("label").isin(RED, GRAY)), "compared")
+    features = X.host_features(_sliced(spark, sf, layout), ["slice"], only=labels)
+    compared = D.class_comparison(features, labels, RED, GRAY)
     return rounded(D.feature_density(compared, list(FEATURES)))
 
 
@@ -584,6 +607,11 @@ def accuracy_over_time(spark, sf):
     return rounded(E.accuracy_over_time(standin.predictions(spark, sf), "y_true", "pred_a"))
 
 
+@_query
+def accuracy_band(spark, sf):
+    return rounded(E.accuracy_band(standin.predictions(spark, sf), "y_true", "pred_a"))
+
+
 @_query
 def confused_hosts(spark, sf):
     return E.confused_hosts(standin.predictions(spark, sf), "y_true", "pred_a", GRAY, RED)
