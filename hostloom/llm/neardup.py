@@ -249,7 +249,7 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def _prefix_rows(members: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """token, doc_id, component, n (size), rest, sketch, sample for the rare end of every set.
+    """token, doc_id, component, n (size), rest, sketch, sample, places (of the sample) for the rare end of every set.
 
     Sets are put in one order, rare shingles first. Two sets that reach the threshold share a shingle among the first
     n - ceil(t n) + 1 of either; ``rest`` counts those from it on, which bounds what they can share.
@@ -270,16 +270,19 @@ def _prefix_rows(members: DataFrame, frequency: np.ndarray) -> DataFrame:
             row, n = np.repeat(np.arange(len(counts)), counts), np.repeat(np.array(sizes), counts)
             signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
             sketch = pa.array([s.tobytes() for s in signature[:, :BYTES].astype(np.uint8)], pa.binary())
-            sample = [np.sort(f)[:SAMPLE].tobytes().ljust(8 * SAMPLE, b"\0") for f in firsts]
-            same = (batch.column("doc_id"), batch.column("component"), sketch, pa.array(sample, pa.binary()))
-            doc, component, sketch, sample = (c.take(pa.array(row)) for c in same)
+            least = [np.argsort(f)[:SAMPLE] for f in firsts]
+            sample = [f[at].tobytes().ljust(8 * SAMPLE, b"\0") for f, at in zip(firsts, least)]
+            places = [at.astype(np.uint32).tobytes().ljust(4 * SAMPLE, b"\0") for at in least]
+            same = (sketch, pa.array(sample, pa.binary()), pa.array(places, pa.binary()))
+            same = (batch.column("doc_id"), batch.column("component"), *same)
+            doc, component, *carried = (c.take(pa.array(row)) for c in same)
             token, rest = pa.array(np.concatenate(firsts).view(np.int64)), pa.array(n - runs(counts))
-            columns = [token, doc, component, pa.array(n), rest, sketch, sample]
-            names = ["token", "doc_id", "component", "n", "rest", "sketch", "sample"]
+            columns = [token, doc, component, pa.array(n), rest, *carried]
+            names = ["token", "doc_id", "component", "n", "rest", "sketch", "sample", "places"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "token bigint, doc_id bigint, component bigint, n bigint, rest bigint, sketch binary, sample binary"
-    return members.mapInArrow(run, schema)
+    schema = "token bigint, doc_id bigint, component bigint, n bigint, rest bigint"
+    return members.mapInArrow(run, f"{schema}, sketch binary, sample binary, places binary")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int) -> Iterator[pa.Table]:
@@ -312,8 +315,8 @@ def _fixed(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
 def _meetings(rows: pa.Table) -> Iterator[np.ndarray]:
     """Pairs (a, b) that may reach the threshold, of rows sorted by (token, band).
 
-    A pair meets at every common shingle of its rare ends. Where the samples of both have common shingles, the smallest of
-    these is where the pair is taken; elsewhere any meeting takes it.
+    A pair meets at every common shingle of its rare ends. Where the samples of both have common shingles whose places allow
+    the threshold, the smallest of these is where the pair is taken; elsewhere any meeting that allows it takes it.
     """
     token, band, component = (rows.column(c).to_numpy() for c in ("token", "band", "component"))
     new = np.append(True, (token[1:] != token[:-1]) | (band[1:] != band[:-1]))
@@ -339,6 +342,7 @@ def _meetings(rows: pa.Table) -> Iterator[np.ndarray]:
     doc, n, rest = (rows.column(k).to_numpy() for k in ("doc_id", "n", "rest"))
     guest = rows.column("guest").to_numpy(zero_copy_only=False).astype(bool)
     sketch, sample = _fixed(rows.column("sketch"), np.uint8, BYTES), _fixed(rows.column("sample"), np.uint64, SAMPLE)
+    places = _fixed(rows.column("places"), np.uint32, SAMPLE).astype(np.int64)
     own, none = rows.column("token").to_numpy().view(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
     begin = np.searchsorted(group, group)
     before = np.where(first, 0, np.arange(len(group)) - begin)
@@ -351,6 +355,8 @@ def _meetings(rows: pa.Table) -> Iterator[np.ndarray]:
         start = end
         good = (component[x] != component[y]) & ~(guest[x] & guest[y])
         good &= (100 * n[x] >= PERCENT * n[y]) & (100 * n[y] >= PERCENT * n[x])
+        # shared >= t / (1 + t) (|x| + |y|), and both share at most what lies from here on in either
+        good &= (100 + PERCENT) * np.minimum(rest[x], rest[y]) >= PERCENT * (n[x] + n[y])
         x, y = x[good], y[good]
         matches = np.zeros(len(x), np.int64)
         for upto, least in least_matches()[: BYTES // BATCH]:  # equal values have equal bytes
@@ -358,11 +364,11 @@ def _meetings(rows: pa.Table) -> Iterator[np.ndarray]:
             matches += (sketch[x, part] == sketch[y, part]).sum(axis=1)
             good = matches >= least
             x, y, matches = x[good], y[good], matches[good]
-        common = (sample[x][:, :, None] == sample[y][:, None, :]).any(axis=2) & (sample[x] > 0)
-        place = np.where(common, sample[x], none).min(axis=1)
-        # What both can share from here on and, unless this is the first of their meetings, before.
-        shared = np.minimum(rest[x], rest[y]) + np.where(place < none, np.minimum(n[x] - rest[x], n[y] - rest[y]), 0)
-        good = ((place == none) | (place == own[x])) & ((100 + PERCENT) * shared >= PERCENT * (n[x] + n[y]))
+        common = (sample[x][:, :, None] == sample[y][:, None, :]) & (sample[x] > 0)[:, :, None]
+        after = np.minimum((n[x, None] - places[x])[:, :, None], (n[y, None] - places[y])[:, None, :])
+        common &= (100 + PERCENT) * after >= (PERCENT * (n[x] + n[y]))[:, None, None]
+        taken = np.where(common.any(axis=2), sample[x], none).min(axis=1)
+        good = (taken == none) | (taken == own[x])
         x, y = x[good], y[good]
         yield np.unique(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1), axis=0)
 
@@ -380,7 +386,7 @@ def _crossing(rows: DataFrame) -> DataFrame:
         for up in (0, 1)
     ]
     met = rows.withColumn("visit", F.explode(F.array(*visits)))
-    met = met.select("token", "visit.band", "visit.guest", "n", "doc_id", "component", "rest", "sketch", "sample")
+    met = met.select("token", "visit.band", "visit.guest", "n", "doc_id", "component", "rest", "sketch", "sample", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, ["token", "band"], _MEETING_ROWS):
