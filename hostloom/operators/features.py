@@ -151,6 +151,14 @@ def host_features(
     counts = ports.value_counts(internal, keys)
     if only is not None:
         moments, counts = (table.join(only.select(*by), by, "left_semi") for table in (moments, counts))
+    return count_features(moments, counts, keys, user_band).select(*by, *FEATURES)
+
+
+def count_features(
+    moments: DataFrame, counts: DataFrame, keys: Sequence[str] = (), user_band: str = "as_written"
+) -> DataFrame:
+    """``moments`` (one row per (keys, ip)) with all features that follow from the counts of the same sessions."""
+    by = [*keys, "ip"]
     counts = ports.gathered(counts, keys)
     coarse = ports.aggregate_counts(
         counts,
@@ -161,8 +169,7 @@ def host_features(
     )
     fine = ports.port_distribution(ports.port_series(counts, keys), keys)
     # All three tables hold the same hosts: every session feeds each of them.
-    joined = moments.join(coarse, by, "left").join(fine, by, "left")
-    return joined.select(*by, *FEATURES)
+    return moments.join(coarse, by, "left").join(fine, by, "left")
 
 
 def select_group(features: DataFrame, group: str, keys: Sequence[str] = ()) -> DataFrame:

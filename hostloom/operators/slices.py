@@ -152,6 +152,12 @@ def assign_slices(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
     return inside.withColumn("slice", _slice_name(F.col("slice_no"), layout))
 
 
+def mark_slices(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
+    """As ``assign_slices``, but sessions outside all slices stay, with null in both columns."""
+    numbered = sessions.withColumn("slice_no", _slice_number(layout))
+    return numbered.withColumn("slice", _slice_name(F.col("slice_no"), layout))
+
+
 def _activity(sessions: DataFrame, layout: SliceLayout) -> DataFrame:
     """Counts per (ip, slice_no), with a null slice for sessions outside all slices."""
     ends = sessions.select(

@@ -274,6 +274,23 @@ CTES = {
     "s_ranked": _ranked("s_port_rows", "slice,"),
     "s_fine": _fine("s_ranked", "slice,", SHARE_FEATURES + SPREAD_FEATURES + _TOP5),
     "s_features": _all_features("slice,", "s_"),
+    "early_internal": "SELECT * FROM sliced_internal WHERE regexp_matches(slice, '_[1-4]$')",
+    "early_mirrored": _ends("early_internal"),
+    "day_internal": "SELECT *, CASE WHEN first_packet < 1461417000000 THEN 'd1' ELSE 'd2' END AS part FROM internal",
+    "day_mirrored": _ends("day_internal", "part,"),
+} | {
+    f"{prefix}_{name}": sql
+    for prefix, keys in (("early", ""), ("day", "part,"))
+    for name, sql in (
+        ("li", _li(f"{prefix}_mirrored", keys)),
+        ("node", _node(f"{prefix}_mirrored", keys)),
+        ("lyu", _lyu(f"{prefix}_internal", keys)),
+        ("port_rows", _port_rows(f"{prefix}_internal", keys)),
+        ("ranked", _ranked(f"{prefix}_port_rows", keys)),
+        ("fine", _fine(f"{prefix}_ranked", keys, SHARE_FEATURES + SPREAD_FEATURES + _TOP5)),
+        ("features", _all_features(keys, f"{prefix}_")),
+    )
+} | {
     "feature_hosts": "SELECT ip, red_vs_blue FROM roles WHERE ip IN (SELECT ip FROM mirrored)",
     "ordered": "SELECT *, row_number() OVER (PARTITION BY red_vs_blue ORDER BY md5(concat(ip, '|0')), ip) AS rk, "
     "count(*) OVER (PARTITION BY red_vs_blue) AS size FROM feature_hosts",
@@ -447,6 +464,10 @@ QUERIES = {
     "top5_ports": _fine("ranked", "", _TOP5),
     "port_distribution_features": "SELECT * FROM fine",
     "slice_features": "SELECT * FROM s_features",
+    "host_features_from_states": "SELECT * FROM features",
+    "slice_features_from_states": "SELECT * FROM s_features",
+    "early_features_from_states": "SELECT * FROM early_features",
+    "day_features_from_states": "SELECT * FROM day_features",
     "sessions_per_hour": "SELECT ip, (sessions / hours) AS sessions, (sessions_inc / hours) AS sessions_inc FROM lyu, "
     "(SELECT ((d1_end - d1_start) + (d2_end - d2_start)) / 3600000 AS hours FROM bounds)",
     "slice_catalogue": "SELECT * FROM catalogue",
@@ -544,7 +565,8 @@ _FLOATS = {
     (
         "slice_store_roundtrip ip_octets host_features labelled_features host_rows li_features li_features_intended "
         "li_features_minmax lyu_features pro_node_features pro_edge_features class_comparison port_quartile_shares "
-        "port_count_spread port_distribution_features slice_features"
+        "port_count_spread port_distribution_features slice_features "
+        "host_features_from_states slice_features_from_states early_features_from_states day_features_from_states"
     ).split()
     + [f"feature_group_{g}" for g in FEATURE_GROUPS]
     + ["feature_group_select"],

@@ -20,6 +20,7 @@ from hostloom.operators import ports as P
 from hostloom.operators import roles as R
 from hostloom.operators import sessions as S
 from hostloom.operators import slices as T
+from hostloom.operators import states as H
 from hostloom.plans import standin
 from hostloom.schema import FACILITY_NAMES, FEATURE_GROUPS, FEATURES, GRAY, RED, ROLE_NAMES
 from hostloom.session import new_table_path, stored
@@ -425,6 +426,46 @@ def slice_features(spark, sf):
     return rounded(X.host_features(_sliced(spark, sf), ["slice"]))
 
 
+_state_stores: dict[tuple[str, str], str] = {}
+
+
+def _states(spark: SparkSession, sf: str) -> H.HostStates:
+    """States of the two days, each loaded from its own sessions; kept for the application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _state_stores:
+        log, path = standin.sessions(spark, sf), new_table_path(spark, "host-states")
+        first_day = F.col("first_packet") < T.TWO_DAYS[1].starts_from
+        for period, part in zip(T.TWO_DAYS, (first_day, ~first_day)):
+            day = log.filter(part)
+            H.add_part(day, T.slice_layout(day, (period,)), path, period.name)
+        _state_stores[key] = path
+    return H.read_states(spark, _state_stores[key])
+
+
+@_query
+def host_features_from_states(spark, sf):
+    """Features of the whole period, rolled up from the stored days."""
+    return rounded(H.state_features(_states(spark, sf)))
+
+
+@_query
+def slice_features_from_states(spark, sf):
+    return rounded(H.state_features(_states(spark, sf), ["slice"]))
+
+
+@_query
+def early_features_from_states(spark, sf):
+    """Features over a set of slices: the first four of both days."""
+    early = [f"{p.name}_{k}" for p in T.TWO_DAYS for k in range(1, 5)]
+    return rounded(H.state_features(_states(spark, sf).filter(F.col("slice").isin(early))))
+
+
+@_query
+def day_features_from_states(spark, sf):
+    """Features per day, sessions outside the slices included."""
+    return rounded(H.state_features(_states(spark, sf), ["part"]))
+
+
 @_query
 def sessions_per_hour(spark, sf):
     log = standin.sessions(spark, sf)
