@@ -1,13 +1,14 @@
 """Quality by positive-unlabelled learning.
 
-Trusted positives are labelled training rows of good quality; the unlabelled side is web text without a label. A small
-network minimises the non-negative unbiased risk: with class prior p, the risk on positives counts p times, and the
+Trusted positives are labelled training rows of good quality; the unlabelled side is the corpus itself, its labels
+unseen, without the rows held out. A small network minimises the non-negative unbiased risk: with class prior p, the risk on positives counts p times, and the
 risk of the unlabelled as negatives less p times that of the positives as negatives may not fall below
 zero (where it does, the step is reversed). The prior is estimated from the top scores of a first fit: the
 share of unlabelled rows over the share of positives above a limit is smallest where only positives are left. Scores are
 posteriors: prior times the ratio of both sides' densities along the network's output, made increasing.
 
-Fitting uses bounded samples; all documents are scored in one pass without a shuffle.
+Texts are read once: their features, 34 numbers each, are written to the shared folder, and every later step reads
+these. Networks are fitted on bounded samples; the prior and the unlabelled side's density come from all documents.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.labelled import held_out, sampled, training_labels
+from hostloom.llm.labelled import held_out, training_labels
 from hostloom.llm.text import ASCII_LOWER, chunks, mixed, span_hashes, words
+from hostloom.session import stored
 
 MAX_POSITIVES = 8_000
 MAX_UNLABELLED = 16_000
@@ -148,12 +150,26 @@ class Network:
         return self
 
 
+def prior_limits(positive: np.ndarray) -> np.ndarray:
+    """Rising outputs above which both sides are counted."""
+    return np.unique(np.quantile(positive, np.linspace(0.02, 0.98, 97)))
+
+
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from outputs on rows not used to fit."""
-    limits = np.quantile(positive, np.linspace(0.02, 0.98, 97))
-    p = np.array([(positive >= c).mean() for c in limits])
-    u = np.array([(unlabelled >= c).mean() for c in limits])
-    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    return prior_from_counts(positive, binned(unlabelled, prior_limits(positive)))
+
+
+def binned(outputs: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many outputs lie below the first edge, between edges (from an edge on), and at or above the last."""
+    return np.bincount(np.searchsorted(edges, outputs, "right"), minlength=len(edges) + 1)
+
+
+def prior_from_counts(positive: np.ndarray, counts: np.ndarray) -> float:
+    """As ``estimated_prior``; ``counts`` are the unlabelled rows between ``prior_limits(positive)``."""
+    p = np.array([(positive >= c).mean() for c in prior_limits(positive)])
+    u = np.cumsum(counts[::-1])[::-1][1:] / counts.sum()
+    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(counts.sum()))
     best = np.argmin((u + error) / p)  # the smallest upper confidence limit
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
@@ -174,14 +190,25 @@ class Model:
         return np.interp(out, self.knots, self.values)
 
 
+def posterior_edges(positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, 41)))
+
+
 def posteriors(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Knots and values of an increasing posterior along the outputs."""
-    both = np.sort(np.concatenate([positive, unlabelled]))
-    edges = np.unique(np.quantile(both, np.linspace(0, 1, 41)))
+    edges = posterior_edges(positive, unlabelled)
+    return posteriors_from_counts(edges, positive, binned(unlabelled, edges[1:-1]), prior)
+
+
+def posteriors_from_counts(
+    edges: np.ndarray, positive: np.ndarray, counts: np.ndarray, prior: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """As ``posteriors``; ``counts`` are the unlabelled rows between the inner edges, what lies beyond the outer ones
+    included."""
     if len(edges) < 2:
         return edges[:1], np.array([prior])
-    p = np.histogram(positive, edges)[0] + 0.5
-    u = np.histogram(unlabelled, edges)[0] + 1.0
+    p = binned(positive, edges[1:-1]) + 0.5
+    u = counts + 1.0
     ratio = np.clip(prior * (p / p.sum()) / (u / u.sum()), 0, 1)
     # Pool adjacent violators, weighted by the unlabelled rows.
     blocks: list[list[float]] = []
@@ -194,63 +221,119 @@ def posteriors(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tu
     return (edges[:-1] + edges[1:]) / 2, values
 
 
-def fitted(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """The model from feature rows of both sides."""
-    if len(positive) < 4 or len(unlabelled) < 4:
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, 0.5, np.zeros(1), np.zeros(1))
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    # A first fit on one half with an even prior, whose outputs on the other half give the estimate.
-    first = Network(FEATURES).fit(p[::2], u[::2], 0.5)
-    prior = estimated_prior(first.outputs(p[1::2]), first.outputs(u[1::2]))
-    network = Network(FEATURES, 1).fit(p, u, prior)
-    return Model(mean, scale, network, prior, *posteriors(network.outputs(p), network.outputs(u), prior))
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and features (float bytes) of every row, written once and read from the shared folder.
 
-
-def _feature_rows(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded sample, on the driver."""
+    A null text counts as empty. Other columns do not matter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
             body = [row.tobytes() for row in features(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], names=["doc_id", "row"])
 
-    rows = rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, row binary").orderBy("doc_id", "row")
-    return np.array([np.frombuffer(r["row"], np.float32) for r in rows.collect()]).reshape(-1, FEATURES).astype(float)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return stored(rows.mapInArrow(run, "doc_id bigint, row binary"), "quality-features")
+
+
+def _matrix(rows: pa.Array | list[bytes]) -> np.ndarray:
+    rows = rows.to_pylist() if isinstance(rows, pa.Array) else rows
+    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, FEATURES).astype(float)
+
+
+def _place() -> Column:
+    """Place of a row between 0 and 1, by which samples and halves are taken."""
+    return F.pmod(F.xxhash64("doc_id", "row", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _drawn(rows: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features and places of about ``limit`` rows (all, if there are no more), and the place up to which they go.
+
+    Equal rows have one place and are drawn once, so the sample is bounded however often a row or a doc_id repeats.
+    """
+    count = rows.count()
+    share = min(limit / count, 1.0) if count else 1.0
+    picked = rows.withColumn("place", _place()).filter(F.col("place") < share).distinct().collect()
+    picked = sorted((r["place"], r["doc_id"] is None, r["doc_id"] or 0, bytes(r["row"])) for r in picked)
+    return _matrix([r[3] for r in picked]), np.array([r[0] for r in picked]), share
+
+
+def _counted(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, network: Network, edges: np.ndarray) -> np.ndarray:
+    """``binned`` outputs of all rows: counted per batch, added up by Spark."""
+    shared = rows.sparkSession.sparkContext.broadcast((mean, scale, network, edges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, scale, network, edges = shared.value
+        total = np.zeros(len(edges) + 1, np.int64)
+        for batch in batches:
+            total += binned(network.outputs((_matrix(batch.column("row")) - mean) / scale), edges)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["bin", "n"])
+
+    counts = rows.select("row").mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
+    result = np.zeros(len(edges) + 1, np.int64)
+    for r in counts.collect():
+        result[r["bin"]] = r["n"]
+    return result
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Learn from about ``positives`` trusted rows and ``unlabelled`` rows without a label.
+    """``fit_features`` of the documents' features."""
+    return fit_features(featured(docs), labels, positives, unlabelled)
 
-    ``labels`` has doc_id and quality. Labels of held-out rows are not looked at; such rows may be drawn as unlabelled
-    text only if they have no label at all.
+
+def fit_features(
+    table: DataFrame, labels: DataFrame, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED
+) -> Model:
+    """Learn from about ``positives`` trusted rows and about ``unlabelled`` rows of the corpus.
+
+    ``table`` is ``featured``; ``labels`` has doc_id and quality. Labels of held-out rows are not looked at and their texts
+    are not learned from. Any other row may be drawn as unlabelled, whether it has a label or not, so a corpus in which
+    every row is labelled is no special case. The two bounds hold for the rows the networks are fitted on. The prior is counted
+    over all rows the first network has not seen, the posterior's density over all rows. With fewer than four rows on
+    either side nothing is learned and every score is 0.5.
     """
-    trusted = sampled(training_labels(labels, "quality").filter("label = 1").select("doc_id"), positives)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    ids = rows.select("doc_id").filter("doc_id is not null").join(marked, "doc_id", "left_anti")
-    drawn = sampled(ids, unlabelled)
-    # Both samples are bounded, so they may be broadcast.
-    picked = trusted.withColumn("good", F.lit(True)).unionByName(drawn.distinct().withColumn("good", F.lit(False)))
-    sample = rows.join(F.broadcast(picked), "doc_id")
-    return fitted(_feature_rows(sample.filter("good")), _feature_rows(sample.filter("not good")))
+    trusted = training_labels(labels, "quality").filter("label = 1").select("doc_id")
+    corpus = table.filter(~held_out(F.col("doc_id")))
+    positive, _, _ = _drawn(corpus.join(trusted, "doc_id", "left_semi"), positives)
+    sample, places, share = _drawn(corpus, unlabelled)
+    if len(positive) < 4 or len(sample) < 4:
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), None, 0.5, np.zeros(1), np.zeros(1))
+    both = np.vstack([positive, sample])
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    p, u = (positive - mean) / scale, (sample - mean) / scale
+    # A first fit on one half with an even prior, whose outputs on all other rows give the estimate.
+    half = places < share / 2
+    if half.any() and not half.all():
+        first, unseen = Network(FEATURES).fit(p[::2], u[half], 0.5), corpus.filter(_place() >= share / 2)
+    else:
+        first, unseen = Network(FEATURES).fit(p[::2], u, 0.5), corpus
+    outputs = first.outputs(p[1::2])
+    prior = prior_from_counts(outputs, _counted(unseen, mean, scale, first, prior_limits(outputs)))
+    network = Network(FEATURES, 1).fit(p, u, prior)
+    outputs = network.outputs(p)
+    edges = posterior_edges(outputs, network.outputs(u))
+    counts = _counted(table, mean, scale, network, edges[1:-1])
+    return Model(mean, scale, network, prior, *posteriors_from_counts(edges, outputs, counts, prior))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (score >= 0.3).
+    """``scored_features`` of the documents' features. A null text counts as empty and is scored by its shape as any other."""
+    return scored_features(featured(docs), model)
+
 
-    A null text counts as empty and is scored by its shape as any other. Repeated rows are scored alike. With fewer
-    than four rows on either side nothing is learned and every score is 0.5. An empty table gives no row.
+def scored_features(table: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted (score >= 0.3), one row per row of ``table``.
+
+    Repeated rows are scored alike. An empty table gives no row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch, data, offsets in chunks(batches):
-            score = model.score(features(data, offsets).astype(float))
+        for batch in batches:
+            score = model.score(_matrix(batch.column("row")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
+    rows = table.select("doc_id", "row").mapInArrow(run, "doc_id bigint, score double")
     predicted = (F.col("score") >= THRESHOLD).cast("int")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))

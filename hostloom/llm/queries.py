@@ -93,8 +93,8 @@ def op5_repeated_phrases(spark, sf_dir):
 
 @_query
 def op6_quality(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return quality.scored(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    table = quality.featured(_table(spark, sf_dir, "documents"))
+    return quality.scored_features(table, quality.fit_features(table, _table(spark, sf_dir, "labels")))
 
 
 @_query

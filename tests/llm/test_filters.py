@@ -228,6 +228,34 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.fit(empty, labels).score(np.zeros((2, quality.FEATURES))).tolist() == [0.5, 0.5]
 
 
+def test_quality_where_every_row_has_a_label(spark):
+    """The corpus serves as unlabelled text with its labels unseen: no constant score."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = quality.scored(docs, quality.fit(docs, labels)).join(labels, "doc_id").collect()
+    assert len(rows) == docs.count() and len({r["score"] for r in rows}) > 5
+    # Scores order good before bad far better than chance.
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) > 0.9 * len(good) * len(bad)
+
+
+def test_quality_prior_and_density_count_every_row(spark):
+    """Counts of all rows by Spark equal those of numpy over the whole table, whatever the sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = quality.featured(docs.unionByName(docs))
+    x = quality._matrix([bytes(r["row"]) for r in table.collect()])
+    mean, scale, network = x.mean(axis=0), x.std(axis=0) + 1e-3, quality.Network(quality.FEATURES)
+    outputs = network.outputs((x - mean) / scale)
+    for edges in (np.quantile(outputs, [0.1, 0.5, 0.9]), np.zeros(0)):
+        want = [((outputs >= a) & (outputs < b)).sum() for a, b in zip([-np.inf, *edges], [*edges, np.inf])]
+        assert quality._counted(table, mean, scale, network, edges).tolist() == want
+    assert len(x) == 2 * docs.count()
+    # Copies of a row are drawn once.
+    drawn, places, share = quality._drawn(table, 10**9)
+    assert share == 1 and len(drawn) == docs.select("doc_id", "text").distinct().count() and (np.diff(places) >= 0).all()
+
+
 # --- sharding
 
 
