@@ -118,6 +118,11 @@ def ipv6_digits(ip: Column) -> Column:
     return F.regexp_replace(padded, "(?:^|:)[0-9a-f]{0,3}([0-9a-f]{4})(?=[:.]|$)", "$1")
 
 
+def is_ipv6_digits(digits: Column) -> Column:
+    """Whether ``ipv6_digits`` found an address."""
+    return digits.rlike(f"^{_V6_FORM}$")
+
+
 def is_public_v4(ip: Column) -> Column:
     return ip.rlike(_V4_GLOBAL)
 

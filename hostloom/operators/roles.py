@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.addresses import is_ipv4, is_public
 from hostloom.functions.labels import facility_code, is_blue, is_ghost, is_ignored, role_code
+from hostloom.functions.ranges import IpRanges, is_public_by
 
 TOTALS = ("source_bytes", "destination_bytes", "network_bytes")
 
@@ -48,8 +49,10 @@ def real_hosts(totals: DataFrame) -> DataFrame:
     return totals.filter(~(is_ghost() | is_ignored()))
 
 
-def public_ips(sessions: DataFrame) -> DataFrame:
-    return hosts(sessions).filter(is_public(F.col("ip")))
+def public_ips(sessions: DataFrame, ranges: IpRanges | None = None) -> DataFrame:
+    """Globally routable hosts, by the built-in test or by a range table."""
+    ip = F.col("ip")
+    return hosts(sessions).filter(is_public(ip) if ranges is None else is_public_by(ip, ranges))
 
 
 def ipv4_hosts(sessions: DataFrame) -> DataFrame:

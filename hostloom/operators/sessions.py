@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.functions.addresses import is_ipv6, is_public, is_public_v4
+from hostloom.functions.ranges import IpRanges, is_public_by
 
 
 def duration() -> Column:
@@ -21,10 +22,13 @@ def clean_sessions(sessions: DataFrame, provider: str = "arkime", dropped_protoc
     return sessions.filter(F.col("event_provider").contains(provider) & ~F.col("protocol").contains(dropped_protocol))
 
 
-def internal_sessions(sessions: DataFrame, public_ips: DataFrame | None = None) -> DataFrame:
+def internal_sessions(
+    sessions: DataFrame, public_ips: DataFrame | None = None, ranges: IpRanges | None = None
+) -> DataFrame:
     """Sessions between internal hosts whose source is not IPv6 (the destination may be).
 
-    By default the routability test itself is the filter, evaluated in the scan stage. Pass
+    By default the routability test itself is the filter, evaluated in the scan stage; ``ranges`` puts a range table in
+    place of the built-in one. Pass
     ``public_ips`` (column ``ip``) to deny exactly a given list instead. That list is not hinted:
     Spark broadcasts it if it is below its broadcast threshold and shuffles otherwise, where adaptive
     execution splits hot addresses.
@@ -32,6 +36,10 @@ def internal_sessions(sessions: DataFrame, public_ips: DataFrame | None = None)
     known = sessions.filter(
         F.col("source_ip").isNotNull() & F.col("destination_ip").isNotNull() & ~is_ipv6(F.col("source_ip"))
     )
+    if public_ips is not None and ranges is not None:
+        raise ValueError("either a list or ranges")
+    if ranges is not None:
+        return known.filter(~is_public_by(F.col("source_ip"), ranges) & ~is_public_by(F.col("destination_ip"), ranges))
     if public_ips is None:
         return known.filter(~is_public_v4(F.col("source_ip")) & ~is_public(F.col("destination_ip")))
     listed = public_ips.select(F.col("ip").alias("listed_ip")).filter(F.col("listed_ip").isNotNull()).distinct()

@@ -216,6 +216,12 @@ CTES = {
     "v4": f"SELECT ip, {_NUMBER} AS num FROM (SELECT ip FROM seen WHERE ip NOT LIKE '%:%')",
     # The stand-in has IPv6 addresses of fd00::/8 only, none of which is global.
     "pub": f"SELECT ip FROM v4 WHERE NOT ({_IN_RANGES})",
+    # The stand-in writes the last group of an IPv6 address with up to two digits in fd00::/120.
+    "changed_pub": f"SELECT ip FROM v4 WHERE CASE WHEN num BETWEEN {_number('10.1.0.160')} AND {_number('10.1.0.163')} THEN TRUE "
+    f"WHEN num BETWEEN {_number('10.1.0.128')} AND {_number('10.1.0.255')} THEN FALSE "
+    f"WHEN num BETWEEN {_number('10.1.0.0')} AND {_number('10.1.255.255')} THEN TRUE "
+    f"WHEN num BETWEEN {_number('8.8.1.0')} AND {_number('8.8.1.255')} THEN FALSE ELSE NOT ({_IN_RANGES}) END "
+    "UNION ALL SELECT ip FROM seen WHERE regexp_full_match(ip, 'fd00::[0-9a-f]{1,2}')",
     "label_v4": f"SELECT ip, {_NUMBER} AS num FROM (SELECT ip FROM host_labels WHERE ip NOT LIKE '%:%')",
     "inventory": f"SELECT * FROM host_labels WHERE ip IN (SELECT ip FROM label_v4 WHERE {_IN_RANGES})",
     "internal": "SELECT * FROM sessions WHERE source_ip NOT LIKE '%:%' AND source_ip NOT IN (SELECT ip FROM pub) "
@@ -478,6 +484,10 @@ QUERIES = {
     "hosts_missing_activity": "SELECT ip, NOT ur AS missing_ur, NOT ig AS missing_ig FROM ever WHERE NOT (ur AND ig)",
     "class_comparison": "SELECT s_node.*, label FROM s_node JOIN slabels USING (slice, ip) WHERE label IN (2, 4)",
     "public_ips": "SELECT ip FROM pub",
+    "public_ips_by_ranges": "SELECT ip FROM pub",
+    "public_ips_by_changed_ranges": "SELECT ip FROM changed_pub",
+    "internal_sessions_by_ranges": "SELECT * FROM sessions WHERE source_ip NOT LIKE '%:%' AND source_ip NOT IN "
+    "(SELECT ip FROM changed_pub) AND destination_ip NOT IN (SELECT ip FROM changed_pub)",
     "ipv4_hosts": "SELECT ip FROM v4",
     "labelled_hosts": "SELECT ip FROM v4 WHERE ip NOT IN (SELECT ip FROM pub)",
     "blue_team_flag": "SELECT ip, blue_team, blue_team IS DISTINCT FROM 'None' AS blue_team_bool FROM host_labels",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostloom.functions.labels import is_blue
+from hostloom.functions.ranges import standard_ranges
 from hostloom.operators import dataset as D
 from hostloom.operators import evaluation as E
 from hostloom.operators import features as X
@@ -36,6 +37,7 @@ SLICES = tuple(f"d{d}_{k}" for d in (1, 2) for k in range(1, 11))
 TIMELINE_EDGES = (1461418200000, 1461454200031, 600000)
 UNEVEN_EDGES = tuple(1461333600000 + 60_000 * k * k for k in range(40))
 OVERLAP = 900_000
+FURTHER_RANGES = (("10.1.0.0/16", True), ("10.1.0.128/25", False), ("10.1.0.160/30", True), ("8.8.1.0/24", False), ("fd00::/120", True))
 FOLDS = (0, 1, 2, 3, 4)
 OFF_TIES = 1.00000000321
 
@@ -515,6 +517,29 @@ def public_ips(spark, sf):
     return R.public_ips(standin.sessions(spark, sf))
 
 
+def _ranges(spark: SparkSession) -> str:
+    """Two versions of the range table on disk: the standard one, and one with further ranges inside those."""
+    path = new_table_path(spark, "ranges")
+    for version, rows in enumerate((standard_ranges(), standard_ranges() + list(FURTHER_RANGES)), 1):
+        writers.write_ranges(spark.createDataFrame(rows, "cidr string, is_global boolean"), path, version)
+    return path
+
+
+@_query
+def public_ips_by_ranges(spark, sf):
+    return R.public_ips(standin.sessions(spark, sf), readers.read_ranges(spark, _ranges(spark), 1))
+
+
+@_query
+def public_ips_by_changed_ranges(spark, sf):
+    return R.public_ips(standin.sessions(spark, sf), readers.read_ranges(spark, _ranges(spark)))
+
+
+@_query
+def internal_sessions_by_ranges(spark, sf):
+    return S.internal_sessions(standin.sessions(spark, sf), ranges=readers.read_ranges(spark, _ranges(spark)))
+
+
 @_query
 def ipv4_hosts(spark, sf):
     return R.ipv4_hosts(standin.sessions(spark, sf))

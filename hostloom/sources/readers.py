@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostloom.functions.ranges import MAX_RANGES, IpRanges, compiled
 from hostloom.schema import LABEL_SCHEMA, SESSION_CSV_NAMES, SESSION_SCHEMA
 
 
@@ -51,6 +52,29 @@ def read_host_labels(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns(typed | codes)
 
 
+def range_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the range table below ``path``, rising."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(root))
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def read_ranges(spark: SparkSession, path: str, version: int | None = None) -> IpRanges:
+    """A version (the last, if none is named) of a range table written by ``writers.write_ranges``.
+
+    A registry's size bounds the table; beyond ``MAX_RANGES`` rows reading is an error.
+    """
+    known = range_versions(spark, path)
+    if not known or version not in (None, *known):
+        raise ValueError(f"no version {version or ''} of the ranges in {path}")
+    folder = f"{path}/version={known[-1] if version is None else version}"
+    rows = spark.read.option("header", True).schema("cidr string, is_global boolean").csv(folder)
+    return compiled((r["cidr"], r["is_global"]) for r in rows.limit(MAX_RANGES + 1).collect())
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A stored intermediate table."""
     return spark.read.parquet(path)

@@ -26,6 +26,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def write_ranges(ranges: DataFrame, path: str, version: int) -> None:
+    """A version of a range table (cidr, is_global) as CSV: ``<path>/version=<n>``. A version is never overwritten."""
+    ranges.select("cidr", "is_global").write.option("header", True).csv(f"{path}/version={version}")
+
+
 def write_sessions_csv(df: DataFrame, path: str) -> None:
     """Sessions in the CSV layout the reader takes: dotted header names and float ports."""
     columns = []
