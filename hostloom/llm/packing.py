@@ -31,8 +31,14 @@ ISLANDS = 3
 POPULATION = 4
 EPOCHS = 2
 CHILDREN = 4
-# Bins at least this full stay; what lies in the others is pooled for the next round.
+# Islands are bred this many to a task, in no more than so many tasks: breeding costs time, not bytes, so their
+# number cannot be left to a limit on bytes.
+ISLANDS_PER_TASK = 8
+MAX_TASKS = 20_000
 WELL_FILLED = 0.99
+# Bins less full are pooled for the next round. Lengths that seldom fill a bin would leave most pieces in the pool;
+# then the next lower limit is taken, so that the emptiest bins are pooled at least.
+POOLED_BELOW = (WELL_FILLED, 0.9, 0.75, 0.5)
 
 _PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids binary"
 _STATE = "block bigint, island int, lengths array<int>, population array<array<int>>"
@@ -180,7 +186,7 @@ def _gathered():
     return F.sort_array(F.flatten(F.collect_list("population")))
 
 
-def _epoch(states: DataFrame, epoch: int, capacity: int) -> DataFrame:
+def _epoch(states: DataFrame, epoch: int, capacity: int, tasks: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block, island, lengths, population in frame.itertuples(index=False):
@@ -189,12 +195,12 @@ def _epoch(states: DataFrame, epoch: int, capacity: int) -> DataFrame:
                 yield pd.DataFrame(sent, columns=frame.columns)
 
     letters = states.mapInPandas(run, _STATE)  # own population, and the elite addressed to the next island
-    return letters.groupBy("block", "island").agg(
+    return letters.repartition(tasks, "block", "island").groupBy("block", "island").agg(
         F.first("lengths").alias("lengths"), _gathered().alias("population")
     )
 
 
-def _place(states: DataFrame, capacity: int) -> DataFrame:
+def _place(states: DataFrame, capacity: int, tasks: int) -> DataFrame:
     """The best packing of a block as (block, item, bin, offset, filled)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +216,7 @@ def _place(states: DataFrame, capacity: int) -> DataFrame:
                         place += lengths[item]
                 yield pd.DataFrame(rows, columns=["block", "item", "bin", "offset", "filled"])
 
-    gathered = states.groupBy("block").agg(
+    gathered = states.repartition(tasks, "block").groupBy("block").agg(
         F.first("lengths").alias("lengths"), _gathered().alias("packings")
     )
     return gathered.mapInPandas(run, _PLACES)
@@ -233,10 +239,11 @@ def _packed_blocks(items: DataFrame, count: int, level: int, capacity: int) -> D
             F.array().cast("array<array<int>>").alias("population"),
         )
     )
-    states = founded.repartition("block", "island")
+    tasks = min(-(-blocks * ISLANDS // ISLANDS_PER_TASK), MAX_TASKS)
+    states = founded.repartition(tasks, "block", "island")
     for epoch in range(EPOCHS):
-        states = _epoch(states, epoch, capacity)
-    return stored(numbered.join(_place(states, capacity), ["block", "item"]), f"pack-places-{level}")
+        states = _epoch(states, epoch, capacity, tasks)
+    return stored(numbered.join(_place(states, capacity, tasks), ["block", "item"]), f"pack-places-{level}")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -253,12 +260,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if count <= BLOCK_PIECES:
             done.append(places)
             break
-        keep = F.col("filled") >= WELL_FILLED * capacity
-        items = placed.filter(~keep).select("uid", "length")
-        left = items.count()
-        if not left or left > count // 2:  # nothing to pool, or lengths that do not pair up
+        # Pieces below each limit; the first limit that at least halves their number decides.
+        poor = placed.agg(*[F.count_if(F.col("filled") < share * capacity) for share in POOLED_BELOW]).first()
+        pooled = [(share, left) for share, left in zip(POOLED_BELOW, poor) if left <= count // 2]
+        if not pooled or not pooled[0][1]:  # nothing to pool
             done.append(places)
             break
+        share, left = pooled[0]
+        keep = F.col("filled") >= share * capacity
+        items = placed.filter(~keep).select("uid", "length")
         done.append(places.filter(keep))
         level, count = level + 1, left
     columns = ["uid", "sequence_id", "offset"]

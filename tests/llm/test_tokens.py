@@ -1,6 +1,7 @@
 """op1, op2, op8: encoding, token files, packing, length histogram."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -148,7 +149,6 @@ def test_packing_in_many_blocks(spark, monkeypatch):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 63), min_size=1, max_size=60), st.integers(0, 9))
 def test_crossover_keeps_every_item_once(lengths, seed):
-    import random
 
     lengths = sorted(lengths, reverse=True)
     first, second = (packing.as_bins(a) for a in packing.evolve(lengths, [], 64, seed)[:2])
@@ -157,6 +157,17 @@ def test_crossover_keeps_every_item_once(lengths, seed):
     assert all(sum(lengths[i] for i in held) <= 64 for held in child)
 
 
+def test_lengths_that_seldom_fill_a_bin_are_pooled_too(spark, monkeypatch):
+    """Three of 300 to 330 leave 3 % and more of a bin empty: only the last bins of the blocks can be pooled."""
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 64)
+    rng = random.Random(4)
+    lengths = [rng.randint(300, 330) for _ in range(1000)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "uid bigint, length bigint")).collect()
+    assert sorted(r["uid"] for r in rows) == list(range(1000))
+    # One part-filled bin in all, not one in each of 16 blocks.
+    assert len({r["sequence_id"] for r in rows}) == -(-1000 // 3)
+
+
 def test_packing_of_an_empty_table(empty):
     assert packing.packed(packing.pieces(empty, TOKENIZER)).count() == 0
 
