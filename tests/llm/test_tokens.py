@@ -149,7 +149,6 @@ def test_packing_in_many_blocks(spark, monkeypatch):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 63), min_size=1, max_size=60), st.integers(0, 9))
 def test_crossover_keeps_every_item_once(lengths, seed):
-
     lengths = sorted(lengths, reverse=True)
     first, second = (packing.as_bins(a) for a in packing.evolve(lengths, [], 64, seed)[:2])
     child = packing.cross(first, second, lengths, 64, random.Random(seed))
