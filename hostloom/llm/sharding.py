@@ -7,7 +7,7 @@ first to the lightest shard; rebalancing or adding shards edits the map, and onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS = 8192
@@ -94,6 +94,49 @@ def grown_map(current: DataFrame, slots: DataFrame, shards: int) -> DataFrame:
     )
 
 
+def map_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the slot map below ``path`` that were written to their end, rising."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    folders = [status.getPath() for status in files.listStatus(root)]
+    done = [f for f in folders if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+    return sorted(int(f.getName().removeprefix("version=")) for f in done)
+
+
+def save_map(slot_map: DataFrame, path: str) -> int:
+    """Keep a map as ``<path>/version=<n>``, where it outlives the run; its version.
+
+    A version that is there is an error, as records were placed by it; one whose writing broke off is written again. The
+    map has rows of one version; an empty one is an error.
+    """
+    versions = [r["version"] for r in slot_map.select("version").distinct().limit(2).collect()]
+    if len(versions) != 1:
+        raise ValueError("a slot map has one version")
+    if versions[0] in map_versions(slot_map.sparkSession, path):
+        raise ValueError(f"version {versions[0]} of the slot map is kept already")
+    slot_map.select("virtual_slot", "shard").write.mode("overwrite").parquet(f"{path}/version={versions[0]}")
+    return versions[0]
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """version, virtual_slot, shard of a kept map; the last version, if none is named."""
+    known = map_versions(spark, path)
+    if not known or version not in (None, *known):
+        raise ValueError(f"no version {version or ''} of a slot map in {path}")
+    version = known[-1] if version is None else version
+    rows = spark.read.parquet(f"{path}/version={version}")
+    return rows.select(F.lit(version).alias("version"), "virtual_slot", "shard")
+
+
+def moved_slots(before: DataFrame, after: DataFrame) -> DataFrame:
+    """virtual_slot, from_shard, to_shard of the slots that two versions of a map place differently: what to move."""
+    old = before.select("virtual_slot", F.col("shard").alias("from_shard"))
+    new = after.select("virtual_slot", F.col("shard").alias("to_shard"))
+    return old.join(new, "virtual_slot").filter("from_shard <> to_shard")
+
+
 def assigned(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Every record with its shard and its place there (``slot``), numbered from 0 without gaps.
 

@@ -292,6 +292,34 @@ def test_a_grown_map_moves_slots_into_the_new_shard_only(small):
     assert max(loads.values()) < 1.3 * sum(loads.values()) / 5 and second.first()["version"] == 2
 
 
+def test_kept_versions_of_a_map(spark, small, tmp_path):
+    path = str(tmp_path / "map")
+    with pytest.raises(ValueError):
+        sharding.read_map(spark, path)
+    rows = sharding.records(small)
+    slots = sharding.slot_bytes(rows)
+    assert sharding.save_map(sharding.first_map(slots, 4), path) == 1
+    first = sharding.read_map(spark, path)
+    assert sharding.save_map(sharding.grown_map(first, slots, 4), path) == 2
+    with pytest.raises(ValueError):
+        sharding.save_map(sharding.grown_map(first, slots, 4), path)
+    with pytest.raises(ValueError):
+        sharding.save_map(first.filter("false"), path)
+    (tmp_path / "map" / "version=3").mkdir()  # a writing that broke off
+    assert sharding.map_versions(spark, path) == [1, 2]
+    last = sharding.read_map(spark, path)
+    assert last.first()["version"] == 2 and sharding.read_map(spark, path, 1).first()["version"] == 1
+    with pytest.raises(ValueError):
+        sharding.read_map(spark, path, 3)
+    # The records that change their shard are those of the moved slots, and all go to the new shard.
+    moved = {r["virtual_slot"]: (r["from_shard"], r["to_shard"]) for r in sharding.moved_slots(first, last).collect()}
+    assert moved and all(a != 4 and b == 4 for a, b in moved.values())
+    before = {(r["doc_id"], r["virtual_slot"]): r["shard"] for r in sharding.assigned(rows, first).collect()}
+    for r in sharding.assigned(rows, last).collect():
+        old = before[r["doc_id"], r["virtual_slot"]]
+        assert r["shard"] == (4 if r["virtual_slot"] in moved else old)
+
+
 def test_virtual_slots_of_an_empty_table(empty):
     rows = sharding.records(empty)
     assert sharding.assigned(rows, sharding.first_map(sharding.slot_bytes(rows))).count() == 0
