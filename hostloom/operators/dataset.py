@@ -85,6 +85,56 @@ def class_comparison(slice_features: DataFrame, slice_labels: DataFrame, class_a
     return slice_features.join(chosen, ["slice", "ip"])
 
 
+def _logarithms(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """(label, feature, x): logarithms to nine decimals of the values that have a finite one."""
+    wide = df.select(label, *[F.col(c).cast("double").alias(c) for c in features])
+    long = wide.unpivot([label], list(features), "feature", "value")
+    return long.filter((F.col("value") > 0) & (F.col("value") < float("inf"))).select(
+        label, "feature", F.round(F.log10("value"), 9).alias("x")
+    )
+
+
+def automatic_bins(df: DataFrame, features: list[str], label: str = "label", accuracy: int = 10_000) -> DataFrame:
+    """One row per feature with a positive value: (feature, low, width, bins) over log10 of the values of all classes.
+
+    The width is the smaller one of two rules: twice the interquartile range over the cube root of the number of
+    values (not used where the range is 0), and the whole span over log2 of the number, plus 1; it is then narrowed so that whole
+    bins fill the span. Quartiles come from mergeable sketches: exact up to ``accuracy`` / 2 values a feature, beyond that
+    within a share of 1 / ``accuracy`` of the ranks. A feature with one value has one bin of width 1 around it.
+    """
+    spread = _logarithms(df, features, label).groupBy("feature").agg(
+        F.count("*").alias("n"),
+        F.min("x").alias("least"),
+        F.max("x").alias("most"),
+        F.percentile_approx("x", [0.25, 0.75], accuracy).alias("quartiles"),
+    )
+    span = F.col("most") - F.col("least")
+    by_count = span / (F.log2("n") + 1)
+    by_quartiles = 2 * (F.get("quartiles", F.lit(1)) - F.get("quartiles", F.lit(0))) / F.pow(F.col("n").cast("double"), F.lit(1 / 3))
+    width = F.when(by_quartiles > 0, F.least(by_quartiles, by_count)).otherwise(by_count)
+    # A billionth less, so that the last digit of a quotient does not add a bin.
+    bins = F.when(span > 0, F.ceil(span / width - 1e-9)).otherwise(F.lit(1)).cast("bigint")
+    low = F.when(span > 0, F.col("least")).otherwise(F.col("least") - 0.5)
+    return spread.select("feature", low.alias("low"), F.when(span > 0, span / bins).otherwise(F.lit(1.0)).alias("width"), bins.alias("bins"))
+
+
+def automatic_density(df: DataFrame, features: list[str], label: str = "label", accuracy: int = 10_000) -> DataFrame:
+    """``feature_density`` over the bins of ``automatic_bins``: (feature, label, bin, left, width, n, density).
+
+    Classes share a feature's bins and are normalised each by itself; ``left`` is the lower edge in log10. The last bin holds
+    its upper edge. ``df`` is read twice (bins and counts): store it first if it is costly to compute.
+    """
+    # At most one row per feature.
+    bins = F.broadcast(automatic_bins(df, features, label, accuracy))
+    placed = _logarithms(df, features, label).join(bins, "feature")
+    number = F.floor((F.col("x") - F.col("low")) / F.col("width") + 1e-9)
+    bin_ = F.least(number, F.col("bins") - 1).cast("bigint")
+    counts = placed.groupBy("feature", label, bin_.alias("bin"), "low", "width").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("feature", label))
+    left = F.col("low") + F.col("bin") * F.col("width")
+    return counts.select("feature", label, "bin", left.alias("left"), "width", "n", (F.col("n") / (total * F.col("width"))).alias("density"))
+
+
 def feature_density(
     df: DataFrame, features: list[str], label: str = "label", bins_per_decade: int = 10
 ) -> DataFrame:

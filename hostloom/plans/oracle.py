@@ -400,6 +400,20 @@ FROM (SELECT slice_no, fold, avg(hit) AS a FROM hits GROUP BY slice_no, fold) JO
 GROUP BY slice_no
 """
 
+_AUTO = (
+    "WITH logs AS (SELECT feature, label, round(log10(value), 9) AS x FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, CAST({c} AS DOUBLE) AS value FROM compared" for c in FEATURES)
+    + """) WHERE value > 0),
+rules AS (SELECT feature, min(x) AS lo, max(x) - min(x) AS span, (max(x) - min(x)) / (log2(count(*)) + 1) AS by_count,
+    2 * (quantile_disc(x, 0.75) - quantile_disc(x, 0.25)) / pow(count(*)::DOUBLE, 1::DOUBLE / 3) AS by_quartiles FROM logs GROUP BY feature),
+sized AS (SELECT *, CASE WHEN span = 0 THEN 1 WHEN by_quartiles > 0 THEN ceil(span / least(by_quartiles, by_count) - 1e-9)
+    ELSE ceil(span / by_count - 1e-9) END AS bins FROM rules),
+binned AS (SELECT feature, if(span = 0, lo - 0.5, lo) AS lo, if(span = 0, 1, span / bins) AS width, CAST(bins AS BIGINT) AS bins FROM sized),
+counted AS (SELECT feature, label, least(CAST(floor((x - lo) / width + 1e-9) AS BIGINT), bins - 1) AS bin, lo, width, count(*) AS n
+    FROM logs JOIN binned USING (feature) GROUP BY ALL)
+SELECT feature, label, bin, lo + bin * width AS left, width, n, n / (sum(n) OVER (PARTITION BY feature, label) * width) AS density FROM counted"""
+)
+
 QUERIES = {
     "session_scan": "SELECT * FROM sessions_raw",
     "slice_store_roundtrip": "SELECT * FROM s_node",
@@ -465,6 +479,7 @@ QUERIES = {
     "FROM (SELECT feature, label, CAST(floor(log10(value) * 10 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, CAST({c} AS DOUBLE) AS value FROM compared" for c in FEATURES)
     + ") WHERE value > 0 GROUP BY ALL)",
+    "feature_density_auto": _AUTO,
     "port_quartile_shares": _fine("ranked", "", SHARE_FEATURES),
     "port_count_spread": _fine("ranked", "", SPREAD_FEATURES),
     "top5_ports": _fine("ranked", "", _TOP5),
@@ -560,6 +575,7 @@ _FLOATS = {
     "sessions_per_hour": "^sessions",
     "accuracy_melt": "^value$",
     "feature_density": "^density$",
+    "feature_density_auto": "^(left|width|density)$",
     "class_weights": "^weight$",
     "sample_weights": "^weight$",
     "classification_report": "^(precision|recall|f1)$",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from hostloom.operators import dataset as D
 from hostloom.operators import evaluation as E
 from hostloom.operators import features as X
 from hostloom.operators import models as M
+from hostloom.operators import neighbours as N
 from hostloom.operators import ports as P
 from hostloom.operators import roles as R
 from hostloom.operators import sessions as S
@@ -383,13 +385,22 @@ def direction_hist(spark, sf):
     return T.direction_hist(standin.sessions(spark, sf), _layout(spark, sf))
 
 
-@_query
-def feature_density(spark, sf):
+def _compared_slices(spark: SparkSession, sf: str) -> DataFrame:
     layout = _layout(spark, sf)
     labels = stored(_active_labels(spark, sf, layout).filter(F.col("label").isin(RED, GRAY)), "compared")
     features = X.host_features(_sliced(spark, sf, layout), ["slice"], only=labels)
-    compared = D.class_comparison(features, labels, RED, GRAY)
-    return rounded(D.feature_density(compared, list(FEATURES)))
+    return D.class_comparison(features, labels, RED, GRAY)
+
+
+@_query
+def feature_density(spark, sf):
+    return rounded(D.feature_density(_compared_slices(spark, sf), list(FEATURES)))
+
+
+@_query
+def feature_density_auto(spark, sf):
+    compared = stored(_compared_slices(spark, sf), "compared-features")
+    return rounded(D.automatic_density(compared, list(FEATURES)))
 
 
 # --- port distributions
@@ -865,10 +876,33 @@ def ml_fold_reports(spark, sf):
     )
 
 
-@_query
-def ml_projection(spark, sf):
+def _compared_hosts(spark: SparkSession, sf: str) -> DataFrame:
     names = {code: ROLE_NAMES[code] for code in (2, 3, 4)}
     table = X.class_subset(_training_table(spark, sf), "red_vs_blue", names)
-    rows = M.assembled(table, "red_vs_blue")
+    return M.assembled(table, "red_vs_blue")
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    return N.neighbour_graph(rows.select("ip", vector_to_array("features").alias("vector")), "ip", "vector")
+
+
+@_query
+def ml_neighbour_graph(spark, sf):
+    """The 15 nearest hosts of every compared host under the cosine distance of their features."""
+    return _neighbours(_compared_hosts(spark, sf))
+
+
+@_query
+def ml_neighbour_projection(spark, sf):
+    """Two axes that keep near hosts near: laid out from the neighbour graph, beginning with the principal axes."""
+    rows = stored(_compared_hosts(spark, sf), "compared-hosts")
+    weights = N.neighbour_weights(stored(_neighbours(rows), "neighbours"), "ip")
+    places = N.neighbour_layout(M.projection(rows, "ip"), weights, "ip")
+    return rows.select("ip", "class_name").join(places, "ip")
+
+
+@_query
+def ml_projection(spark, sf):
+    rows = _compared_hosts(spark, sf)
     axes = [F.abs(F.col(c)) <= 1.000001 for c in ("x", "y")]  # of vectors of unit length
     return M.projection(rows, "ip", "class_name").select("ip", "class_name", (axes[0] & axes[1]).alias("in_range"))

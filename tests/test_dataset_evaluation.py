@@ -144,3 +144,33 @@ def test_confusion_has_a_row_per_class_and_refuses_others(spark):
     assert sum(rows[0][f"pred_{c}"] for c in range(6)) == 0
     with pytest.raises(Exception, match="class outside the matrix"):
         E.confusion_matrix(df, "y", "p").collect()
+
+
+def test_automatic_bins_follow_the_spread(spark):
+    rng = random.Random(5)
+    wide = [10 ** rng.gauss(0, 2) for _ in range(700)]
+    narrow = [10 ** rng.gauss(3, 0.01) for _ in range(300)]
+    rows = [(i % 3, w, narrow[i] if i < 300 else None, 7.0 if i < 2 else 0.0, -1.0) for i, w in enumerate(wide)]
+    rows += [(1, math.inf, math.nan, None, 0.0), (None, 1.0, None, None, None)]
+    df = spark.createDataFrame(rows, "label int, wide double, narrow double, single double, none double")
+    names = ["wide", "narrow", "single", "none"]
+    logs = {n: sorted(round(math.log10(v), 9) for v in map(lambda r: r[i], rows) if v and 0 < v < math.inf) for i, n in enumerate(names, 1)}
+    bins = {r["feature"]: r for r in D.automatic_bins(df, names).collect()}
+    assert set(bins) == {"wide", "narrow", "single"}
+    assert (bins["single"]["low"], bins["single"]["width"], bins["single"]["bins"]) == (logs["single"][0] - 0.5, 1.0, 1)
+    for name in ("wide", "narrow"):
+        x = logs[name]
+        quartiles = [x[math.ceil(len(x) * q) - 1] for q in (0.25, 0.75)]
+        width = min(2 * (quartiles[1] - quartiles[0]) / len(x) ** (1 / 3), (x[-1] - x[0]) / (math.log2(len(x)) + 1))
+        assert bins[name]["bins"] == math.ceil((x[-1] - x[0]) / width - 1e-9)
+        assert bins[name]["width"] == pytest.approx((x[-1] - x[0]) / bins[name]["bins"])
+    assert bins["wide"]["width"] > 50 * bins["narrow"]["width"]
+    mass = defaultdict(float)
+    seen = Counter()
+    for r in D.automatic_density(df, names).collect():
+        mass[r["feature"], r["label"]] += r["density"] * r["width"]
+        seen[r["feature"]] += r["n"]
+        assert 0 <= r["bin"] < bins[r["feature"]]["bins"]
+    assert all(m == pytest.approx(1) for m in mass.values())
+    assert seen == {n: len(x) for n, x in logs.items() if x}
+    assert D.automatic_density(df.filter("false"), names).collect() == []
