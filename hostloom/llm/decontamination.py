@@ -4,8 +4,8 @@ A stretch of w characters with at most e edits shares at least w + 1 - q (e + 1)
 diagonals (text position minus item position) that differ by at most e. So q-gram hits are counted in overlapping bands
 of diagonals; regions in which w characters hold that many hits are kept, and verified by banded alignment.
 
-Texts and items are compared as UTF-8 bytes, with A-Z and the capitals of Latin-1 in lower case and all ASCII white
-space as a space.
+Texts and items are compared by code points, with A-Z and the capitals of Latin-1 in lower case and all ASCII white
+space as a space. An item shorter than a q-gram has none; it counts where it is a document's whole text.
 The benchmark is read in blocks of bounded size; a block's index is broadcast and all documents are scanned
 against it, without a shuffle.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm.text import ASCII_LOWER, SEPARATOR, chunks, mixed, runs
+from hostloom.llm.winnowing import code_points
 
 GRAM = 10
 REGION = 80
@@ -27,22 +28,35 @@ EDIT_RATE = 1 / 16  # five edits in a region of 80
 BAND = 8
 INDEX_BYTES = 2 << 20
 
-_NORMAL = np.where(SEPARATOR, 0x20, ASCII_LOWER).astype(np.uint8)
+_NORMAL = np.where(SEPARATOR, 0x20, ASCII_LOWER).astype(np.uint32)
+_NORMAL[0xC0:0xDF] += 0x20
+_NORMAL[0xD7] = 0xD7
 _FILTER_BITS = 22
 _SCAN_BYTES = 1 << 20
 
 
-def normal(data: np.ndarray) -> np.ndarray:
-    """The bytes as they are compared; no byte is added or taken away."""
-    out = _NORMAL[data]
-    accented = np.flatnonzero(out[:-1] == 0xC3) + 1  # Latin-1 letters: the second byte of a capital is 0x80-0x9E
-    second = out[accented]
-    out[accented[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 0x20
-    return out
+def decoded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the offset of each text in them."""
+    lead = (data & 0xC0) != 0x80
+    starts = np.flatnonzero(lead)
+    if len(starts) == len(data):
+        return data.astype(np.uint32), offsets
+    first = data[starts].astype(np.uint32)
+    more = (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
+    points = np.where(more > 0, first & (np.uint32(0x3F) >> more.astype(np.uint32)), first)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(more >= k)
+        points[longer] = (points[longer] << np.uint32(6)) | (data[starts[longer] + k] & np.uint8(0x3F))
+    return points, np.concatenate(([0], np.cumsum(lead)))[offsets]
+
+
+def normal(points: np.ndarray) -> np.ndarray:
+    """The code points as they are compared; none is added or taken away."""
+    return np.where(points < 256, _NORMAL[np.minimum(points, 255)], points)
 
 
 def gram_codes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of every run of ``gram`` bytes."""
+    """Hash of every run of ``gram`` code points."""
     base = np.array([0x9E3779B97F4A7C15], np.uint64)
     total, size = None, 0
     power, length, factor, step = data.astype(np.uint64) + np.uint64(1), 1, base, gram
@@ -65,8 +79,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, region: int = REGION, rate: float = EDIT_RATE):
         self.gram = gram
-        texts = [normal(np.frombuffer(text.encode(), np.uint8)) for _, text in items]
+        texts = [normal(code_points(text)) for _, text in items]
         self.ids = np.array([i for i, _ in items], np.int64)
+        self.whole: dict[bytes, list[int]] = {}  # short items, by their text
+        for number, text in enumerate(texts):
+            if 0 < len(text) < gram:
+                self.whole.setdefault(text.tobytes(), []).append(number)
         self.texts = texts
         lengths = np.array([len(t) for t in texts], np.int64)
         self.region = np.minimum(lengths, region)
@@ -144,9 +162,9 @@ def regions(data: np.ndarray, offsets: np.ndarray, index: Index):
 def aligned(text: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> np.ndarray | None:
     """Edits at every item position on a best path, with text ends free, between the band's diagonals.
 
-    Row r of the table is item position r; column c is text position r + diagonal + c. Item bytes beyond the text's ends
-    count as edits. Returns per item byte the number of edits spent on it and the path's text position before each item
-    byte (one more than the item has), or None if no path lies in the band.
+    Row r of the table is item position r; column c is text position r + diagonal + c. Item letters beyond the text's
+    ends count as edits. Returns per item letter the number of edits spent on it and the path's text position before each
+    item letter (one more than the item has), or None if no path lies in the band.
     """
     far = 1 << 20
     rows, columns = len(item), width
@@ -161,9 +179,9 @@ def aligned(text: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> np
         before = np.clip(at - 1, 0, max(len(text) - 1, 0))
         miss = text[before] != item[r - 1] if len(text) else np.ones(columns, bool)
         step = cost[r - 1] + np.where((at >= 1) & (at <= len(text)), miss, far)
-        skip = np.append(cost[r - 1][1:] + 1, far)  # an item byte without a text byte
+        skip = np.append(cost[r - 1][1:] + 1, far)  # an item letter without a text letter
         best = np.minimum(np.minimum(step, skip), far)
-        # Text bytes without an item byte, left to right.
+        # Text letters without an item letter, left to right.
         best = np.minimum.accumulate(best - ramp) + ramp
         cost[r] = np.where(ok, np.minimum(best, far), far)
     spent, at = np.zeros(rows, np.int64), np.zeros(rows + 1, np.int64)
@@ -192,7 +210,7 @@ def aligned(text: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> np
 
 
 def distances(text: np.ndarray, item: np.ndarray, diagonal: int, width: int, size: int) -> np.ndarray:
-    """Edits of every window of ``size`` item bytes at its best place in the text, between the band's diagonals."""
+    """Edits of every window of ``size`` item letters at its best place in the text, between the band's diagonals."""
     far = 1 << 20
     starts, ramp = np.arange(len(item) - size + 1)[:, None], np.arange(width)
     at = starts + diagonal + ramp
@@ -254,6 +272,11 @@ def leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int
         found = verified(data, int(offsets[text]), int(offsets[text + 1]), low, high, diagonal, index, k)
         if found and (not known or found[1] - found[0] > known[1] - known[0]):
             best[text, k] = found
+    if index.whole:
+        for text in np.flatnonzero(np.diff(offsets) < index.gram):
+            start, end = int(offsets[text]), int(offsets[text + 1])
+            for k in index.whole.get(data[start:end].tobytes(), ()):
+                best[int(text), k] = (start, end, 0, end - start, 0)
     return [(text, k, *found) for (text, k), found in sorted(best.items())]
 
 
@@ -263,7 +286,7 @@ _NAMES = [part.split()[0] for part in _LEAKS.split(", ")]
 
 def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items, block by block; a block holds about ``size`` bytes and is all that is collected."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.octet_length("text") >= GRAM)
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.octet_length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // size)
     for block in range(count):
@@ -274,10 +297,11 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document and benchmark item it holds a stretch of.
 
-    A stretch is a region of 80 bytes of the item (the whole item, if shorter) with at most one edit per 16 bytes;
-    start and length are in code points of the text, item_start and item_length in bytes of the item. ``docs``
-    has doc_id and text, ``benchmark`` item_id and text. Null and empty texts hold nothing; items that are null or
-    shorter than a q-gram are not searched. Repeated rows give repeated rows. Empty tables give no row.
+    A stretch is a region of 80 code points of the item (the whole item, if shorter) with at most one edit per 16;
+    start and length are in code points of the text, item_start and item_length in those of the item. ``docs``
+    has doc_id and text, ``benchmark`` item_id and text. Null and empty texts hold nothing and null and empty items are
+    in none; an item shorter than a q-gram is held by a text that equals it. Repeated rows give repeated rows. Empty
+    tables give no row.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -288,14 +312,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = INDEX
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch, data, offsets in chunks(batches, size=_SCAN_BYTES):
-                out = leaks(normal(data), offsets, index)
+                points, offsets = decoded(data, offsets)
+                out = leaks(normal(points), offsets, index)
                 if not out:
                     continue
                 text, item, low, high, item_low, item_high, edits = (np.array(v, np.int64) for v in zip(*out))
-                opens = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
                 columns = [
                     batch.column("doc_id").take(pa.array(text)),
-                    *(pa.array(v) for v in (index.ids[item], opens[low] - opens[offsets[text]], opens[high] - opens[low])),
+                    *(pa.array(v) for v in (index.ids[item], low - offsets[text], high - low)),
                     *(pa.array(v) for v in (item_low, item_high - item_low, edits)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
@@ -313,7 +337,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = INDEX_BYTES)
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch, data, offsets in chunks(batches, size=_SCAN_BYTES):
                 good = np.ones(batch.num_rows, bool)
-                good[[leak[0] for leak in leaks(normal(data), offsets, shared.value)]] = False
+                points, offsets = decoded(data, offsets)
+                good[[leak[0] for leak in leaks(normal(points), offsets, shared.value)]] = False
                 yield batch.filter(pa.array(good))
 
         docs = docs.mapInArrow(scan, docs.schema)

@@ -15,6 +15,7 @@ from test_tokens import assert_packed
 from hostloom.llm import decontamination, quality, sharding, toxicity
 from hostloom.llm.labelled import held_out, training_labels
 from hostloom.llm.queries import TOKENIZER
+from hostloom.llm.winnowing import code_points
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,15 +24,16 @@ SF = "/root/testdata/sf0.001"
 
 
 def normal(text):
-    return decontamination.normal(np.frombuffer((text or "").encode(), np.uint8)).tobytes()
+    points = decontamination.normal(code_points(text or ""))
+    return points.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def fitting_distance(item, text):
     """Edits of the best place of ``item`` in ``text``."""
     row = np.zeros(len(text) + 1, np.int64)
-    letters = np.frombuffer(text, np.uint8)
+    letters = code_points(text)
     ramp = np.arange(len(text) + 1)
-    for r, c in enumerate(item, 1):
+    for r, c in enumerate(code_points(item), 1):
         step = np.minimum(row[:-1] + (letters != c), row[1:] + 1)
         row = np.minimum.accumulate(np.append(r, step) - ramp) + ramp
     return int(row.min())
@@ -101,12 +103,51 @@ def test_excerpts_at_the_borders_of_a_text(spark, benchmark):
         part = item[at : at + size] if k % 3 else edited(item[at : at + size], 2, rng)
         gap = fill[: rng.choice([0, 0, 5, 30, 74])]
         text = [part, f"{part} {gap}", f"{gap} {part}", f"{gap} {part} {fill}", f"{fill} {part} {gap}"][k % 5]
-        data = decontamination.normal(np.frombuffer(text.encode(), np.uint8))
+        data = decontamination.normal(code_points(text))
         got.append(number in {leak[1] for leak in decontamination.leaks(data, np.array([0, len(data)]), index)})
         want.append(holds(item[at - 100 : at + size + 100], text))  # the rest of the item is far from the text
     assert got == want and 20 < sum(want) < 60
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=20), max_size=6))
+def test_decoding_is_that_of_python(texts):
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    points, offsets = decontamination.decoded(data, np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64))
+    assert points.tolist() == [ord(c) for t in texts for c in t]
+    assert offsets.tolist() == [sum(len(t) for t in texts[:k]) for k in range(len(texts) + 1)]
+
+
+def test_letters_beyond_ascii_count_once(frame, spark):
+    rng = random.Random(12)
+    scripts = {"cjk": range(0x4E00, 0x9FA0), "cyrillic": range(0x0430, 0x0450), "beyond": range(0x20000, 0x2A6D0)}
+    items, rows = [], []
+    for k, letters in enumerate(scripts.values()):
+        item = "".join(chr(rng.choice(letters)) for _ in range(90))
+        items.append((k, item))
+        for edits in (0, 3, 5, 12):
+            part = list(item)
+            for at in rng.sample(range(90), edits):
+                part[at] = chr(rng.choice(letters))
+            rows.append((10 * k + edits if edits < 10 else 100 + k, f"xyz {''.join(part)} xyz"))
+    docs, table = frame(rows), spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs, table).collect()}
+    want = {(d, i) for d, t in rows for i, x in items if holds(x, t)}
+    assert set(found) == want and {(10 * k + e, k) for k in range(3) for e in (0, 3, 5)} <= want
+    for k in range(3):
+        exact = found[10 * k, k]
+        assert (exact["start"], exact["length"], exact["item_start"], exact["item_length"], exact["edits"]) == (4, 90, 0, 90, 0)
+
+
+def test_items_without_a_gram_are_compared_whole(frame, spark):
+    table = spark.createDataFrame([(1, "Été"), (2, "yes"), (3, ""), (4, None), (5, "YES")], "item_id bigint, text string")
+    docs = frame([(1, "yes"), (2, "oh yes"), (3, "éTÉ"), (4, ""), (5, None), (6, "yes ")])
+    found = {(r["doc_id"], r["item_id"], r["length"], r["edits"]) for r in decontamination.contaminated(docs, table).collect()}
+    assert found == {(1, 2, 3, 0), (1, 5, 3, 0), (3, 1, 3, 0)}
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, table).collect()) == [2, 4, 5, 6]
+
+
 def test_blocks_of_the_benchmark_give_the_same(small, benchmark):
     whole = decontamination.contaminated(small, benchmark)
     parts = decontamination.contaminated(small, benchmark, block_bytes=2000)
