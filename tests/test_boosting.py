@@ -186,3 +186,28 @@ def test_boosted_static_and_slice_models(rows):
         assert both.count() == 240 and both.filter("pred_static = y_true").count() > 150
     top = M.fold_importances(rows, settings, (0, 1), 3).collect()
     assert len(top) == 6 and {FEATURES.index(r["feature"]) for r in top} >= {0, 1}
+
+
+def test_the_larger_child_is_not_counted(monkeypatch):
+    """What is left of the parent gives the same trees, whether columns are counted one by one, jointly or all at once."""
+    rng = np.random.default_rng(7)
+    bins = np.stack([rng.integers(0, n, 3000) for n in (2, 5, 9, 33, B.BINS, 1, B.BINS)], axis=1).astype(np.uint8)
+    g, h = rng.normal(size=(3000, 3)) + (bins[:, 3:4] > 20), rng.uniform(0.1, 1, (3000, 3))
+    counted, whole = [], B.Columns.histograms
+
+    def counting(self, row, slot, weights, slots):
+        counted.append(0 if row is None else len(row))
+        return whole(self, row, slot, weights, slots)
+
+    monkeypatch.setattr(B.Columns, "histograms", counting)
+    found = {}
+    for few, many in ((1, 1), (1, 1 << 40), (1 << 40, 1 << 40)):
+        monkeypatch.setattr(B, "_FEW", few)
+        monkeypatch.setattr(B, "_MANY", many)
+        counted.clear()
+        found[few, many] = B.grow(bins, g, h, 5), sum(counted)
+    (nodes, values), most = found.pop((1 << 40, 1 << 40))
+    assert 1 in B.Columns(bins).features and 5 not in B.Columns(bins).features
+    for (other, same), entries in found.values():
+        assert all(np.allclose(a, b) for a, b in zip(nodes, other)) and np.allclose(values, same)
+        assert entries <= most / 2
