@@ -53,3 +53,10 @@ def test_labels_of_present_hosts_need_no_lists_and_no_grid(spark):
 def test_slices_are_rebalanced_before_writing(spark, tmp_path):
     log = standin.sessions(spark, SF).selectExpr("source_ip AS ip", "CAST(ip_protocol AS STRING) AS slice").hint("rebalance", "slice")
     assert "REBALANCE_PARTITIONS_BY_COL" in formatted(log)
+
+
+def test_addresses_are_tested_once_per_host(spark):
+    for name in ("public_ips", "public_ips_by_ranges", "public_ips_by_changed_ranges", "ipv4_hosts", "labelled_hosts"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan[: plan.index("Aggregate [ip")], plan[plan.index("Aggregate [ip") :]
+        assert "Filter" in above and "RLIKE" in above and "RLIKE" not in below, name
