@@ -18,7 +18,7 @@ from hostloom.functions.numbers import filled
 from hostloom.operators import ports
 from hostloom.operators.features import NODE_MEASURES, count_features
 from hostloom.operators.sessions import internal_sessions, mirror_sessions
-from hostloom.operators.slices import SliceLayout, mark_slices
+from hostloom.operators.slices import SliceLayout, name_slices, number_slices
 from hostloom.schema import ENDPOINTS, FEATURES, SERIES
 
 KEYS = ("slice", "slice_no")
@@ -133,9 +133,10 @@ def add_part(sessions: DataFrame, layout: SliceLayout, path: str, part: str, use
     """
     if part in stored_parts(sessions.sparkSession, path, user_band):
         raise ValueError(f"part {part} is stored already")
-    states = host_states(mark_slices(sessions, layout), user_band=user_band)
+    # The number alone is shuffled; its name follows from it.
+    states = host_states(number_slices(sessions, layout), ("slice_no",), user_band)
     for table in ("counts", "moments"):
-        getattr(states, table).write.mode("overwrite").parquet(f"{path}/{user_band}/{table}/part={part}")
+        name_slices(getattr(states, table), layout).write.mode("overwrite").parquet(f"{path}/{user_band}/{table}/part={part}")
 
 
 def stored_parts(spark: SparkSession, path: str, user_band: str = "as_written") -> list[str]:

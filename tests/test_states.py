@@ -118,3 +118,19 @@ def test_states_of_no_sessions(spark, log, tmp_path):
     layout, path = T.slice_layout(log, (FIRST, SECOND)), str(tmp_path / "states")
     H.add_part(log.filter("false"), layout, path, "none")
     assert H.state_features(H.read_states(spark, path)).collect() == []
+
+
+def test_names_of_slices_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Stored states carry the names, their aggregates only the numbers."""
+    from hostloom.plans import standin
+
+    seen, whole = [], H.host_states
+    monkeypatch.setattr(H, "host_states", lambda *args, **named: seen.append(whole(*args, **named)) or seen[-1])
+    log = standin.sessions(spark, "/root/testdata/sf0.001")
+    layout = T.slice_layout(log)
+    H.add_part(log, layout, f"{tmp_path}/states", "all")
+    assert "slice" not in seen[0].counts.columns and "slice" not in seen[0].moments.columns
+    stored = H.read_states(spark, f"{tmp_path}/states")
+    for table in (stored.counts, stored.moments):
+        pairs = {(r["slice_no"], r["slice"]) for r in table.select("slice_no", "slice").distinct().collect()}
+        assert pairs - {(None, None)} <= set(enumerate(layout.names, 1)) and len(pairs) > 10
