@@ -223,7 +223,7 @@ def _place(states: DataFrame, capacity: int, tasks: int) -> DataFrame:
 
 
 def _packed_blocks(items: DataFrame, count: int, level: int, capacity: int) -> DataFrame:
-    blocks = -(-count // BLOCK_PIECES)
+    blocks = max(-(-count // BLOCK_PIECES), 1)
     block = F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks))
     longest_first = Window.partitionBy("block").orderBy(F.desc("length"), "uid")
     numbered = items.withColumn("block", block).withColumn("item", F.row_number().over(longest_first).cast("bigint") - 1)
