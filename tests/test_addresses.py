@@ -63,3 +63,15 @@ def test_octets(spark):
     df = spark.createDataFrame([("10.2.30.255",), ("fd00::5",), ("10.x.1",)], "ip string")
     rows = df.select([A.octet(F.col("ip"), i).alias(f"o{i}") for i in range(1, 5)]).collect()
     assert [tuple(r) for r in rows] == [(10, 2, 30, 255), (None,) * 4, (10, None, 1, None)]
+
+
+def test_internal_beginnings_agree_with_the_pattern_and_come_first(spark):
+    ranges = [ipaddress.ip_network(c) for c in A.V4_PRIVATE + A.V4_SHARED]
+    texts = [str(net[0]) for net in ranges] + ["10.", "10.x", "100.64.0.1", "10", "172.15.0.1", "172.32.0.1", "192.0.0.9", "1.10.0.1", " 10.0.0.1"]
+    texts += ["fd00::5", "FD00::5", "fd::5", "fd00", "fd00::5::6", "2002:808:808::1", "fe80::1%eth0", "::fd00:0", "2001:4860:4860::8888"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "ip string")
+    ip = F.col("ip")
+    plain = F.when(A.is_ipv6(ip), A.ipv6_digits(ip).rlike(A._V6_GLOBAL)).otherwise(ip.rlike(A._V4_GLOBAL))
+    assert df.filter(~A.is_public(ip).eqNullSafe(plain)).count() == 0
+    plan = df.filter(~A.is_public_v4(ip))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("StartsWith(ip") < plan.index("RLIKE")
