@@ -60,3 +60,9 @@ def test_addresses_are_tested_once_per_host(spark):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         above, below = plan[: plan.index("Aggregate [ip")], plan[plan.index("Aggregate [ip") :]
         assert "Filter" in above and "RLIKE" in above and "RLIKE" not in below, name
+
+
+def test_slices_are_shuffled_by_number(spark):
+    for name in ("slice_features", "feature_density"):
+        plan = final_plan(entry.queries()[name](spark, SF))
+        assert "Exchange hashpartitioning(slice_no" in plan and "Exchange hashpartitioning(slice#" not in plan, name
