@@ -69,14 +69,28 @@ def host_states(sessions: DataFrame, keys: Sequence[str] = KEYS, user_band: str
     return HostStates(moments, ports.value_counts(internal, keys), user_band)
 
 
+def _state_keys(moments: DataFrame) -> list[str]:
+    return [name for name, kind in moments.dtypes if not kind.startswith("struct") and name not in ("ip", "host_lt_other")]
+
+
+def _single_states(moments: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether no two states of a host share ``keys``: each of their values occurs with one part and slice only."""
+    met = moments.select(*_state_keys(moments)).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+    return (met.agg(F.max("n")).first()[0] or 0) <= 1
+
+
 def merged(states: HostStates, keys: Sequence[str] = ()) -> HostStates:
     """States per (keys, ip): all other key columns are rolled up.
 
     Of a group of states with counts n_i and means m_i, the mean is sum(n_i m_i) / sum(n_i), and M2 is the sum of the
     M2_i and of n_i (m_i - mean)^2. The mean is a window over the group, the sums run on the partitioning it leaves; a
     host has one state per part and slice, so a group is small even for a host with a third of all sessions.
+    Where every value of ``keys`` lies in one part and slice, which one row tells, the states are those asked for already.
     """
     by = [*keys, "ip"]
+    if keys and _single_states(states.moments, keys):
+        beside = [c for c in _state_keys(states.moments) if c not in keys]
+        return HostStates(states.moments.drop(*beside), states.counts.drop(*beside), states.user_band)
     names = [name for name, kind in states.moments.dtypes if kind.startswith("struct")]
     group = Window.partitionBy(*by)
     columns, sums = [], []

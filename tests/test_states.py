@@ -134,3 +134,23 @@ def test_names_of_slices_are_not_shuffled(spark, tmp_path, monkeypatch):
     for table in (stored.counts, stored.moments):
         pairs = {(r["slice_no"], r["slice"]) for r in table.select("slice_no", "slice").distinct().collect()}
         assert pairs - {(None, None)} <= set(enumerate(layout.names, 1)) and len(pairs) > 10
+
+
+def test_slices_of_one_part_are_not_summed_again(spark, log, tmp_path):
+    layout, path = T.slice_layout(log, (FIRST, SECOND)), str(tmp_path / "states")
+    early = F.col("first_packet") < 50_000_000
+    for part, name in ((early, "a"), (~early, "b")):
+        H.add_part(log.filter(part), layout, path, name)
+
+    def summed(states, keys):
+        plan = H.merged(states, keys).counts._jdf.queryExecution().optimizedPlan().toString()
+        return "Aggregate" in plan
+
+    states = H.read_states(spark, path)
+    inside = states.filter("slice IS NOT NULL")
+    assert not summed(inside, ["slice"]) and not summed(inside, ["slice_no"])
+    # Sessions outside all slices are in both parts.
+    assert summed(states, ["slice"]) and summed(states, ["part"]) and summed(states, [])
+    # A further part with sessions of the same slices.
+    H.add_part(log.filter(early), layout, path, "c")
+    assert summed(H.read_states(spark, path).filter("slice IS NOT NULL"), ["slice"])
