@@ -1,9 +1,9 @@
 """Nearest neighbours under the cosine distance, and a flat layout that keeps them close.
 
 The graph comes from a forest of random projections: every level of every tree halves its nodes at the median of a random
-projection, one aggregate for all nodes of all trees, until a leaf holds at most ``leaf`` rows; rows meet in leaves only, so
-work grows with the rows and no pair outside a leaf is formed. The layout moves all points together, epoch by epoch, by
-joins of edges with positions.
+projection, one aggregate for all nodes of all trees, until a node is small enough for one task, which halves it on until a
+leaf holds at most ``leaf`` rows; rows meet in leaves only, so work grows with the rows and no pair outside a leaf is formed.
+The layout moves all points together, epoch by epoch, by joins of edges with positions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from hostloom.operators.dataset import stratified_rank
@@ -23,6 +25,8 @@ from hostloom.session import ship_package, stored
 _JITTER = 1e-9
 # Distances are kept to what single precision tells apart.
 _DECIMALS = 6
+# Nodes of up to so many rows are halved further inside one task.
+_BLOCK_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -51,17 +55,24 @@ def _hashed(*parts) -> Column:
 
 def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, unit): vectors of length 1 in single precision. A vector of length 0 stays as it is; rows whose vector is null
-    or has a null, infinite or undefined component are left out."""
+    or has a null, infinite or undefined component are left out. Rows that share a key count as one, the smallest vector."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
     whole = rows.select(F.col(key).alias("key"), F.col(vector).alias("vector"), length.alias("length"))
     whole = whole.filter(F.col("length") < float("inf"))
     divisor = F.when(F.col("length") > 0, F.col("length")).otherwise(F.lit(1.0))
-    return whole.select("key", F.transform("vector", lambda x: (x / divisor).cast("float")).alias("unit"))
+    units = whole.select("key", F.transform("vector", lambda x: (x / divisor).cast("float")).alias("unit"))
+    return units.groupBy("key").agg(F.min("unit").alias("unit"))
 
 
-def _projected(points: DataFrame, forest: Forest, levels: int) -> DataFrame:
-    """(key, tree, node, along): the row's projections, one per level of the tree."""
-    trees, seed = forest.trees, forest.seed
+def _directions(forest: Forest, levels: int, components: int) -> np.ndarray:
+    """(component, tree, level): what the rows are projected on."""
+    drawn = np.random.default_rng(forest.seed).standard_normal((components, forest.trees * levels))
+    return drawn.reshape(components, forest.trees, levels)
+
+
+def _projected(points: DataFrame, forest: Forest, levels: int, upper: int) -> DataFrame:
+    """(key, tree, node, along): the row's projections, one per upper level of the tree."""
+    trees = forest.trees
 
     def project(batches):
         directions = None
@@ -70,8 +81,8 @@ def _projected(points: DataFrame, forest: Forest, levels: int) -> DataFrame:
                 continue
             units = np.stack(batch["unit"].to_numpy()).astype("float64")
             if directions is None:
-                directions = np.random.default_rng(seed).standard_normal((units.shape[1], trees * levels))
-            along = (units @ directions).reshape(len(units) * trees, levels)
+                directions = _directions(forest, levels, units.shape[1])[:, :, :upper].reshape(-1, trees * upper)
+            along = (units @ directions).reshape(len(units) * trees, upper)
             yield pd.DataFrame(
                 {"key": np.repeat(batch["key"].to_numpy(), trees), "tree": np.tile(np.arange(trees), len(units)), "along": list(along)}
             )
@@ -81,43 +92,95 @@ def _projected(points: DataFrame, forest: Forest, levels: int) -> DataFrame:
     return found.withColumn("node", F.lit(0).cast("bigint"))
 
 
-def leaves(points: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """(key, tree, node): the leaf of every row of ``unit_vectors`` in every tree.
+def _jitter(level: int) -> Column:
+    return _hashed("key", "tree", F.lit(level)) * _JITTER
 
-    All nodes are halved as often as the number of rows asks, so that a leaf holds about ``leaf`` rows at most, however
-    many copies there are. Medians are small beside the rows; Spark broadcasts them while their size allows it.
+
+def _blocks(points: DataFrame, forest: Forest) -> tuple[GroupedData, int]:
+    """Rows (key, tree, node, unit, jitter) by the nodes that one task halves further, and the levels of a tree.
+
+    Levels above are one aggregate and one join each; a level's projections are dropped with it. Medians are small beside
+    the rows; Spark broadcasts them while their size allows it. ``jitter`` has one number per level left.
     """
     count = points.count()
     levels = max(0, ceil(log2(count / forest.leaf))) if count else 0
-    if not levels:
+    upper = max(0, levels - int(log2(max(1, _BLOCK_ROWS // forest.leaf))))
+    if upper:
+        nodes = stored(_projected(points, forest, levels, upper), "tree-nodes")
+    else:
         tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
-        return points.select("key", tree, F.lit(0).cast("bigint").alias("node"))
-    nodes = stored(_projected(points, forest, levels), "tree-nodes")
-    for level in range(levels):
-        place = F.get("along", F.lit(level)) + _hashed("key", "tree", F.lit(level)) * _JITTER
-        placed = nodes.withColumn("place", place)
+        nodes = points.select("key", tree, F.lit(0).cast("bigint").alias("node"))
+    for level in range(upper):
+        placed = nodes.withColumn("place", F.get("along", F.lit(0)) + _jitter(level))
         middle = placed.groupBy("tree", "node").agg(F.percentile_approx("place", 0.5, forest.accuracy).alias("middle"))
         beyond = (F.col("place") > F.col("middle")).cast("bigint")
         split = placed.join(middle, ["tree", "node"])
-        nodes = stored(split.select("key", "tree", "along", (F.col("node") * 2 + beyond).alias("node")), "tree-nodes")
-    return nodes.select("key", "tree", "node")
-
-
-def _nearest_in_leaf(k: int):
-    def search(leaf: pd.DataFrame) -> pd.DataFrame:
-        leaf = leaf.sort_values("key")
-        keys, units = leaf["key"].to_numpy(), np.stack(leaf["unit"].to_numpy()).astype("float64")
-        distance = np.round(np.maximum(1 - units @ units.T, 0), _DECIMALS)
-        np.fill_diagonal(distance, np.inf)
-        count = min(k, len(keys) - 1)
-        best = np.argsort(distance, axis=1, kind="stable")[:, :count]
-        return pd.DataFrame(
-            {
-                "key": np.repeat(keys, count),
-                "neighbour": keys[best].ravel(),
-                "distance": np.take_along_axis(distance, best, axis=1).ravel(),
-            }
-        )
+        left = [F.slice("along", 2, upper).alias("along")] if level + 1 < upper else []
+        nodes = stored(split.select("key", "tree", (F.col("node") * 2 + beyond).alias("node"), *left), "tree-nodes")
+    jitter = F.array(*[_jitter(level) for level in range(upper, levels)]).cast("array<double>").alias("jitter")
+    met = nodes.join(points, "key").select("key", "tree", "node", "unit", jitter)
+    return met.groupBy("tree", "node"), levels
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy().astype("float64").reshape(rows, -1)
+
+
+def _halved(block: pa.Table, units: np.ndarray, forest: Forest, levels: int) -> np.ndarray:
+    """The leaf of every row of a block: its node, halved at exact medians of the levels left."""
+    jitter = _matrix(block.column("jitter"), len(units)) if len(units) else np.zeros((0, 0))
+    left = jitter.shape[1]
+    tree, node = block.column("tree")[0].as_py(), np.full(len(units), block.column("node")[0].as_py())
+    place = units @ _directions(forest, levels, units.shape[1])[:, tree, levels - left :] + jitter
+    for level in range(left):
+        order = np.lexsort((place[:, level], node))
+        _, first, size = np.unique(node[order], return_index=True, return_counts=True)
+        middle = place[order[first + (size - 1) // 2], level]
+        beyond = np.empty(len(node), bool)
+        beyond[order] = place[order, level] > np.repeat(middle, size)
+        node = node * 2 + beyond
+    return node
+
+
+def leaves(points: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """(key, tree, node): the leaf of every row of ``unit_vectors`` in every tree.
+
+    All nodes are halved as often as the number of rows asks, so that a leaf holds about ``leaf`` rows at most, however
+    many copies there are.
+    """
+    blocks, levels = _blocks(points, forest)
+
+    def run(block: pa.Table) -> pa.Table:
+        node = _halved(block, _matrix(block.column("unit"), block.num_rows), forest, levels)
+        return block.select(["key", "tree"]).append_column("node", pa.array(node))
+
+    kind = points.schema["key"].dataType.simpleString()
+    return blocks.applyInArrow(run, f"key {kind}, tree int, node bigint")
+
+
+def _nearest_in_leaves(k: int, forest: Forest, levels: int):
+    def search(block: pa.Table) -> pa.Table:
+        block = block.sort_by("key").combine_chunks()
+        units = _matrix(block.column("unit"), block.num_rows)
+        node = _halved(block, units, forest, levels)
+        order = np.argsort(node, kind="stable")  # keys ascend within a leaf
+        rows, best, near = [order[:0]], [order[:0]], [units[:0, 0]]
+        counts = np.zeros(block.num_rows, np.int32)
+        for leaf in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+            distance = np.round(np.maximum(1 - units[leaf] @ units[leaf].T, 0), _DECIMALS)
+            np.fill_diagonal(distance, np.inf)
+            count = min(k, len(leaf) - 1)
+            found = np.argsort(distance, axis=1, kind="stable")[:, :count]
+            counts[leaf] = count
+            rows.append(leaf)
+            best.append(leaf[found].ravel())
+            near.append(np.take_along_axis(distance, found, axis=1).ravel())
+        rows = np.concatenate(rows)
+        ends = pa.array(np.append(0, np.cumsum(counts[rows])).astype(np.int32))
+        keys = block.column("key").combine_chunks()
+        neighbours = pa.ListArray.from_arrays(ends, keys.take(pa.array(np.concatenate(best))))
+        distances = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(near)))
+        return pa.table({"key": keys.take(pa.array(rows)), "neighbours": neighbours, "distances": distances})
 
     return search
 
@@ -125,18 +188,22 @@ def _nearest_in_leaf(k: int):
 def neighbour_graph(rows: DataFrame, key: str, vector: str, k: int = 15, forest: Forest = Forest()) -> DataFrame:
     """The ``k`` nearest other rows of every row: (key, rank, neighbour, distance), rank from 1.
 
-    ``key`` names the rows and must be unique. Distance is 1 - cosine to six decimals, 1 to a vector
-    of length 0; ties go to the smaller key.
+    ``key`` names the rows; those that share one, say an address listed twice, count as one row and are no neighbours of
+    themselves. Distance is 1 - cosine to six decimals, 1 to a vector of length 0; ties go to the smaller key.
     The neighbours are the nearest among those that share a leaf in some tree; more trees or larger leaves find more.
     A table of at most ``leaf`` rows gives exact neighbours, one row or none gives no row.
     """
     ship_package(rows.sparkSession)
     points = stored(unit_vectors(rows, key, vector), "units")
     kind = points.schema["key"].dataType.simpleString()
-    met = leaves(points, forest).join(points, "key").groupBy("tree", "node")
-    found = met.applyInPandas(_nearest_in_leaf(k), f"key {kind}, neighbour {kind}, distance double")
-    # One exchange: grouping and window both follow the key.
-    best = found.repartition("key").groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))
+    blocks, levels = _blocks(points, forest)
+    schema = f"key {kind}, neighbours array<{kind}>, distances array<double>"
+    found = blocks.applyInArrow(_nearest_in_leaves(k, forest, levels), schema)
+    # One exchange: grouping and window both follow the key. A row's links of a tree move as one row.
+    link = F.explode(F.arrays_zip("neighbours", "distances")).alias("link")
+    met = found.repartition("key").select("key", link)
+    met = met.select("key", F.col("link.neighbours").alias("neighbour"), F.col("link.distances").alias("distance"))
+    best = met.groupBy("key", "neighbour").agg(F.min("distance").alias("distance"))
     near = Window.partitionBy("key").orderBy("distance", "neighbour")
     ranked = best.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
     return ranked.select(F.col("key").alias(key), "rank", "neighbour", "distance")

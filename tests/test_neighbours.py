@@ -76,6 +76,32 @@ def test_copies_do_not_fill_a_leaf(spark):
     assert sum(sizes.values()) == 3 * len(vectors) and max(sizes.values()) <= 60
 
 
+def test_rows_that_share_a_key_count_as_one(spark):
+    rows = frame(spark, blobs(300))
+    twice = rows.unionAll(rows).unionAll(rows.filter("id % 3 = 0"))
+    found = by_row(N.neighbour_graph(twice, "id", "v", 5))
+    assert found == by_row(N.neighbour_graph(rows, "id", "v", 5)) and all(i not in near for i, near in found.items())
+    leaf_rows = Counter((r["key"], r["tree"]) for r in N.leaves(N.unit_vectors(twice, "id", "v"), N.Forest(trees=2)).collect())
+    assert len(leaf_rows) == 600 and set(leaf_rows.values()) == {1}
+
+
+def test_small_nodes_are_halved_in_one_task_to_the_same_leaves(spark, monkeypatch):
+    points = N.unit_vectors(frame(spark, blobs(1500)), "id", "v").cache()
+    written = []
+    monkeypatch.setattr(N, "stored", lambda df, name, keep=N.stored: written.append(name) or keep(df, name))
+
+    def found():
+        written.clear()
+        rows = N.leaves(points, N.Forest(trees=3, leaf=50)).collect()
+        return {(r["key"], r["tree"]): r["node"] for r in rows}, len(written)
+
+    in_tasks, tables = found()
+    assert tables == 0
+    monkeypatch.setattr(N, "_BLOCK_ROWS", 50)
+    level_by_level, tables = found()
+    assert tables == 6 and level_by_level == in_tasks
+
+
 def test_weights_against_a_plain_version(spark):
     vectors = blobs(40)
     graph = N.neighbour_graph(frame(spark, vectors), "id", "v", 6)
