@@ -249,10 +249,13 @@ def neighbour_layout(start: DataFrame, weights: DataFrame, key: str, layout: Lay
 
     In every epoch each point moves by the mean pull of its links and the push of a few points drawn by hash, with a
     falling rate; closeness of two points is 1 / (1 + d^2). All moves of an epoch are one sum per point, so positions do not
-    depend on partitioning but for the last digits. Points without a link are only pushed.
+    depend on partitioning but for the last digits. Points without a link are only pushed. Rows of ``start`` that share a key
+    are one point, at the smallest of their places.
     """
-    ranked = stratified_rank(stored(start.withColumn("all", F.lit(0)), "start"), "all", layout.seed, key)
-    span = start.select(F.greatest(F.max(F.abs("x")), F.max(F.abs("y")))).first()[0] or 1.0
+    points = start.groupBy(key).agg(F.min(F.struct("x", "y")).alias("place")).select(key, "place.x", "place.y")
+    points = stored(points.withColumn("all", F.lit(0)), "start")
+    ranked = stratified_rank(points, "all", layout.seed, key)
+    span = points.select(F.greatest(F.max(F.abs("x")), F.max(F.abs("y")))).first()[0] or 1.0
     apart = [F.col(axis) * (10.0 / span) + _hashed(key, F.lit(axis)) * 1e-3 for axis in ("x", "y")]
     numbered = stored(
         ranked.select(key, (F.col("rank") - 1).cast("bigint").alias("no"), apart[0].alias("x"), apart[1].alias("y")), "numbered"

@@ -145,3 +145,16 @@ def test_layout_keeps_neighbours_better_than_its_start(spark):
     assert kept(places) > kept(start) + 0.1
     none = N.neighbour_layout(first.filter("false"), N.neighbour_weights(graph.filter("false"), "id"), "id", N.Layout(epochs=1))
     assert none.collect() == []
+
+
+def test_layout_of_rows_that_share_a_key(spark):
+    links = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 0.5), (2, 1, 0.5)]
+    weights = spark.createDataFrame(links, "id bigint, neighbour bigint, weight double")
+    start = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.5), (2, -1.0, 2.0)], "id bigint, x double, y double")
+
+    def placed(rows):
+        found = N.neighbour_layout(rows, weights, "id", N.Layout(epochs=2)).collect()
+        assert len(found) == 3
+        return [v for r in sorted(found) for v in r]
+
+    assert placed(start.unionAll(start).unionAll(start.filter("id = 1"))) == pytest.approx(placed(start), abs=1e-9)
