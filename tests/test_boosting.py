@@ -2,9 +2,12 @@
 
 import math
 import random
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pytest
+from pyarrow import fs
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from hostloom.operators import boosting as B
@@ -211,3 +214,67 @@ def test_the_larger_child_is_not_counted(monkeypatch):
     for (other, same), entries in found.values():
         assert all(np.allclose(a, b) for a, b in zip(nodes, other)) and np.allclose(values, same)
         assert entries <= most / 2
+
+
+def _trees(nodes):
+    kept = ("model", "round", "class", "node", "feature", "left", "right")
+    rows = sorted(tuple(r) for r in nodes.select(*kept, "threshold", "gain", "cover", "value").collect())
+    return [r[:7] for r in rows], np.array([r[7:] for r in rows])
+
+
+@pytest.mark.parametrize("parts", [8, 3])
+def test_rows_of_a_model_in_several_tasks(spark, rows, monkeypatch, parts):
+    """Models of many rows are fitted by all tasks together on every row: the trees of one task."""
+    every = F.array_compact(F.array(*(F.when(F.col("fold") != f, F.lit(str(f))) for f in (0, 1)), F.lit("all")))
+    depths = {"0": 3, "1": None, "all": 2}
+    one, numbers = _trees(B.fit(rows, every, 4, depths))
+    monkeypatch.setattr(B, "GROUP_ROWS", 200)  # "all" has 240 rows, the folds fewer
+    some, of_some = _trees(B.fit(rows, every, 4, depths))
+    monkeypatch.setattr(B, "GROUP_ROWS", 0)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", parts)
+    apart, of_apart = _trees(B.fit(rows, every, 4, depths))
+    assert one == some == apart
+    assert numbers == pytest.approx(of_some) and numbers == pytest.approx(of_apart, abs=1e-9)
+
+
+class _Peer(B.Peers):
+    """A thread in the place of a task."""
+
+    def __init__(self, rank, count, folder):
+        self.rank, self.count, self._folder, self._files, self._turn = rank, count, str(folder), fs.LocalFileSystem(), 0
+
+
+def test_histograms_of_parts_of_the_rows(tmp_path, monkeypatch):
+    """Larger children are what is left of their parents, several exchanges a level, and one part has no rows."""
+    rng = np.random.default_rng(11)
+    bins = np.stack([rng.integers(0, n, 900) for n in (2, 5, 33, B.BINS, 1, B.BINS)], axis=1).astype(np.uint8)
+    y, weight = (bins[:, 3] > 20) + 2.0 * (bins[:, 1] > rng.integers(0, 5, 900)), rng.uniform(0.5, 2, 900)
+    edges = [np.arange(n - 1.0) for n in (2, 5, 33, B.BINS, 1, B.BINS)]
+    monkeypatch.setattr(B, "_FEW", 10)
+    monkeypatch.setattr(B, "_EXCHANGED", 6 * B.BINS * 3)
+    monkeypatch.setattr(B, "_CACHED", 6 * B.BINS * 2)
+    part = rng.integers(0, 4, 900)
+
+    def task(rank):
+        own = part == rank
+        return B.boosted(bins[own], y[own], weight[own], edges, 3, 6, _Peer(rank, 5, tmp_path))
+
+    with ThreadPool(5) as pool:
+        found = pool.map_async(task, range(5)).get(60)
+    want = B.boosted(bins, y, weight, edges, 3, 6)
+    assert max(want["node"].to_pylist()) > 40
+    for nodes in found:
+        for name in want.column_names:
+            assert nodes[name].to_pylist() == pytest.approx(want[name].to_pylist(), abs=1e-9), name
+    assert len(list(tmp_path.iterdir())) == 5  # of the last turn only
+
+
+def test_no_row_is_left_out_of_a_large_model(spark):
+    """More rows than one task takes: the weights at the first node are those of all rows."""
+    n = 200_100
+    value = (F.hash("id") % 8).cast("double")
+    frame = spark.range(n, numPartitions=8).select(F.col("id").cast("string").alias("ip"), F.array(value, value * value).alias("x"))
+    frame = frame.select("ip", array_to_vector("x").alias("features"), (F.col("x")[0] > 1).cast("double").alias("y"), F.lit(1.0).alias("weight"))
+    nodes = B.fit(frame, F.array(F.lit("m")), 1, {"m": 1})
+    roots = nodes.filter("node = 0").collect()
+    assert len(roots) == 2 and all(r["cover"] == pytest.approx(n / 2) for r in roots)
